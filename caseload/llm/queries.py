@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseload.llm import quality
+from caseload.llm import bpe, chat, langid, licenses, mixing, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +19,87 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix_sources(docs).drop("text")
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    both = bpe.encode(spark, docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"], with_decoded=True)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def listed(finds: Column) -> Column:
+    """Finds as ``kind:start:end`` by start, then kind as listed."""
+    by_place = F.array_sort(F.transform(finds, lambda f: F.struct(f["start"], F.array_position(F.array(*map(F.lit, secrets.KINDS)), f["kind"]).alias("k"), f["end"], f["kind"])))
+    return F.concat_ws(",", F.transform(by_place, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan_secrets(docs, keep=["doc_id"])
+    counts = [F.size(F.array_remove(F.transform("base_finds", lambda f: f["kind"] == kind), F.lit(False))).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base_finds")), 256).alias("base_sha256"), listed(F.concat("base_finds", "layer_finds")).alias("spans"), "n_layers")
+
+
+def part(modulus: int, remainder: int) -> Column:
+    """Whether crc32 of doc_id as text leaves ``remainder``; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", part(4, 2))
+    model = langid.fit(docs.where(~F.col("held_out")).select("text", "lang"))
+    return langid.predict(docs.drop("lang"), model, keep=["doc_id", "held_out"])
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan_licenses(docs, keep=["doc_id"])
+    base = F.transform("phrase_places", lambda p: p["label"])
+    both = F.concat(base, F.transform("blocks", lambda b: b["label"]))
+    joined = lambda labels: F.concat_ws(",", F.array_sort(F.array_distinct(labels)))
+    at = F.transform("phrase_places", lambda p: p["place"])
+    held = F.when(F.size("phrase_places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0)))
+    return found.select(
+        "doc_id", "n_words", F.size("phrase_places").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"), joined(base).alias("base_labels"), joined(both).alias("labels"), held.alias("score")
+    )
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    read = chat.read_back(chat.format_chats(turns.withColumn("parts", chat.text_parts(F.col("text"))).drop("text")))
+    whole = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_mixing": op2_mixing,
+        "op3_byte_bpe": op3_byte_bpe,
+        "op5_secret_scans": op5_secret_scans,
+        "op7_language_id": op7_language_id,
+        "op9_license_scans": op9_license_scans,
+        "op10_chat_format": op10_chat_format,
     }
 
 
