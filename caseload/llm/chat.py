@@ -102,7 +102,8 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Adds ``turns`` (role, text) and ``loss_text`` to what ``format_chats`` returns, from the formatted text and its mask alone."""
-    blocks = F.slice(F.split("formatted", r"<\|turn\|>"), 2, 2147483647)
+    pieces = F.split("formatted", r"<\|turn\|>")
+    blocks = F.slice(pieces, 2, F.size(pieces))
     turns = F.transform(
         blocks,
         lambda b: F.struct(
