@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseload.llm import bpe, chat, langid, licenses, mixing, quality, secrets
+from caseload.llm import bpe, chat, jaccard, langid, licenses, mixing, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def listed(finds: Column) -> Column:
     """Finds as ``kind:start:end`` by start, then kind as listed."""
     by_place = F.array_sort(F.transform(finds, lambda f: F.struct(f["start"], F.array_position(F.array(*map(F.lit, secrets.KINDS)), f["kind"]).alias("k"), f["end"], f["kind"])))
@@ -96,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_mixing": op2_mixing,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_secret_scans": op5_secret_scans,
         "op7_language_id": op7_language_id,
         "op9_license_scans": op9_license_scans,
