@@ -315,3 +315,31 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Data
     return sets.select("doc_id", "n_shingles").join(of, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")
     )
+
+
+def first_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the smallest id stays, once.
+
+    Rows without id, and rows with an empty set, stay. Texts are shuffled only for ids of which a row goes (and those
+    that share a bitmap cell with one).
+    """
+    found = stored(jaccard_join(docs, size, threshold).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("c")))
+    hit = found.where("component_id < doc_id or c > 1")
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(hit.select(F.xxhash64("doc_id").alias("h")), "h"))
+
+    def flags(batches):
+        bits = wanted.value
+        for batch in batches:
+            at = batch.num_columns - 1
+            cell = batch.column(at).to_numpy().view(np.uint64) & np.uint64(CELLS - 1)
+            got = (bits[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(got)], names=[*docs.columns, "_hit"])
+
+    from pyspark.sql import types as T
+
+    hashed = docs.withColumn("_hit", F.xxhash64("doc_id"))
+    marked = hashed.mapInArrow(flags, T.StructType([*docs.schema.fields, T.StructField("_hit", T.BooleanType())]))
+    sure = marked.where("doc_id is null or not _hit").drop("_hit")
+    leads = found.where("component_id = doc_id").select("doc_id")
+    checked = marked.where("doc_id is not null and _hit").drop("_hit").join(leads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return sure.unionByName(checked)

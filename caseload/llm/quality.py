@@ -209,26 +209,30 @@ def mcd_model(clean: DataFrame, support: float, steps: int) -> DataFrame:
     for _ in range(steps):
         d = with_distance(clean, model).withColumn("bin", F.floor(DISTANCE_BINS * F.log(F.col("d2") + 1e-6)).cast("long"))
         cut = cutoffs(d.groupBy("g", "bin").agg(F.count("*").alias("n")), ["g"], support)
-        model = factored(moments(d.join(cut, "g").where(F.col("bin") <= F.col("cut"))), near)
+        model = factored(moments(d.join(stored(cut), "g").where(F.col("bin") <= F.col("cut"))), near)
     within = 0.975 / chi2_cdf(chi2_quantile(0.975, P), P + 2)
     d = with_distance(clean, model).where(F.col("d2") <= chi2_quantile(0.975, P))
     return factored(moments(d), within)
 
 
-def quality_rules(docs: DataFrame, support: float = 0.75, steps: int = 4, reject_tail: float = 1e-12, min_group: int = 150) -> DataFrame:
+def quality_rules(docs: DataFrame, support: float = 0.75, steps: int = 4, reject_tail: float = 1e-12, min_group: int = 150, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the statistics, ``base_failed``, the robust distance ``d2``, and ``kept``.
 
     A document is rejected if the base rules fail it, or if its squared distance is beyond the ``1 - reject_tail``
-    quantile of chi-squared. ``docs`` needs text, lang and source.
+    quantile of chi-squared. ``docs`` needs text, lang and source; its ``keep`` columns are returned (all by default).
     """
-    own = [c for c in docs.columns if c not in ("text",)]
-    stats = text_stats(docs).withColumn("base_failed", base_failed()).withColumns(features())
-    rows = stored(stats.drop("text") if "text" in docs.columns else stats)
-    rows = with_group(rows, min_group)
-    clean = rows.where(~F.col("base_failed")).select("g", *FEATURES)
-    sized = clean.groupBy("g").agg(F.count("*").alias("_n")).where((F.col("g") != "") | (F.col("_n") >= min_group)).select("g")
-    model = mcd_model(clean.join(sized, "g", "left_semi"), support, steps)
+    named = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2"]
+    own = [c for c in docs.columns if c not in (*named, *FEATURES, "n_capitals", "n_lines", "g")]
+    wanted = own if keep is None else keep
+    stats = text_stats(docs.select(*own)).withColumn("base_failed", base_failed()).withColumns(features())
+    stats = stats.select(*dict.fromkeys([*wanted, "lang", "source"]), *named[:6], *FEATURES)
+    rows = stored(stats)
+    keys = stored(with_group(rows.select("lang", "source", "base_failed").where(~F.col("base_failed")), min_group).groupBy("lang", "source", "g").agg(F.count("*").alias("_n")))
+    keys = keys.withColumnsRenamed({"lang": "_l", "source": "_s"})
+    usable = keys.groupBy("g").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= min_group).select("g")
+    keys = stored(keys.join(usable, "g", "left_semi").select("_l", "_s", "g"))
+    rows = rows.join(keys, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
+    clean = stored(rows.where(~F.col("base_failed") & F.col("g").isNotNull()).select("g", *FEATURES))
+    model = mcd_model(clean, support, steps)
     limit = chi2_quantile(1 - reject_tail, P)
-    return with_distance(rows, model).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= limit)).select(
-        *own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2"
-    )
+    return with_distance(rows, model).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= limit)).select(*wanted, *named)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseload.llm import bpe, chat, jaccard, langid, licenses, mixing, quality, secrets
+from caseload.llm import anisotropic, bpe, chat, ctw, jaccard, langid, licenses, mixing, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return quality.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+    return quality.quality_rules(docs, keep=["doc_id"])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,12 +60,21 @@ def part(modulus: int, remainder: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", part(5, 1))
+    return ctw.score_texts(docs, docs.where(~F.col("held_out")), keep=["doc_id", "held_out"])
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", part(4, 2))
     model = langid.fit(docs.where(~F.col("held_out")).select("text", "lang"))
     return langid.predict(docs.drop("lang"), model, keep=["doc_id", "held_out"])
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anisotropic.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = licenses.scan_licenses(docs, keep=["doc_id"])
@@ -102,7 +111,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": op3_byte_bpe,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_secret_scans": op5_secret_scans,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_language_id": op7_language_id,
+        "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_license_scans": op9_license_scans,
         "op10_chat_format": op10_chat_format,
     }
