@@ -37,5 +37,5 @@ def scratch_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once to shared Parquet and read again: cuts lineage and survives lost executors."""
     path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
