@@ -327,13 +327,15 @@ def first_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Dat
     hit = found.where("component_id < doc_id or c > 1")
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(hit.select(F.xxhash64("doc_id").alias("h")), "h"))
 
+    names = [*docs.columns, "_hit"]
+
     def flags(batches):
         bits = wanted.value
         for batch in batches:
             at = batch.num_columns - 1
             cell = batch.column(at).to_numpy().view(np.uint64) & np.uint64(CELLS - 1)
             got = (bits[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(got)], names=[*docs.columns, "_hit"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(got)], names=names)
 
     from pyspark.sql import types as T
 
