@@ -5,15 +5,15 @@ at least ``threshold`` the symmetric difference is at most H = (1-t)/(1+t) (|x|+
 and for each band the universe of shingles is partitioned by hash into segments. A segment is either exact (it can
 absorb no difference) or has its one-deletion neighbourhood indexed (it absorbs one). If the tolerances plus one add up
 to more than H, two similar sets agree on a segment; with some to spare, each set may leave as many exact segments
-unindexed, and it leaves those that would cost most: the smallest, as they are shared by chance. (Among the segments on
-which two sets agree, the largest is left out by neither, so agreement is still found.) How many segments get
-neighbourhoods is chosen for each band by a cost estimate of index rows and of chance candidates.
+out, and it leaves out those that cost most: the most frequent in the whole table. (Among the segments on which two
+sets agree, the rarest is left out by neither, so agreement is still found. A set that meets others in no more segments
+than it may leave out has no partner.) How many segments get neighbourhoods is chosen for each band by a cost estimate
+of index rows and of chance candidates.
 
 Sets that agree on a segment meet in a bucket. Each member is compared with the bucket's first one. After that only
 pairs of different components matter, and one of the two lies outside the first member's component: such members are
-pivots, compared with the rest of the bucket, twice as many in each round, until every pair of different components is
-compared. So groups of near copies need no pair of all members, and no link between components is lost. Each candidate
-pair is verified on the whole sets.
+compared with the rest of the bucket. So groups of near copies need no pair of all members, and no link between
+components is lost. Each candidate pair is verified on the whole sets.
 
 Defined results for odd input: null or empty text is an empty set, linked with nothing; a text with fewer words than a
 shingle is one shingle; rows that share a doc_id are one document; null ids are never linked and have a null component;
@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from caseload.llm.rows import map_texts
 from caseload.session import stored
 
-LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
+#: A-Z in lower case, and each byte that parts words as a blank.
+LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if 0x09 <= c <= 0x0D else c for c in range(256))
 #: Sizes of one band differ by this factor at most; chance that a segment's element is shared by two unlike sets, and
 #: the worth of one chance candidate in index rows, for the cost estimate; share of segments that may be left out.
-BAND, SHARED, CANDIDATE, SPARE = 1.25, 0.1, 2_000.0, 0.1
-WORDS_KEPT = 300_000
+BAND, SHARED, CANDIDATE, SPARE = 1.25, 0.1, 2_000.0, 0.15
 #: Cells of the bitmaps that let rows through before a shuffle: 4 MB, whatever the input.
 CELLS = 1 << 25
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -53,33 +53,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sets of hashed word shingles; remembers the hashes of words it has met."""
+    """Sets of hashed word shingles: polynomial hashes of byte ranges, from running sums over the whole text.
+
+    Each byte value stands for a fixed 64-bit number, so a range's hash is a polynomial over 64-bit numbers in an odd
+    base, shifted to start at 0 by the base's inverse, and scrambled.
+    """
+
+    BASE = 0x9E3779B97F4A7C15 | 1
 
     def __init__(self, size: int):
-        import xxhash
+        self.size, self.value = size, mixed(np.arange(1, 257, dtype=np.uint64))
+        self.powers = self.inverses = np.ones(1, np.uint64)
 
-        self.size, self.known, self.hash = size, {}, xxhash.xxh64_intdigest
+    def grown(self, n: int) -> None:
+        """Powers of the base and of its inverse, up to n."""
+        m = 1 << max(12, n.bit_length())
+        for name, base in (("powers", self.BASE), ("inverses", pow(self.BASE, -1, 1 << 64))):
+            steps = np.full(m, base, np.uint64)
+            steps[0] = 1
+            setattr(self, name, np.multiply.accumulate(steps))
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         """The sorted distinct shingles of a text, as 64-bit hashes."""
-        found = text.translate(LOWER).split() if text else []
-        if not found:
+        joined = np.frombuffer(text.translate(LOWER) if text else b"", np.uint8)
+        blank = joined == 32
+        extra = blank.copy()
+        extra[1:] &= blank[:-1]  # a blank after a blank, and one at the start
+        if extra.any():
+            joined = joined[~extra]
+        if len(joined) and joined[-1] == 32:
+            joined = joined[:-1]
+        if not len(joined):
             return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        try:
-            h = np.array([known[w] for w in found], np.uint64)
-        except KeyError:
-            for w in found:
-                if w not in known:
-                    known[w] = self.hash(w)
-            h = np.array([known[w] for w in found], np.uint64)
-        n = min(self.size, len(h))
-        out = np.full(len(h) - n + 1, np.uint64(n))
-        for k in range(n):
-            out = mixed(out ^ h[k : len(h) - n + 1 + k])
-        return np.unique(out)
+        if len(joined) > len(self.powers):
+            self.grown(len(joined))
+        sums = np.zeros(len(joined) + 1, np.uint64)
+        np.cumsum(self.value[joined] * self.powers[: len(joined)], out=sums[1:])
+        ends = np.append(np.flatnonzero(joined == 32), len(joined))
+        n = min(self.size, len(ends))
+        starts = np.concatenate([[0], ends[:-1] + 1])[: len(ends) - n + 1]
+        out = mixed((sums[ends[n - 1 :]] - sums[starts]) * self.inverses[starts])
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def folded(s: np.ndarray) -> tuple[int, int]:
@@ -125,26 +140,36 @@ def difference(x: int, y: int, threshold: float) -> int:
     return math.floor((1 - threshold) / (1 + threshold) * (x + y) + 1e-9)
 
 
-def signatures(s: np.ndarray, b: int, threshold: float) -> np.ndarray:
-    """What a set is indexed by in a band."""
+#: An odd multiplier for each band.
+BAND_KEYS = [int(x) | 1 for x in mixed(np.arange(64, dtype=np.uint64))]
+
+
+@lru_cache(maxsize=None)
+def names(b: int, n: int) -> np.ndarray:
+    """A number for each segment of a band."""
+    return mixed(np.arange(n, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(b))
+
+
+def signatures(s: np.ndarray, b: int, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """What a set is indexed by in a band: signatures of its exact segments, those of its neighbourhoods, and how many
+    more exact ones it may leave out. Empty segments are left out first, as nothing is more frequent."""
     exact, deep, spare = plan(b, threshold)
-    slots = exact + 2 * deep
-    h = mixed(s ^ np.uint64(b * 2 + 1))
-    slot = (h % np.uint64(slots)).astype(np.int64)
-    segment = np.where(slot < exact, slot, exact + (slot - exact) // 2)
+    # Shingles are scrambled already; a product's upper half deals them anew for each band.
+    segment = ((s * np.uint64(BAND_KEYS[b % 64]) >> np.uint64(32)) * np.uint64(exact + 2 * deep) >> np.uint64(32)).astype(np.int64)
+    if deep:
+        segment = np.where(segment < exact, segment, exact + (segment - exact) // 2)
     n = exact + deep
-    size = np.bincount(segment, minlength=n)
     total = np.zeros(n, np.uint64)
-    np.add.at(total, segment, h)
-    name = mixed(np.arange(n, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(b))
+    np.add.at(total, segment, s)
+    name = names(b, n)
     whole = mixed(total ^ name)
-    order = np.lexsort((whole[:exact], size[:exact]))
-    out = [whole[:exact][order[spare:]]]
+    empty = np.flatnonzero(np.bincount(segment, minlength=n)[:exact] == 0)[:spare]
+    out = np.delete(whole[:exact], empty) if len(empty) else whole[:exact]
+    around = whole[exact:]
     if deep:
-        out.append(whole[exact:])
         inside = segment >= exact
-        out.append(mixed((total[segment[inside]] - h[inside]) ^ name[segment[inside]]))
-    return np.unique(np.concatenate(out))
+        around = np.concatenate([around, mixed((total[segment[inside]] - s[inside]) ^ name[segment[inside]])])
+    return out, around, spare - len(empty)
 
 
 def bands_for(n: int, threshold: float) -> range:
@@ -168,35 +193,46 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def index_rows(docs: DataFrame, size: int, threshold: float, wanted=None) -> DataFrame:
-    """(sig, doc_id): every signature of every document's set; with ``wanted`` (a broadcast bitmap), only those in it."""
+    """(sig, doc_id, band, spare): every signature of every document's set; spare is how many exact ones of the band the
+    document may leave out, and -1 for a neighbourhood's. With ``wanted`` (a broadcast bitmap) only signatures in it, and
+    only bands in which more are left than may be left out."""
 
-    def packed(sigs, counts, kept):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(kept, np.int64), counts))], names=["sig", "doc_id"])
+    def packed(parts):
+        sigs = np.concatenate([p[0] for p in parts])
+        counts = [len(p[0]) for p in parts]
+        spread = lambda k, kind: pa.array(np.repeat(np.array([p[k] for p in parts], kind), counts))
+        return pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), spread(1, np.int64), spread(2, np.int16), spread(3, np.int32)], names=["sig", "doc_id", "band", "spare"])
 
     def run(batches):
         shingles = Shingler(size)
         bits = None if wanted is None else wanted.value
+
+        def among(sigs):
+            cell = sigs & np.uint64(CELLS - 1)
+            return sigs[(bits[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) == 1]
+
         for batch in batches:
-            sigs, counts, kept, held = [], [], [], 0
+            parts, held = [], 0
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingles(text.as_py())
-                if len(s):
-                    got = np.unique(np.concatenate([signatures(s, b, threshold) for b in bands_for(len(s), threshold)]))
+                for b in bands_for(len(s), threshold) if len(s) else ():
+                    exact, around, spare = signatures(s, b, threshold)
                     if bits is not None:
-                        cell = got & np.uint64(CELLS - 1)
-                        got = got[(bits[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) == 1]
-                    sigs.append(got)
-                    counts.append(len(got))
-                    kept.append(node)
-                    held += len(got)
+                        exact, around = among(exact), among(around)
+                        if len(exact) <= spare:
+                            exact = exact[:0]
+                    for sigs, left in ((exact, spare), (around, -1)):
+                        if len(sigs):
+                            parts.append((sigs, node, b, left))
+                            held += len(sigs)
                 if held > 300_000:
-                    yield packed(sigs, counts, kept)
-                    sigs, counts, kept, held = [], [], [], 0
+                    yield packed(parts)
+                    parts, held = [], 0
             if held:
-                yield packed(sigs, counts, kept)
+                yield packed(parts)
 
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "sig long, doc_id long")
+    return rows.mapInArrow(run, "sig long, doc_id long, band smallint, spare int")
 
 
 def bitmap(values: DataFrame, column: str) -> np.ndarray:
@@ -268,39 +304,40 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def linked(docs: DataFrame, members: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(edges (a, b), components (node, component)) among classes. ``members``: doc_id, class_id, n_shingles of each document."""
-    counts = index_rows(docs, size, threshold).groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
-    met = stored(counts)
+def buckets(docs: DataFrame, members: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(sig, node, n): the classes that meet under a signature which they don't leave out."""
+    met = stored(index_rows(docs, size, threshold).groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"))
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(met, "sig"))
-    rows = index_rows(docs, size, threshold, wanted).join(members.select("doc_id", "class_id", F.col("n_shingles").alias("n")), "doc_id")
-    rows = stored(rows.groupBy("sig", F.col("class_id").alias("node")).agg(F.first("n").alias("n")))
-    hubs = rows.groupBy("sig").agg(F.min_by("node", F.struct("node")).alias("hub"), F.min_by("n", F.struct("node")).alias("hub_n"), F.max("node").alias("last")).where("hub < last").drop("last")
+    rows = index_rows(docs, size, threshold, wanted).join(met, "sig")
+    # Of each document's exact segments in a band, the most frequent are left out; windows are as small as a document.
+    place = F.row_number().over(Window.partitionBy("doc_id", "band", "spare").orderBy(F.desc("c"), "sig"))
+    rows = rows.withColumn("place", place).where(F.col("place") > F.col("spare")).select("sig", "doc_id")
+    rows = rows.join(members.select("doc_id", "class_id", F.col("n_shingles").alias("n")), "doc_id")
+    return stored(rows.groupBy("sig", F.col("class_id").alias("node")).agg(F.first("n").alias("n")))
+
+
+def linked(docs: DataFrame, members: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(node, component) of the classes that are linked. ``members``: doc_id, class_id, n_shingles of each document."""
+    rows = buckets(docs, members, size, threshold)
     percent = round(threshold * 100)
     close = lambda x, y: (F.col(x) * percent <= F.col(y) * 100) & (F.col(y) * percent <= F.col(x) * 100)
-    pairs = stored(rows.join(hubs, "sig").where((F.col("node") > F.col("hub")) & close("n", "hub_n")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    edges, done, others, first = verified(pairs, docs, size, threshold), pairs, None, 1
-    while True:
-        edges = stored(edges)
-        parts = components(edges)
-        named = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        spread = named.groupBy("sig").agg(F.min_by("component", F.struct("node")).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig", "main")
-        open_rows = named.join(spread, "sig")
-        # Pairs of different components are left. One of the two isn't in the first member's component: those are the pivots.
-        if others is None:
-            apart = open_rows.where("component != main")
-            others = stored(apart.withColumn("pos", F.row_number().over(Window.partitionBy("sig").orderBy("node"))).select("sig", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), "pos"))
-        pivots = others.where(F.col("pos").between(first, 2 * first - 1)).join(parts.withColumnsRenamed({"node": "pivot", "component": "pivot_component"}), "pivot", "left")
-        pivots = pivots.withColumn("pivot_component", F.coalesce("pivot_component", "pivot"))
-        again = open_rows.join(pivots, "sig").where((F.col("component") != F.col("pivot_component")) & close("n", "pivot_n"))
-        again = again.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        pairs = stored(again.join(done, ["a", "b"], "left_anti"))
-        first *= 2
-        if pairs.limit(1).count() == 0:
-            if others.where(F.col("pos") >= first).limit(1).count() == 0:
-                return edges, parts
-            continue
-        edges, done = edges.unionByName(verified(pairs, docs, size, threshold)), done.unionByName(pairs)
+    hubs = rows.groupBy("sig").agg(F.min_by("node", F.struct("node")).alias("hub"), F.min_by("n", F.struct("node")).alias("hub_n"), F.max("node").alias("last")).where("hub < last").drop("last")
+    first = stored(rows.join(hubs, "sig").where((F.col("node") > F.col("hub")) & close("n", "hub_n")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    edges = stored(verified(first, docs, size, threshold))
+    parts = stored(components(edges))
+    # What is left: pairs of different components in one bucket, neither of them its first member. One of the two lies
+    # outside the first member's component, so a large component costs a pair for each such member only.
+    named = stored(rows.join(hubs.select("sig"), "sig", "left_semi").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    spread = named.groupBy("sig").agg(F.min("node").alias("hub"), F.min_by("component", F.struct("node")).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi and c > 2").select("sig", "hub", "main")
+    inner = stored(named.join(spread, "sig").where("node > hub").drop("hub"))
+    pivots = inner.where("component != main").select("sig", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"))
+    again = inner.join(pivots, "sig").where((F.col("component") != F.col("pivot_component")) & close("n", "pivot_n") & ((F.col("component") == F.col("main")) | (F.col("node") < F.col("pivot"))))
+    again = again.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    second = stored(again.join(first, ["a", "b"], "left_anti"))
+    if second.limit(1).count() == 0:
+        return parts
+    more = stored(verified(second, docs, size, threshold))
+    return components(edges.unionByName(more)) if more.limit(1).count() else parts
 
 
 def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -310,7 +347,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Data
     usable = sets.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
     members = stored(usable.join(classes, ["set_a", "set_b"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_shingles").alias("n_shingles")))
-    _, parts = linked(docs, members, size, threshold)
+    parts = linked(docs, members, size, threshold)
     of = members.select("doc_id", "class_id").join(parts.withColumnRenamed("node", "class_id"), "class_id", "left")
     return sets.select("doc_id", "n_shingles").join(of, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")
