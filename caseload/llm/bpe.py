@@ -34,6 +34,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+class OddBlank(Exception):
+    """A blank beside another space: the text around it is split as a whole."""
+
+
 class TreeEncoder:
     """Encodes and decodes by a fixed rank table; remembers pieces it has met."""
 
@@ -42,6 +46,7 @@ class TreeEncoder:
         self.token = {rank: token for token, rank in ranks.items()}
         self.stays: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """The plain merges: the lowest rank first, the leftmost of equals."""
@@ -111,9 +116,30 @@ class TreeEncoder:
             for at in range(half, len(text)):
                 if text[at] == " " and not text[at - 1].isspace():
                     return self.packed(text[:at]) + self.packed(text[at:])
+        first, *rest = text.split(" ")
+        known, chunk = self.chunks, self.chunk
+        try:
+            if first and (first[-1].isspace() or not rest):
+                raise OddBlank
+            return b"".join([self.pieced(first), *[known.get(x) or chunk(x) for x in rest]])
+        except OddBlank:
+            return self.pieced(text)
+
+    def pieced(self, text: str) -> bytes:
         known, piece = self.pieces, self.piece
         return b"".join([known.get(x) or piece(x) for x in self.split(text)])
 
+    def chunk(self, text: str) -> bytes:
+        """The ids of a blank and what follows it up to the next blank. The pattern breaks at both ends, unless spaces meet there."""
+        if not text or text[0].isspace() or text[-1].isspace():
+            raise OddBlank
+        known = self.pieced(" " + text)
+        if len(self.chunks) > CACHE:
+            self.chunks.clear()
+        if len(text) < 256:
+            self.chunks[text] = known
+        return known
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.packed(text), np.int32)
 
