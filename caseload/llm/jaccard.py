@@ -5,15 +5,15 @@ at least ``threshold`` the symmetric difference is at most H = (1-t)/(1+t) (|x|+
 and for each band the universe of shingles is partitioned by hash into segments. A segment is either exact (it can
 absorb no difference) or has its one-deletion neighbourhood indexed (it absorbs one). If the tolerances plus one add up
 to more than H, two similar sets agree on a segment; with some to spare, each set may leave as many exact segments
-out, and it leaves out those that cost most: the most frequent in the whole table. (Among the segments on which two
-sets agree, the rarest is left out by neither, so agreement is still found. A set that meets others in no more segments
-than it may leave out has no partner.) How many segments get neighbourhoods is chosen for each band by a cost estimate
+out, and it leaves out those that cost most: first the popular ones in the whole table, then the smallest. (Among the
+segments on which two sets agree, the last in that order is left out by neither, so agreement is still found. A set
+that meets others in no more segments than it may leave out has no partner.) How many segments get neighbourhoods is chosen for each band by a cost estimate
 of index rows and of chance candidates.
 
 Sets that agree on a segment meet in a bucket. Each member is compared with the bucket's first one. After that only
 pairs of different components matter, and one of the two lies outside the first member's component: such members are
 compared with the rest of the bucket. So groups of near copies need no pair of all members, and no link between
-components is lost. Each candidate pair is verified on the whole sets.
+components is lost. Parity sketches rule out most candidate pairs exactly; each other one is verified on the whole sets.
 
 Defined results for odd input: null or empty text is an empty set, linked with nothing; a text with fewer words than a
 shingle is one shingle; rows that share a doc_id are one document; null ids are never linked and have a null component;
@@ -37,9 +37,10 @@ from caseload.session import stored
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if 0x09 <= c <= 0x0D else c for c in range(256))
 #: Sizes of one band differ by this factor at most; chance that a segment's element is shared by two unlike sets, and
 #: the worth of one chance candidate in index rows, for the cost estimate; share of segments that may be left out.
-BAND, SHARED, CANDIDATE, SPARE = 1.25, 0.1, 2_000.0, 0.15
-#: Cells of the bitmaps that let rows through before a shuffle: 4 MB, whatever the input.
-CELLS = 1 << 25
+BAND, SHARED, CANDIDATE, SPARE = 1.25, 0.1, 2_000.0, 0.1
+#: Cells of the bitmaps that let rows through before a shuffle: 16 MB, whatever the input. A signature counts as popular
+#: from so many documents on.
+CELLS, POPULAR = 1 << 27, 6
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -150,9 +151,9 @@ def names(b: int, n: int) -> np.ndarray:
     return mixed(np.arange(n, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(b))
 
 
-def signatures(s: np.ndarray, b: int, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """What a set is indexed by in a band: signatures of its exact segments, those of its neighbourhoods, and how many
-    more exact ones it may leave out. Empty segments are left out first, as nothing is more frequent."""
+def signatures(s: np.ndarray, b: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """What a set is indexed by in a band: signatures of its exact segments and their sizes, those of its neighbourhoods,
+    and how many more exact ones it may leave out. Empty segments are left out first, as nothing is more frequent."""
     exact, deep, spare = plan(b, threshold)
     # Shingles are scrambled already; a product's upper half deals them anew for each band.
     segment = ((s * np.uint64(BAND_KEYS[b % 64]) >> np.uint64(32)) * np.uint64(exact + 2 * deep) >> np.uint64(32)).astype(np.int64)
@@ -163,13 +164,36 @@ def signatures(s: np.ndarray, b: int, threshold: float) -> tuple[np.ndarray, np.
     np.add.at(total, segment, s)
     name = names(b, n)
     whole = mixed(total ^ name)
-    empty = np.flatnonzero(np.bincount(segment, minlength=n)[:exact] == 0)[:spare]
-    out = np.delete(whole[:exact], empty) if len(empty) else whole[:exact]
+    sizes = np.bincount(segment, minlength=n)[:exact]
+    empty = np.flatnonzero(sizes == 0)[:spare]
+    out = whole[:exact]
+    if len(empty):
+        out, sizes = np.delete(out, empty), np.delete(sizes, empty)
     around = whole[exact:]
     if deep:
         inside = segment >= exact
         around = np.concatenate([around, mixed((total[segment[inside]] - s[inside]) ^ name[segment[inside]])])
-    return out, around, spare - len(empty)
+    return out, sizes, around, spare - len(empty)
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    cell = values & np.uint64(CELLS - 1)
+    return (bits[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
+
+
+def costly_first(sigs: np.ndarray, sizes: np.ndarray, popular: np.ndarray) -> np.ndarray:
+    """An order of segments that any two sets share: popular ones, then small ones, then by signature."""
+    return np.lexsort((sigs, sizes, ~in_bitmap(popular, sigs)))
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of how many elements fall in each of at least len(s) cells (a power of two, 64 or more), as words.
+
+    Two sets' sketches differ in no more cells than the sets differ in elements; folding halves keeps that.
+    """
+    cells = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def bands_for(n: int, threshold: float) -> range:
@@ -178,52 +202,45 @@ def bands_for(n: int, threshold: float) -> range:
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b): the size of each set and 128 bits that stand for it."""
+    """(doc_id, n_shingles, set_a, set_b, sketch): the size of each set, 128 bits that stand for it, and its parities."""
 
     def make():
         shingles = Shingler(size)
 
         def work(text: bytes | None):
             s = shingles(text)
-            return (len(s), *folded(s)) if len(s) else (0, None, None)
+            return (len(s), *folded(s), sketch(s)) if len(s) else (0, None, None, None)
 
         return work
 
-    return map_texts(docs, make, "n_shingles long, set_a long, set_b long", keep=["doc_id"])
+    return map_texts(docs, make, "n_shingles long, set_a long, set_b long, sketch array<long>", keep=["doc_id"])
 
 
-def index_rows(docs: DataFrame, size: int, threshold: float, wanted=None) -> DataFrame:
-    """(sig, doc_id, band, spare): every signature of every document's set; spare is how many exact ones of the band the
-    document may leave out, and -1 for a neighbourhood's. With ``wanted`` (a broadcast bitmap) only signatures in it, and
-    only bands in which more are left than may be left out."""
+def index_rows(docs: DataFrame, size: int, threshold: float, bitmaps=None) -> DataFrame:
+    """(sig, doc_id): every signature of every document's set. With ``bitmaps`` (broadcast: signatures that several
+    documents have, and popular ones) only what is in the first, without the costliest that each set may leave out."""
 
     def packed(parts):
         sigs = np.concatenate([p[0] for p in parts])
-        counts = [len(p[0]) for p in parts]
-        spread = lambda k, kind: pa.array(np.repeat(np.array([p[k] for p in parts], kind), counts))
-        return pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), spread(1, np.int64), spread(2, np.int16), spread(3, np.int32)], names=["sig", "doc_id", "band", "spare"])
+        ids = np.repeat(np.array([p[1] for p in parts], np.int64), [len(p[0]) for p in parts])
+        return pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(ids)], names=["sig", "doc_id"])
 
     def run(batches):
         shingles = Shingler(size)
-        bits = None if wanted is None else wanted.value
-
-        def among(sigs):
-            cell = sigs & np.uint64(CELLS - 1)
-            return sigs[(bits[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) == 1]
-
+        met, popular = (None, None) if bitmaps is None else bitmaps.value
         for batch in batches:
             parts, held = [], 0
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingles(text.as_py())
                 for b in bands_for(len(s), threshold) if len(s) else ():
-                    exact, around, spare = signatures(s, b, threshold)
-                    if bits is not None:
-                        exact, around = among(exact), among(around)
-                        if len(exact) <= spare:
-                            exact = exact[:0]
-                    for sigs, left in ((exact, spare), (around, -1)):
+                    exact, sizes, around, spare = signatures(s, b, threshold)
+                    if met is not None:
+                        hit = in_bitmap(met, exact)
+                        exact, around = exact[hit], around[in_bitmap(met, around)]
+                        exact = exact[costly_first(exact, sizes[hit], popular)[spare:]] if len(exact) > spare else exact[:0]
+                    for sigs in (exact, around):
                         if len(sigs):
-                            parts.append((sigs, node, b, left))
+                            parts.append((sigs, node))
                             held += len(sigs)
                 if held > 300_000:
                     yield packed(parts)
@@ -232,7 +249,7 @@ def index_rows(docs: DataFrame, size: int, threshold: float, wanted=None) -> Dat
                 yield packed(parts)
 
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "sig long, doc_id long, band smallint, spare int")
+    return rows.mapInArrow(run, "sig long, doc_id long")
 
 
 def bitmap(values: DataFrame, column: str) -> np.ndarray:
@@ -307,23 +324,33 @@ def components(edges: DataFrame) -> DataFrame:
 def buckets(docs: DataFrame, members: DataFrame, size: int, threshold: float) -> DataFrame:
     """(sig, node, n): the classes that meet under a signature which they don't leave out."""
     met = stored(index_rows(docs, size, threshold).groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"))
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(met, "sig"))
-    rows = index_rows(docs, size, threshold, wanted).join(met, "sig")
-    # Of each document's exact segments in a band, the most frequent are left out; windows are as small as a document.
-    place = F.row_number().over(Window.partitionBy("doc_id", "band", "spare").orderBy(F.desc("c"), "sig"))
-    rows = rows.withColumn("place", place).where(F.col("place") > F.col("spare")).select("sig", "doc_id")
-    rows = rows.join(members.select("doc_id", "class_id", F.col("n_shingles").alias("n")), "doc_id")
+    bitmaps = docs.sparkSession.sparkContext.broadcast((bitmap(met, "sig"), bitmap(met.where(F.col("c") >= POPULAR), "sig")))
+    rows = index_rows(docs, size, threshold, bitmaps).join(members.select("doc_id", "class_id", F.col("n_shingles").alias("n")), "doc_id")
     return stored(rows.groupBy("sig", F.col("class_id").alias("node")).agg(F.first("n").alias("n")))
 
 
-def linked(docs: DataFrame, members: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(node, component) of the classes that are linked. ``members``: doc_id, class_id, n_shingles of each document."""
+def near_enough(pairs: DataFrame, leads: DataFrame, threshold: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose sketches don't rule the threshold out. ``leads``: class_id, n, sketch."""
+    side = lambda v: leads.select(F.col("class_id").alias(v), F.col("n").alias(f"n_{v}"), F.col("sketch").alias(f"s_{v}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    half = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda u, v: u.bitwiseXOR(v))
+    x, y = F.col("s_a"), F.col("s_b")
+    # Sizes of a pair are within the threshold's ratio, so one sketch is at most twice as long.
+    x, y = F.when(F.size(x) > F.size(y), half(x)).otherwise(x), F.when(F.size(y) > F.size(x), half(y)).otherwise(y)
+    apart = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v)).cast("long")), F.lit(0).cast("long"), lambda t, v: t + v)
+    most = F.floor((1 - threshold) / (1 + threshold) * (F.col("n_a") + F.col("n_b")) + 1e-9)
+    return both.where(apart <= most).select("a", "b")
+
+
+def linked(docs: DataFrame, members: DataFrame, leads: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(node, component) of the classes that are linked. ``members``: doc_id, class_id, n_shingles of each document;
+    ``leads``: class_id, n, sketch of each class."""
     rows = buckets(docs, members, size, threshold)
     percent = round(threshold * 100)
     close = lambda x, y: (F.col(x) * percent <= F.col(y) * 100) & (F.col(y) * percent <= F.col(x) * 100)
     hubs = rows.groupBy("sig").agg(F.min_by("node", F.struct("node")).alias("hub"), F.min_by("n", F.struct("node")).alias("hub_n"), F.max("node").alias("last")).where("hub < last").drop("last")
     first = stored(rows.join(hubs, "sig").where((F.col("node") > F.col("hub")) & close("n", "hub_n")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    edges = stored(verified(first, docs, size, threshold))
+    edges = stored(verified(stored(near_enough(first, leads, threshold)), docs, size, threshold))
     parts = stored(components(edges))
     # What is left: pairs of different components in one bucket, neither of them its first member. One of the two lies
     # outside the first member's component, so a large component costs a pair for each such member only.
@@ -333,7 +360,7 @@ def linked(docs: DataFrame, members: DataFrame, size: int, threshold: float) ->
     pivots = inner.where("component != main").select("sig", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"))
     again = inner.join(pivots, "sig").where((F.col("component") != F.col("pivot_component")) & close("n", "pivot_n") & ((F.col("component") == F.col("main")) | (F.col("node") < F.col("pivot"))))
     again = again.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    second = stored(again.join(first, ["a", "b"], "left_anti"))
+    second = stored(near_enough(again.join(first, ["a", "b"], "left_anti"), leads, threshold))
     if second.limit(1).count() == 0:
         return parts
     more = stored(verified(second, docs, size, threshold))
@@ -346,8 +373,10 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> Data
     sets = stored(shingle_sets(docs, size))
     usable = sets.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
+    leads = usable.select("doc_id", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "class_id")
     members = stored(usable.join(classes, ["set_a", "set_b"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_shingles").alias("n_shingles")))
-    parts = linked(docs, members, size, threshold)
+    leads = stored(leads.join(members.select("class_id").distinct(), "class_id", "left_semi"))
+    parts = linked(docs, members, leads, size, threshold)
     of = members.select("doc_id", "class_id").join(parts.withColumnRenamed("node", "class_id"), "class_id", "left")
     return sets.select("doc_id", "n_shingles").join(of, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")

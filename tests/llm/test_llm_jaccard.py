@@ -78,9 +78,17 @@ def test_similar_sets_share_a_signature(n):
         shared = len(np.intersect1d(x, y))
         if not len(y) or 100 * shared < 80 * (len(x) + len(y) - shared):
             continue
-        met = 0
+        met, popular = 0, rng.integers(0, 1 << 63, jaccard.CELLS >> 6).astype(np.uint64)
         for b in set(jaccard.bands_for(len(x), 0.8)) & set(jaccard.bands_for(len(y), 0.8)):
-            (ex, ax, rx), (ey, ay, ry) = (jaccard.signatures(s, b, 0.8) for s in (x, y))
-            common = len(set(ex.tolist()) & set(ey.tolist()))
-            met += bool(set(ax.tolist()) & set(ay.tolist())) or common > min(rx, ry)
+            left = []
+            (ex, sx, ax, rx), (ey, sy, ay, ry) = (jaccard.signatures(s, b, 0.8) for s in (x, y))
+            common = np.intersect1d(ex, ey)
+            for sigs, sizes, spare in ((ex, sx, rx), (ey, sy, ry)):
+                hit = np.isin(sigs, common)
+                left.append(set(sigs[hit][jaccard.costly_first(sigs[hit], sizes[hit], popular)[spare:]].tolist()))
+            met += bool(set(ax.tolist()) & set(ay.tolist())) or bool(left[0] & left[1])
         assert met
+        a, b = jaccard.sketch(x), jaccard.sketch(y)
+        for _ in range(8):
+            a, b = (a[: len(a) // 2] ^ a[len(a) // 2 :] if len(a) > len(b) else a), (b[: len(b) // 2] ^ b[len(b) // 2 :] if len(b) > len(a) else b)
+        assert sum(int(v).bit_count() for v in (a ^ b).view(np.uint64)) <= len(x) + len(y) - 2 * shared
