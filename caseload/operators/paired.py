@@ -12,6 +12,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseload.functions import scalars as S
 
@@ -36,7 +37,7 @@ def transitions(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mcnemar(b: pd.Series, c: pd.Series) -> pd.Series:
     """Exact two-sided McNemar p of discordant counts: one value for each row of counts."""
     return pd.Series([S.mcnemar_exact(int(x), int(y)) for x, y in zip(b, c, strict=True)])
