@@ -353,20 +353,86 @@ def linked(docs: DataFrame, members: DataFrame, leads: DataFrame, size: int, thr
     edges = stored(verified(stored(near_enough(first, leads, threshold)), docs, size, threshold))
     parts = stored(components(edges))
     # What is left: pairs of different components in one bucket, neither of them its first member. One of the two lies
-    # outside the first member's component, so a large component costs a pair for each such member only.
+    # outside the first member's component.
     named = stored(rows.join(hubs.select("sig"), "sig", "left_semi").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    spread = named.groupBy("sig").agg(F.min("node").alias("hub"), F.min_by("component", F.struct("node")).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi and c > 2").select("sig", "hub", "main")
-    inner = stored(named.join(spread, "sig").where("node > hub").drop("hub"))
-    pivots = inner.where("component != main").select("sig", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"))
-    again = inner.join(pivots, "sig").where((F.col("component") != F.col("pivot_component")) & close("n", "pivot_n") & ((F.col("component") == F.col("main")) | (F.col("node") < F.col("pivot"))))
-    again = again.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    second = stored(near_enough(again.join(first, ["a", "b"], "left_anti"), leads, threshold))
+    spread = named.groupBy("sig").agg(F.min("node").alias("hub"), F.min_by("component", F.struct("node")).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi and c > 2").select("sig", "hub", "main", "c")
+    inner = named.join(spread, "sig").where("node > hub").drop("hub").join(leads.select(F.col("class_id").alias("node"), "sketch"), "node")
+    second = stored(apart_but_near(inner, threshold).distinct())
     if second.limit(1).count() == 0:
         return parts
     more = stored(verified(second, docs, size, threshold))
     return components(edges.unionByName(more)) if more.limit(1).count() else parts
 
 
+#: Members of a bucket that one task compares at a time.
+BLOCK = 2048
+
+
+def apart_but_near(inner: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): members of one bucket in different components whose sizes and sketches don't rule the threshold out.
+
+    ``inner``: sig, node, n, component, main (its bucket's first component), c (its size), sketch. Rows are sorted by
+    bucket and compared in a running pass; a bucket of more than ``BLOCK`` members is dealt to blocks, and pairs of
+    blocks go to tasks of their own. Pairs that a sketch rules out never become rows.
+    """
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    dealt = inner.withColumns({"k": blocks, "at": F.pmod(F.xxhash64("node"), blocks).cast("int")})
+    spots = F.sequence(F.lit(0), F.col("k") - 1)
+    pairs_of = F.when(F.col("k") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
+        F.array_union(F.transform(spots, lambda j: F.struct(F.col("at").alias("i"), j.alias("j"))), F.transform(spots, lambda i: F.struct(i.alias("i"), F.col("at").alias("j"))))
+    )
+    rows = dealt.withColumn("x", F.explode(pairs_of)).select("sig", "x.i", "x.j", "at", "node", "n", "component", "main", "sketch")
+    rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    share = (1 - threshold) / (1 + threshold)
+    percent = round(threshold * 100)
+
+    def near(x, y) -> bool:
+        if x[1] * percent > y[1] * 100 or y[1] * percent > x[1] * 100:
+            return False
+        sx, lx, sy, ly = x[4], x[5], y[4], y[5]
+        while lx > ly:
+            lx //= 2
+            sx = (sx >> lx) ^ (sx & ((1 << lx) - 1))
+        while ly > lx:
+            ly //= 2
+            sy = (sy >> ly) ^ (sy & ((1 << ly) - 1))
+        return (sx ^ sy).bit_count() <= math.floor(share * (x[1] + y[1]) + 1e-9)
+
+    def compared(key, members, found):
+        _, i, j = key
+        right = [y for y in members if y[6] == j]
+        for x in members:
+            if x[6] == i and x[2] != x[3]:
+                for y in right:
+                    if x[2] != y[2] and (y[2] == y[3] or y[0] > x[0]) and near(x, y):
+                        found.add((min(x[0], y[0]), max(x[0], y[0])))
+
+    def out(found):
+        got = sorted(found)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in got], pa.int64()), pa.array([p[1] for p in got], pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        last, members, found = None, [], set()
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(8)]
+            words = batch.column(8)
+            for r, (sig, i, j, at, node, n, component, main) in enumerate(zip(*columns, strict=True)):
+                if (sig, i, j) != last:
+                    if len(members) > 1:
+                        compared(last, members, found)
+                    last, members = (sig, i, j), []
+                sketch_words = words[r].values.to_numpy()
+                members.append((node, n, component, main, int.from_bytes(sketch_words.tobytes(), "little"), 64 * len(sketch_words), at))
+            if len(found) > 100_000:
+                yield out(found)
+        if len(members) > 1:
+            compared(last, members, found)
+        yield out(found)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id): each document's set size, the smallest id linked to it over any
     chain of links, and the smallest id with the very same set. ``docs`` needs doc_id and text."""
