@@ -22,8 +22,13 @@ def uniform(*key: Column | str) -> Column:
     return F.conv(F.substring(F.sha1(joined.cast("binary")), 1, HEX_DIGITS), 16, 10).cast("double") / float(16**HEX_DIGITS)
 
 
+def nonzero(n: Column) -> Column:
+    """A divisor: null instead of 0."""
+    return F.when(n != 0, n)
+
+
 def rate_null(k: Column, n: Column) -> Column:
-    return F.when(n != 0, k / n)
+    return k / nonzero(n)
 
 
 def rate_zero(k: Column, n: Column) -> Column:
@@ -37,7 +42,7 @@ def rate_nan(k: Column, n: Column) -> Column:
 def f_measure(precision: Column, recall: Column, beta: float = 1.0) -> Column:
     """F-beta; 0 where both are 0."""
     b = beta * beta
-    return F.when(b * precision + recall > 0, (1 + b) * precision * recall / (b * precision + recall)).otherwise(0.0)
+    return F.coalesce((1 + b) * precision * recall / nonzero(b * precision + recall), F.lit(0.0))
 
 
 def f1_counts(tp: Column, fp: Column, fn: Column) -> Column:
@@ -46,7 +51,8 @@ def f1_counts(tp: Column, fp: Column, fn: Column) -> Column:
 
 def wilson(k: Column, n: Column, z: float = Z, clip: bool = True, empty: tuple[float, float] | None = (0.0, 1.0)) -> tuple[Column, Column]:
     """Score interval of k out of n. ``empty`` is the interval for n = 0 (None: null)."""
-    p = k / F.when(n != 0, n)
+    n = nonzero(n)
+    p = k / n
     d = 1 + z * z / n
     middle = (p + z * z / (2 * n)) / d
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) / d
@@ -54,7 +60,7 @@ def wilson(k: Column, n: Column, z: float = Z, clip: bool = True, empty: tuple[f
     if clip:
         low, high = F.greatest(F.lit(0.0), low), F.least(F.lit(1.0), high)
     fill = (None, None) if empty is None else empty
-    return tuple(F.when(n != 0, x).otherwise(F.lit(e)) for x, e in zip((low, high), fill, strict=True))
+    return tuple(F.when(n.isNotNull(), x).otherwise(F.lit(e)) for x, e in zip((low, high), fill, strict=True))
 
 
 def kappa(tp: Column, fp: Column, fn: Column, tn: Column) -> Column:
@@ -62,14 +68,14 @@ def kappa(tp: Column, fp: Column, fn: Column, tn: Column) -> Column:
     n = tp + fp + fn + tn
     observed = rate_null(tp + tn, n)
     chance = rate_null((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn), n * n)
-    return F.when(chance < 1, (observed - chance) / (1 - chance))
+    return (observed - chance) / nonzero(1 - chance)
 
 
 def f1_interval(tp: Column, fp: Column, fn: Column, z: float = Z) -> tuple[Column, Column]:
     """Delta-method interval of F1 over the cells of the table."""
     s = 2.0 * tp + fp + fn
     f1 = 2.0 * tp / F.when(s != 0, s)
-    variance = 4 * tp * (fp + fn) * (tp + fp + fn) / F.pow(s, 4)
+    variance = 4 * tp * (fp + fn) * (tp + fp + fn) / F.pow(nonzero(s), 4)
     half = z * F.sqrt(variance)
     return F.greatest(F.lit(0.0), f1 - half), F.least(F.lit(1.0), f1 + half)
 
@@ -120,7 +126,7 @@ def shown_discount(paid: Column, listed: Column) -> Column:
 
 def placed_between(value: Column, floor: Column, ceiling: Column) -> Column:
     """Place between floor (0) and ceiling (100), clipped; null if they meet."""
-    return F.when(ceiling != floor, 100 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - floor) / (ceiling - floor))))
+    return 100 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - floor) / nonzero(ceiling - floor)))
 
 
 def outcome(standard: Column, scored: Column) -> Column:

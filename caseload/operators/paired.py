@@ -120,8 +120,8 @@ def mann_whitney(rows: DataFrame, keys: list[str], value: str, group: str) -> Da
     n1, n0 = F.col("n1"), F.col("n0")
     n = n1 + n0
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    variance = n1 * n0 / 12 * ((n + 1) - F.col("t") / (n * (n - 1)))
-    return s.select(*keys, "n1", "n0", u.alias("u"), F.when(variance > 0, (u - n1 * n0 / 2) / F.sqrt(variance)).alias("z"))
+    variance = n1 * n0 / 12 * ((n + 1) - F.col("t") / S.nonzero(n * (n - 1)))
+    return s.select(*keys, "n1", "n0", u.alias("u"), ((u - n1 * n0 / 2) / F.sqrt(S.nonzero(variance))).alias("z"))
 
 
 def spearman(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

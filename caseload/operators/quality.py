@@ -68,7 +68,7 @@ def rates(counted: DataFrame) -> DataFrame:
             "elusion": S.rate_zero(fn, fn + tn),
             "kappa": F.when(two, S.kappa(tp, fp, fn, tn)),
             "brier": S.rate_null(F.col("sum_sq"), n),
-            "log_loss": F.when(two, F.col("sum_log") / n),
+            "log_loss": F.when(two, S.rate_null(F.col("sum_log"), n)),
             "inconsistent": S.rate_null(F.col("n_inconsistent"), n),
             "precision_low": lows[0],
             "recall_low": lows[1],
@@ -113,8 +113,8 @@ def ranking(decisions: DataFrame, keys: list[str]) -> DataFrame:
     two = (F.first("all_pos") > 0) & (F.first("all_neg") > 0)
     s = by_score(decisions, keys).withColumn("f1", 2.0 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("all_pos")))
     return s.groupBy(*keys).agg(
-        F.when(two, F.sum(F.col("pos") * (F.col("all_neg") - F.col("fp") + 0.5 * F.col("neg"))) / (F.first("all_pos") * F.first("all_neg"))).alias("roc_auc"),
-        F.when(two, F.sum(F.col("pos") / F.col("all_pos") * F.col("tp") / (F.col("tp") + F.col("fp")))).alias("average_precision"),
+        F.when(two, S.rate_null(F.sum(F.col("pos") * (F.col("all_neg") - F.col("fp") + 0.5 * F.col("neg"))), F.first("all_pos") * F.first("all_neg"))).alias("roc_auc"),
+        F.when(two, F.sum(F.col("pos") / S.nonzero(F.col("all_pos")) * F.col("tp") / (F.col("tp") + F.col("fp")))).alias("average_precision"),
         F.when(two, F.max("f1")).alias("best_f1"),
         F.when(two, F.max(F.struct("f1", -F.col("p")))["f1"]).alias("_check"),
         F.when(two, -F.max(F.struct(F.col("f1").alias("f"), (-F.col("p")).alias("q")))["q"]).alias("best_cut"),

@@ -117,7 +117,7 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     from caseload.functions.text import tidy
 
     rows = spark.read.format("binaryFile").load(path)
-    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", F.lit("ISO-8859-1")))
+    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
     return rows.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1).alias("id"), tidy(text).alias("text"))
 
 
