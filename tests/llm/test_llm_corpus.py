@@ -207,3 +207,19 @@ def test_pipeline_stage_by_stage(spark):
     encoder = bpe.TreeEncoder(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
     texts = {r["doc_id"]: r["text"] for r in masked.collect()}
     assert all(r["round_trip"] and r["ids"] == encoder.encode(texts[r["doc_id"]]).tolist() for r in last.collect())
+
+
+def test_pipeline_and_queries_on_odd_tables(spark, tmp_path):
+    good = "the quick brown fox jumps over a lazy dog while " * 2 + " ".join(f"word{i} tail{i * 7 % 31}" for i in range(60))
+    rows = [(1, good, "en", "s", 1), (1, good, "en", "s", 1), (2, None, "en", "s", None), (3, "", None, None, 0), (None, good + " x", None, "s", 5), (4, "a\x00b é " * 900, "fr", None, 9), (5, good + " end", "en", "t", 3)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    spark.createDataFrame([], kinds).write.parquet(f"{tmp_path}/none/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {r["doc_id"] for r in got} == {1, None} and all(r["round_trip"] for r in got)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    for name, query in queries.queries().items():
+        if name not in ("op8_nearest_neighbours", "op10_chat_format"):
+            assert query(spark, f"{tmp_path}/none").count() == 0
+            n = query(spark, f"{tmp_path}/odd").count()
+            assert n == len(rows) or name == "op2_mixing" and n >= len(rows)
