@@ -48,3 +48,40 @@ def unknown_words(docs: DataFrame, words: DataFrame) -> DataFrame:
     w = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word"))
     bad = w.join(words, "word", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n_unknown"))
     return w.groupBy("doc_id").agg(F.count("*").alias("n_words")).join(bad, "doc_id", "left").withColumn("n_unknown", F.coalesce("n_unknown", F.lit(0)))
+
+
+def header_fields(docs: DataFrame) -> DataFrame:
+    """(doc_id, field, value) of a message's header block: the lines before the first blank one, wrapped lines joined."""
+    head = F.regexp_replace(F.get(F.split("text", r"\n\s*\n", 2), 0), r"\n[ \t]+", " ")
+    lines = docs.select("doc_id", F.explode(F.split(head, "\n")).alias("line"))
+    part = lambda k: F.regexp_extract("line", r"^(From|To|Cc|Bcc|Subject|Date):\s*(.*)$", k)
+    return lines.select("doc_id", F.lower(part(1)).alias("field"), F.trim(part(2)).alias("value")).where("field != ''")
+
+
+def header_names(docs: DataFrame, least: int = 2) -> DataFrame:
+    """(surname, n): surnames of people in address fields, in at least ``least`` messages."""
+    people = header_fields(docs).where("field in ('from', 'to', 'cc', 'bcc')").select("doc_id", F.explode(T.address_names("value")).alias("name"))
+    surname = F.element_at(F.split("name", " "), -1)
+    return people.select("doc_id", surname.alias("surname")).distinct().groupBy("surname").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def recall_by_tier(answers: DataFrame) -> DataFrame:
+    """Answers about known entities (tier, asked, kind, hit) by tier and by kind: rates, and the rate of saying yes."""
+    return answers.groupingSets([["tier", "kind"], ["tier"], []], "tier", "kind").agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("rate"))
+
+
+def topic_ceiling(labels: DataFrame, topic: str) -> DataFrame:
+    """The accuracy that knowing the topic alone allows: the larger class of each topic."""
+    at = labels.groupBy(topic).agg(F.count_if(F.col("gold") == 1).alias("a"), F.count_if(F.col("gold") == 0).alias("b"))
+    return at.agg((F.sum(F.greatest("a", "b")) / F.sum(F.col("a") + F.col("b"))).alias("ceiling"), F.sum(F.col("a") + F.col("b")).alias("n"))
+
+
+def composite(channels: DataFrame, bounds: dict[str, tuple[float, float]], key: str) -> DataFrame:
+    """Channels placed between their floor and ceiling, averaged over those that have a value, and ranked."""
+    from caseload.functions import scalars as S
+
+    placed = [S.placed_between(F.col(c), F.lit(low), F.lit(high)) for c, (low, high) in bounds.items()]
+    known = F.filter(F.array(*placed), lambda x: x.isNotNull())
+    mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(known), F.lit(1)))
+    out = channels.select(key, mean.alias("composite"), F.size(known).alias("n_channels"))
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("composite"), key)))

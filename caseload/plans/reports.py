@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseload.functions import scalars as S
+from caseload.operators import corpus as C
 from caseload.operators import quality as Q
 from caseload.operators import review as V
 from caseload.plans.quality import COUNTS, HEAD, zero
@@ -105,3 +106,28 @@ def rolled_up_orders(spark, sf) -> DataFrame:
 
 
 register("rel1_rollup", rolled_up_orders, "SELECT n_name, o_orderpriority, count(*) AS n, sum(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name, o_orderpriority)")
+
+
+def _channels(spark, sf) -> DataFrame:
+    """Each source's accuracy by model, as channels."""
+    d = predictions(spark, sf).where("arm = 'multi' and not error and gold is not null")
+    right = F.avg(F.when(F.col("label") == F.col("gold"), 1.0).otherwise(0.0))
+    return d.groupBy("source").pivot("model", ["small", "mid", "large"]).agg(right)
+
+
+_CHANNELS = f"{HEAD}, ch AS (SELECT source, model, 100 * greatest(0, least(1, (avg((label = gold)::INT::DOUBLE) - 0.5e0) / (1.0e0 - 0.5e0))) AS v FROM ok WHERE arm = 'multi' GROUP BY ALL)"
+register(
+    "agg42_composite",
+    lambda s, sf: C.composite(_channels(s, sf), {m: (0.5, 1.0) for m in ("small", "mid", "large")}, "source").select("source", "composite", "n_channels"),
+    f"{_CHANNELS} SELECT source, avg(v) AS composite, count(*) AS n_channels FROM ch GROUP BY ALL",
+)
+register(
+    "agg39_topic_ceiling",
+    lambda s, sf: C.topic_ceiling(gold(s, sf).where("question = 'quality'").join(table(s, sf, "documents").select("doc_id", "lang"), "doc_id"), "lang"),
+    "WITH t AS (SELECT lang, count(*) FILTER (quality = 1) AS a, count(*) FILTER (quality = 0) AS b FROM labels JOIN documents USING (doc_id) GROUP BY ALL) SELECT sum(greatest(a, b))::DOUBLE / sum(a + b) AS ceiling, sum(a + b) AS n FROM t",
+)
+register(
+    "agg38_recall_by_tier",
+    lambda s, sf: C.recall_by_tier(predictions(s, sf).where("not error and gold is not null").select(F.col("model").alias("tier"), F.col("question").alias("kind"), (F.col("label") == F.col("gold")).alias("hit"))),
+    f"{HEAD} SELECT model AS tier, question AS kind, count(*) AS n, avg((label = gold)::INT::DOUBLE) AS rate FROM ok GROUP BY GROUPING SETS ((model, question), (model), ())",
+)

@@ -159,3 +159,13 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "mail" / "m1.txt").write_bytes(b"caf\xe9\r\n\r\n\r\n\r\nx")
     (tmp_path / "mail" / "m2.txt").write_bytes("café".encode())
     assert {r["id"]: r["text"] for r in files.read_messages(spark, str(tmp_path / "mail")).collect()} == {"m1": "café\n\nx", "m2": "café"}
+
+
+def test_message_headers(spark):
+    from caseload.operators import corpus as C
+
+    rows = [(1, "From: Doe, Jane <j@x>\nTo: Bob Smith,\n Ann Lee\nX-SDOC: 1\n\nTo: not a header"), (2, "From: Jane Doe\nSubject: hi\n\nbody"), (3, "no header")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["field"]): r["value"] for r in C.header_fields(df).collect()}
+    assert got == {(1, "from"): "Doe, Jane <j@x>", (1, "to"): "Bob Smith, Ann Lee", (2, "from"): "Jane Doe", (2, "subject"): "hi"}
+    assert {r["surname"]: r["n"] for r in C.header_names(df, 1).collect()}["Smith"] == 1
