@@ -118,7 +118,7 @@ def fit(rows: DataFrame, sample: int = 8192) -> Quantiser | None:
     return Quantiser(matrix(got.column("embedding"))) if got.num_rows else None
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, block_rows: int = 2048, query_rows: int = 1024, rerank: int = 80) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, block_rows: int = 16_384, query_rows: int = 512, rerank: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``vectors`` (vec_id, embedding) with ``is_query``, the nearest ``k``
     found among all other rows. ``rerank`` estimates of each block are scored exactly."""
     rows = usable(vectors)
@@ -136,7 +136,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, block_rows: int = 2048, qu
                 got = shared.value.packed(matrix(part.column(at)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in got], pa.binary())], names=["vec_id", "embedding", "code"])
 
-    index = stored(rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(encode, "vec_id long, embedding array<double>, code binary"))
+    kind = rows.schema["embedding"].dataType.simpleString()
+    index = stored(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(encode, f"vec_id long, embedding {kind}, code binary"))
     n, asked = index.agg(F.count("*"), F.count_if(is_query)).first()
     if not asked:
         return empty
