@@ -4,8 +4,10 @@ Each byte is decomposed into eight binary choices; each choice has a context tre
 ``DEPTH`` of them. Every node holds a Krichevsky-Trofimov estimate from all training counts, and a node's weighted
 probability mixes its own estimate, one half, with the product of its children's. With the counts fixed, the chance of
 a choice is a mixture over all depths, weighted by how well each depth codes the training texts; so a byte's code
-length depends on the bytes before it alone and stands in a table. The ``max_contexts`` most frequent contexts
-are kept; the others under one parent share one leaf, so that the table's size is bounded.
+length depends on the bytes before it alone. Every context seen is kept: the trees stand in stored tables, are weighted
+in groups of the contexts with the same last ``SUFFIX`` bytes (256^2 contexts each at most), and the levels above, whose
+number is bounded by 256^2 contexts too, are weighted on the driver. The most frequent grams' chances go to every task;
+all other grams of the texts meet theirs in a join.
 
 Texts have A-Z in lower case; byte 0xFF, which UTF-8 never holds, stands before a text and ends it.
 
@@ -30,6 +32,12 @@ DEPTH = 5
 END = 0xFF
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 CHUNK_BYTES = 8 << 20
+#: Contexts with the same last bytes, so many, are weighted together.
+SUFFIX = 3
+#: Grams that are weighted at once, if one group isn't larger.
+CHUNK_GRAMS = 100_000
+#: Places of the table of frequent grams, as a power of two; of grams that share a place, the most frequent one has it.
+SLOT_BITS = 21
 #: Distinct words a task holds before it sends its counts on.
 FLUSH = 400_000
 
@@ -214,7 +222,8 @@ class Table:
 
 
 def fit_table(training: DataFrame, max_contexts: int = 12_288) -> Table:
-    """Counts over all of ``training``; the trees under each last byte are weighted in tasks of their own."""
+    """A table of bounded size, in which the contexts rarer than the ``max_contexts`` most frequent ones share a leaf under
+    their parent: an approximation, which ``score_texts`` doesn't use."""
     grams = stored(gram_counts(training))
     least = least_count(grams, max_contexts)
 
@@ -229,6 +238,149 @@ def fit_table(training: DataFrame, max_contexts: int = 12_288) -> Table:
     return Table([(r["last"], np.frombuffer(r["a"], np.int64), np.frombuffer(r["e"], np.int64), np.frombuffer(r["b"]).reshape(-1, 255), np.frombuffer(r["c"]), np.frombuffer(r["w"])) for r in rows])
 
 
+def at_depth(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Keys (context, choice) of the nodes so deep above or at these: the choice's number lies in the lowest byte."""
+    return keys & ((1 << (8 * depth + 8)) - 1)
+
+
+def grown(counts: np.ndarray, children: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log weighted probability, share of the own estimate and the estimate, of nodes with these zeros and ones."""
+    own, est = kt_log(counts[0], counts[1]), kt_one(counts[0], counts[1])
+    return (own, np.ones(len(own)), est) if children is None else (*weighted(own, children), est)
+
+
+class Deep:
+    """The trees from ``DEPTH`` up to ``SUFFIX`` over whole groups of grams; a gram with a count of 0 is a node never seen."""
+
+    def __init__(self, ctx: np.ndarray, byte: np.ndarray, n: np.ndarray):
+        level = np.arange(8)
+        self.bits = (byte[:, None] >> (7 - level)) & 1
+        keys, up = np.unique(((ctx[:, None] << 8) | (1 << level) | (byte[:, None] >> (8 - level))).ravel(), return_inverse=True)
+        each, bit = np.repeat(n, 8), self.bits.ravel()
+        counts, below = np.stack([np.bincount(up, each * (1 - bit)), np.bincount(up, each * bit)]), None
+        self.ups, self.levels = [up], []
+        for depth in range(DEPTH, SUFFIX - 1, -1):
+            below, share, est = grown(counts, below)
+            self.levels.append((share, est))
+            if depth > SUFFIX:
+                keys, up = np.unique(at_depth(keys, depth - 1), return_inverse=True)
+                self.ups.append(up)
+                counts, below = np.stack([np.bincount(up, c) for c in counts]), np.bincount(up, below)
+        self.keys, self.counts, self.below = keys, counts, below
+
+    def ones(self, upper: Upper) -> np.ndarray:
+        """The chance of a one at the eight choices of each gram."""
+        mixed, left = upper.mixture(self.keys)
+        for k in range(len(self.levels) - 1, -1, -1):
+            share, est = self.levels[k]
+            mixed, left = mixed + left * share * est, left * (1 - share)
+            mixed, left = mixed[self.ups[k]], left[self.ups[k]]
+        return mixed.reshape(-1, 8)
+
+
+class Upper:
+    """The levels above ``SUFFIX``, as what their estimates give and what is left to the levels below."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, children: np.ndarray):
+        found = []
+        for depth in range(SUFFIX - 1, -1, -1):
+            keys, up = np.unique(at_depth(keys, depth), return_inverse=True)
+            counts, children = np.stack([np.bincount(up, c, len(keys)) for c in counts]), np.bincount(up, children, len(keys))
+            children, share, est = grown(counts, children)
+            found.append((keys, share, est))
+        self.levels = []
+        for keys, share, est in reversed(found):
+            mixed, left = self.mixture(keys)
+            self.levels.append((keys, mixed + left * share * est, left * (1 - share)))
+
+    def mixture(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mixture over all levels that hold a node; a node never seen leaves one half of all to its parent's estimate."""
+        mixed, left = np.zeros(len(keys)), np.ones(len(keys))
+        for depth, (own, m, rest) in enumerate(self.levels):
+            if len(own):
+                wanted = at_depth(keys, depth)
+                at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+                met = own[at] == wanted
+                mixed, left = np.where(met, m[at], mixed), np.where(met, rest[at], left)
+        return mixed, left
+
+
+def by_suffix(grams: DataFrame, work, fields: str) -> DataFrame:
+    """``work`` on whole groups of grams with the same last ``SUFFIX`` bytes of context, many small ones at a time."""
+    mask = (1 << (8 * SUFFIX)) - 1
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            size += batch.num_rows
+            if size >= CHUNK_GRAMS:
+                rows = pa.concat_tables(held)
+                suffix = rows.column("ctx").to_numpy() & mask
+                cut = int(np.searchsorted(suffix, suffix[-1]))
+                if cut:
+                    yield work(rows.slice(0, cut))
+                held, size = [rows.slice(cut)], size - cut
+        if size:
+            yield work(pa.concat_tables(held))
+
+    dealt = grams.select("ctx", "byte", "n", F.col("ctx").bitwiseAND(F.lit(mask)).alias("suffix"))
+    return dealt.repartition("suffix").sortWithinPartitions("suffix").mapInArrow(run, fields)
+
+
+def deep(rows: pa.Table) -> Deep:
+    get = lambda c: rows.column(c).to_numpy().astype(np.int64)
+    return Deep(get("ctx"), get("byte"), get("n").astype(float))
+
+
+def fit_upper(grams: DataFrame) -> Upper:
+    """The upper levels over all grams (ctx, byte, n); what reaches the driver is bounded by the number of two-byte contexts."""
+
+    def sums(rows: pa.Table) -> pa.RecordBatch:
+        trees = deep(rows)
+        keys, up = np.unique(at_depth(trees.keys, SUFFIX - 1), return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, *(np.bincount(up, c) for c in (*trees.counts, trees.below)))], names=["key", "zeros", "ones", "below"])
+
+    got = by_suffix(grams, sums, "key long, zeros double, ones double, below double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()
+    get = lambda c: got.column(c).to_numpy()
+    return Upper(get("key"), np.stack([get("zeros"), get("ones")]), get("below"))
+
+
+def gram_logs(grams: DataFrame, upper) -> DataFrame:
+    """(code, n, p) of all grams: p is the log10 chance of the byte after its context, by all contexts seen."""
+
+    def logs(rows: pa.Table) -> pa.RecordBatch:
+        trees = deep(rows)
+        ones = trees.ones(upper.value)
+        p = np.log10(np.where(trees.bits == 1, ones, 1 - ones)).sum(1)
+        code = rows.column("ctx").to_numpy() << 8 | rows.column("byte").to_numpy().astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(rows.column("n").to_numpy()), pa.array(p)], names=["code", "n", "p"])
+
+    return by_suffix(grams, logs, "code long, n long, p double")
+
+
+def slots(code: np.ndarray) -> np.ndarray:
+    return (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+
+
+def frequent(logs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A table by slot of up to ``most`` grams, those of the highest counts, with their log10 chances."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    total, least = 0, 1 << 20
+    for r in sorted(logs.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        total += r["k"]
+        if total > most:
+            break
+        least = r["step"]
+    got = logs.where(step >= least).toArrow()
+    order = np.argsort(got.column("n").to_numpy(), kind="stable")
+    code, p = got.column("code").to_numpy()[order], got.column("p").to_numpy()[order]
+    keys, values = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS)
+    at = slots(code)
+    keys[at], values[at] = code, p
+    return keys, values
+
+
 def token_counts(training: DataFrame) -> DataFrame:
     """(word, n) over all training texts."""
 
@@ -250,14 +402,18 @@ def token_counts(training: DataFrame) -> DataFrame:
     return training.select(F.col("text").cast("binary")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score_texts(docs: DataFrame, training: DataFrame, keep: list[str], max_contexts: int = 12_288, hot_words: int = 30_000) -> DataFrame:
+def score_texts(docs: DataFrame, training: DataFrame, keep: list[str], hot_grams: int = 1 << 19, hot_words: int = 30_000) -> DataFrame:
     """The ``keep`` columns of ``docs`` with n_tokens, n_known, train_tokens, base_score, score (log10 chance of the text
     under the weighted trees) and bits_per_byte.
 
-    The ``hot_words`` most frequent words go to every task; all rarer ones meet their counts in a join.
+    The ``hot_words`` most frequent words and ``hot_grams`` most frequent grams go to every task; all rarer ones meet
+    their counts and chances in joins, so that these two numbers change no result.
     """
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(fit_table(training, max_contexts))
+    grams = stored(gram_counts(training))
+    upper = spark.sparkContext.broadcast(fit_upper(grams))
+    logs = stored(gram_logs(grams, upper))
+    table = spark.sparkContext.broadcast(frequent(logs, hot_grams))
     counts = stored(token_counts(training))
     n_texts = training.count()
     words, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -267,8 +423,7 @@ def score_texts(docs: DataFrame, training: DataFrame, keep: list[str], max_conte
     shared = spark.sparkContext.broadcast(hot)
 
     def make():
-        model, known = table.value, shared.value
-        trie, rows = model.trie(), model.rows
+        (keys, values), known = table.value, shared.value
         log_of = {w: math.log10((n + 0.5) / below) for w, n in known.items()}
         end = math.log10((n_texts + 0.5) / below)
 
@@ -285,23 +440,34 @@ def score_texts(docs: DataFrame, training: DataFrame, keep: list[str], max_conte
                     base += n * got
                     n_known += n
             c = codes(text)
-            score = model.log10_score(c, trie, rows)
-            return len(found) + 1, n_known, base, score, len(c), rare, rare_n
+            at = slots(c)
+            hit = keys[at] == c
+            score = float(values[at[hit]].sum())
+            missed, missed_n = np.unique(c[~hit], return_counts=True)
+            return len(found) + 1, n_known, base, score, len(c), rare, rare_n, missed, missed_n.astype(np.int32)
 
         return work
 
-    first = map_texts(docs, make, "n_tokens long, n_known long, base_score double, score double, n_bytes long, rare array<binary>, rare_n array<int>", keep)
+    first = map_texts(docs, make, "n_tokens long, n_known long, base_score double, score double, n_bytes long, rare array<binary>, rare_n array<int>, missed array<long>, missed_n array<int>", keep)
     first = stored(first.withColumn("_row", F.monotonically_increasing_id()))
     rare = first.select("_row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("rare_n").alias("k"))).alias("x")).select("_row", "x.word", "x.k")
     met = rare.join(counts, "word", "left").groupBy("_row").agg(
         F.sum(F.col("k") * F.log10((F.coalesce(F.col("n"), F.lit(0)) + 0.5) / F.lit(below))).alias("_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("_known")
     )
-    return first.drop("rare", "rare_n").join(met, "_row", "left").select(
+    missed = first.select("_row", F.explode(F.arrays_zip(F.col("missed").alias("code"), F.col("missed_n").alias("k"))).alias("x")).select("_row", "x.code", "x.k")
+    new = stored(missed.select("code").distinct().join(logs.select("code"), "code", "left_anti"))
+    fresh = new.select(F.shiftright("code", 8).alias("ctx"), F.col("code").bitwiseAND(F.lit(255)).cast("smallint").alias("byte"), F.lit(0).cast("long").alias("n"))
+    around = grams.join(fresh.select(F.col("ctx").bitwiseAND(F.lit((1 << (8 * SUFFIX)) - 1)).alias("s")).distinct(), F.col("ctx").bitwiseAND(F.lit((1 << (8 * SUFFIX)) - 1)) == F.col("s"), "left_semi")
+    unseen = gram_logs(around.unionByName(fresh), upper).where("n = 0")
+    chances = logs.unionByName(unseen).select("code", "p")
+    coded = missed.join(chances, "code").groupBy("_row").agg(F.sum(F.col("k") * F.col("p")).alias("_score"))
+    score = F.col("score") + F.coalesce("_score", F.lit(0.0))
+    return first.drop("rare", "rare_n", "missed", "missed_n").join(met, "_row", "left").join(coded, "_row", "left").select(
         *keep,
         "n_tokens",
         (F.col("n_known") + F.coalesce("_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
-        "score",
-        (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
+        score.alias("score"),
+        (-score * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )

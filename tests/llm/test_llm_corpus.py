@@ -79,6 +79,19 @@ def test_ctw_equals_brute_force(spark):
         assert r["score"] == pytest.approx(brute_ctw(training, text), abs=1e-3)
 
 
+def test_ctw_keeps_every_context_of_a_larger_corpus(spark):
+    rng = np.random.default_rng(5)
+    training = ["".join(chr(97 + k) for k in rng.integers(0, 12, 3000)) for _ in range(4)]
+    texts = [training[0][:60], "zebra 99", training[1][7:40] + "q", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    known = spark.createDataFrame([(t,) for t in training], "text string")
+    want = [brute_ctw(training, t) for t in texts]
+    for hot in (1 << 19, 50):
+        got = ctw.score_texts(docs, known, ["doc_id"], hot_grams=hot).orderBy("doc_id").collect()
+        for r, w in zip(got, want, strict=True):
+            assert r["score"] == pytest.approx(w, abs=1e-3)
+
+
 def test_ctw_table_is_a_distribution(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
     table = ctw.fit_table(docs, max_contexts=500)
