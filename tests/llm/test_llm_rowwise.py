@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import urllib.parse
@@ -131,6 +132,39 @@ def test_language_held_out_accuracy(spark):
     assert n > 150 and right / n > 0.97
 
 
+def brute_language(training, text):
+    """Posterior of each language, every word and n-gram counted being known."""
+    langs, counts = sorted({x for x, _ in training}), {}
+    for lang, t in training:
+        for w in langid.letter_words(t.encode()):
+            for size, unit in [(0, w), *((k, g) for k in langid.LENGTHS for g in langid.grams(w, k))]:
+                row = counts.setdefault(size, {}).setdefault(unit, dict.fromkeys(langs, 0))
+                row[lang] += 1
+
+    def logs(size, unit):
+        got = [math.log((counts[size][unit][x] + 0.5) / (sum(r[x] for r in counts[size].values()) + 0.5 * len(counts[size]))) for x in langs]
+        return [x - sum(got) / len(got) for x in got]
+
+    total = [0.0] * len(langs)
+    for w in langid.letter_words(text.encode()):
+        known = [logs(0, w)] if w in counts[0] else next((v for k in langid.LENGTHS if (v := [logs(k, g) for g in langid.grams(w, k) if g in counts[k]])), [[0.0] * len(langs)])
+        total = [a + sum(x) / len(known) for a, x in zip(total, zip(*known, strict=True), strict=True)]
+    best = max(total)
+    return langs[total.index(best)], 1 / sum(math.exp(x - best) for x in total)
+
+
+def test_language_knows_every_unit_counted(spark):
+    training = [("de", "haus und hof und haus die maus"), ("en", "house and mouse and house die and the hat"), ("fr", "la maison et la souris et maison hat")]
+    texts = ["die maus", "hat die haus", "housing maisons", "unds hofe", "souris zzz", "mouse hof"]
+    docs = spark.createDataFrame(training, "lang string, text string")
+    for most in (20_000, 2):
+        model = langid.fit(docs, max_words=most, max_grams=most)
+        got = langid.predict(documents(spark, texts), model).orderBy("doc_id").collect()
+        for r, text in zip(got, texts, strict=True):
+            want = brute_language(training, text)
+            assert r["lang_pred"] == want[0] and r["score"] == pytest.approx(want[1])
+
+
 def test_language_odd_input(spark):
     model = langid.fit(documents(spark, ["the house of the cat", "the dog", None]))
     got = langid.predict(documents(spark, [None, "", "123 ...", "the", "zzz"]), model).orderBy("doc_id").collect()
