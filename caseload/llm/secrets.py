@@ -1,9 +1,9 @@
 """Secret scans: base patterns over the text and over every layer that can be unwrapped from it.
 
 A worklist holds layers. A layer is scanned, then its URL escapes, Unicode escapes, base64 runs and compressed
-contents are unwrapped into further layers, until none is new (a layer is known by its characters and where they come
-from, which ends cycles). Each character of a layer knows the span of the original text it stands for, so a find in
-any layer gets a span there.
+contents are unwrapped into further layers, until none is new (a layer is known by its bytes and where they come from,
+which ends cycles). A layer is bytes, UTF-8 or not; each knows the span of the original text it stands for, so a find in
+any layer gets a span there. An escape that stands for no character stays as it is.
 
 Defined results for odd input: null text is the empty text, with no finds; repeated rows and ids are scanned row by
 row; other columns pass through untouched.
@@ -31,9 +31,14 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = ("passw", "secret", "token", "api")
 #: What may hold a further layer.
 URL_ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}")
-SPACE = re.compile(r"\s")
-UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+SPACE = re.compile(r"[ \t-\r]")
+UNICODE_ESCAPE = re.compile(r"\\u([Dd][89ABab][0-9A-Fa-f]{2})\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The same over line breaks; each line is also a run of its own.
+BASE64_LINES = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+NO_BASE64 = re.compile(r"[^A-Za-z0-9+/_-]+")
+#: Where gzip, zlib or zstandard contents may begin.
+PACKED = re.compile(r"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd")
 #: Decompressed bytes of one layer; a layer beyond it is read up to there and counted in ``n_cut``.
 MAX_LAYER = 256 << 20
 
@@ -51,101 +56,113 @@ def base_finds(text: str) -> list[tuple[str, int, int]]:
 
 
 class Layer:
-    """Text with the span of the original text that each of its characters stands for."""
+    """Bytes with the span of the original text that each of them stands for; ``text`` has a character for each byte."""
 
-    __slots__ = ("ends", "starts", "text")
+    __slots__ = ("data", "ends", "starts", "text")
 
-    def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, data: bytes, starts: np.ndarray, ends: np.ndarray):
+        self.data, self.starts, self.ends, self.text = data, starts, ends, data.decode("latin-1")
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         return int(self.starts[start:end].min()), int(self.ends[start:end].max())
 
     def key(self) -> bytes:
-        return hashlib.sha256(self.text.encode("utf-8", "surrogatepass") + self.starts.tobytes() + self.ends.tobytes()).digest()
+        return hashlib.sha256(self.data + self.starts.tobytes() + self.ends.tobytes()).digest()
+
+
+def whole(text: str) -> Layer:
+    """The original text as a layer: each byte stands for its character."""
+    data = text.encode("utf-8", "surrogatepass")
+    at = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1
+    return Layer(data, at, at + 1)
+
+
+def replaced(layer: Layer, start: int, end: int, escape: re.Pattern, meaning) -> Layer | None:
+    """The stretch with its escapes replaced; those without a meaning stay. None if nothing was replaced."""
+    out, starts, ends, i = [], [], [], start
+    for m in escape.finditer(layer.text, start, end):
+        got = meaning(m)
+        if got is None:
+            continue
+        low, high = layer.span(*m.span())
+        out += [layer.data[i : m.start()], got]
+        starts += [layer.starts[i : m.start()], np.full(len(got), low)]
+        ends += [layer.ends[i : m.start()], np.full(len(got), high)]
+        i = m.end()
+    if not out:
+        return None
+    return Layer(b"".join([*out, layer.data[i:end]]), np.concatenate([*starts, layer.starts[i:end]]), np.concatenate([*ends, layer.ends[i:end]]))
 
 
-def characters(data: bytes, starts: np.ndarray, ends: np.ndarray) -> Layer | None:
-    """Bytes with the span of each, as a layer; None if they aren't UTF-8."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    raw = np.frombuffer(data, np.uint8)
-    first = np.flatnonzero((raw & 0xC0) != 0x80)
-    last = np.append(first[1:], len(raw)) - 1
-    return Layer(text, starts[first], ends[last])
-
-
-def readable(text: str) -> bool:
-    return len(text) >= 8 and sum(c.isprintable() or c in "\r\n\t" for c in text) >= 0.95 * len(text)
-
-
-def from_url(layer: Layer, start: int, end: int) -> Layer | None:
-    data, at, i, s = bytearray(), [], start, layer.text
-    while i < end:
-        width = 3 if s[i] == "%" and i + 2 < end and re.fullmatch("[0-9A-Fa-f]{2}", s[i + 1 : i + 3]) else 1
-        got = bytes([int(s[i + 1 : i + 3], 16)]) if width == 3 else s[i].encode("utf-8", "surrogatepass")
-        data += got
-        at += [(i, i + width)] * len(got)
-        i += width
-    a = np.array(at)
-    return characters(bytes(data), layer.starts[a[:, 0]], layer.ends[a[:, 1] - 1])
-
-
-def from_unicode(layer: Layer, start: int, end: int) -> Layer | None:
-    out, at, i = [], [], start
-    for m in UNICODE_ESCAPE.finditer(layer.text, start, end):
-        out += layer.text[i : m.start()]
-        at += [(k, k + 1) for k in range(i, m.start())]
-        code = int(m[4]) if m[4] else int(m[1] or m[2] or m[3], 16)
-        if code > 0x10FFFF or 0xD800 <= code < 0xE000:
-            return None
-        out.append(chr(code))
-        at.append((m.start(), m.end()))
-        i = m.end()
-    out += layer.text[i:end]
-    at += [(k, k + 1) for k in range(i, end)]
-    a = np.array(at)
-    return Layer("".join(out), layer.starts[a[:, 0]], layer.ends[a[:, 1] - 1])
+def url_byte(m: re.Match) -> bytes:
+    return bytes([int(m[0][1:], 16)])
 
 
-def inflated(data: bytes) -> tuple[bytes, bool] | None:
-    """Decompressed gzip, zlib or zstandard contents and whether they were cut; None if it is none of these."""
-    if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0):
-        try:
-            box = zlib.decompressobj(47)
-            out = box.decompress(data, MAX_LAYER)
-            return out, bool(box.unconsumed_tail)
-        except zlib.error:
-            return None
+def escaped(m: re.Match) -> bytes | None:
+    """The escape's bytes in UTF-8; a code under 256 is one byte, as binary contents are escaped so."""
+    if m[1]:
+        return chr(0x10000 + ((int(m[1], 16) & 0x3FF) << 10) + (int(m[2], 16) & 0x3FF)).encode()
+    code = int(m[6]) if m[6] else int(m[3] or m[4] or m[5], 16)
+    if code < 256:
+        return bytes([code])
+    return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else chr(code).encode()
+
+
+def inflated(data: bytes) -> tuple[bytes, int, bool] | None:
+    """Decompressed gzip, zlib or zstandard contents, the number of bytes they took, and whether they were cut; None if it is
+    none of these. Members that follow each other are read as one; contents that break off are read up to there."""
     if data[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
         try:
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(MAX_LAYER)
-            return out, len(out) == MAX_LAYER
+            out = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read(MAX_LAYER)
+            return out, len(data), len(out) == MAX_LAYER
         except zstandard.ZstdError:
             return None
-    return None
+    out, rest, kind = b"", data, data[:2] if data[:2] == b"\x1f\x8b" else data[:1]
+    while rest[:len(kind)] == kind and len(out) < MAX_LAYER:
+        box = zlib.decompressobj(47)
+        try:
+            got = box.decompress(rest, MAX_LAYER - len(out))
+        except zlib.error:
+            got = broken(rest)
+            return (out + got, len(data), False) if out or got else None
+        out += got
+        if not box.eof:
+            return (out, len(data), bool(box.unconsumed_tail)) if out else None
+        rest = box.unused_data
+    return (out, len(data) - len(rest), len(out) >= MAX_LAYER) if out else None
+
+
+def broken(data: bytes) -> bytes:
+    """What can be read of contents with an error in them."""
+    box, out = zlib.decompressobj(47), []
+    try:
+        for i in range(len(data)):
+            out.append(box.decompress(data[i : i + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
 
 
-def from_base64(layer: Layer, start: int, end: int) -> tuple[Layer, bool] | None:
-    run = layer.text[start:end].rstrip("=").replace("-", "+").replace("_", "/")
-    if len(run) % 4 == 1:
-        return None
+def from_base64(layer: Layer, start: int, end: int) -> Layer | None:
+    at = np.concatenate([np.arange(a, b) for a, b in pieces(layer.text, start, end)])
+    at = at[: len(at) - (len(at) % 4 == 1)]
+    run = layer.data[start:end].translate(bytes.maketrans(b"-_", b"+/"), b"=\r\n \t")[: len(at)]
     try:
-        data = base64.b64decode(run + "=" * (-len(run) % 4))
+        data = base64.b64decode(run + b"=" * (-len(run) % 4))
     except (binascii.Error, ValueError):
         return None
-    packed = inflated(data)
-    if packed:
-        low, high = layer.span(start, end)
-        got = characters(packed[0], np.full(len(packed[0]), low), np.full(len(packed[0]), high))
-        return (got, packed[1]) if got else None
     i = np.arange(len(data))
-    got = characters(data, layer.starts[start + i * 4 // 3], layer.ends[start + ((i + 1) * 4 - 1) // 3])
-    return (got, False) if got and readable(got.text) else None
+    return Layer(data, layer.starts[at[i * 4 // 3]], layer.ends[at[((i + 1) * 4 - 1) // 3]])
+
+
+def pieces(text: str, start: int, end: int):
+    """The spans of a run's lines, without breaks and padding."""
+    for m in NO_BASE64.finditer(text, start, end):
+        yield start, m.start()
+        start = m.end()
+    yield start, end
 
 
 def tokens_with(escape: re.Pattern, text: str):
@@ -154,7 +171,7 @@ def tokens_with(escape: re.Pattern, text: str):
     for m in escape.finditer(text):
         if m.start() >= done:
             start = m.start()
-            while start > done and not text[start - 1].isspace():
+            while start > done and text[start - 1] not in " \t\n\v\f\r":
                 start -= 1
             gap = SPACE.search(text, m.end())
             done = gap.start() if gap else len(text)
@@ -166,27 +183,34 @@ def unwrapped(layer: Layer):
     text = layer.text
     if "%" in text:
         for start, end in tokens_with(URL_ESCAPE, text):
-            if (got := from_url(layer, start, end)) is not None:
+            if (got := replaced(layer, start, end, URL_ESCAPE, url_byte)) is not None:
                 yield got, False
     if "\\" in text or "&#" in text:
         for start, end in tokens_with(UNICODE_ESCAPE, text):
-            if (got := from_unicode(layer, start, end)) is not None:
+            if (got := replaced(layer, start, end, UNICODE_ESCAPE, escaped)) is not None:
                 yield got, False
-    for m in BASE64_RUN.finditer(text):
-        if (got := from_base64(layer, *m.span())) is not None:
-            yield got
+    for runs in (BASE64_RUN, BASE64_LINES):
+        for m in runs.finditer(text):
+            if (got := from_base64(layer, *m.span())) is not None:
+                yield got, False
+    done = 0
+    for m in PACKED.finditer(text):
+        if m.start() >= done and (got := inflated(layer.data[m.start() :])) is not None:
+            out, took, was_cut = got
+            done = m.start() + took if m[0][0] == "\x1f" and took < len(text) - m.start() else done
+            low, high = layer.span(m.start(), m.start() + took)
+            yield Layer(out, np.full(len(out), low), np.full(len(out), high)), was_cut
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, int]:
     """Finds in the text itself, further finds in its layers, the number of layers, and how many were cut."""
     base = base_finds(text)
-    if not ("%" in text or "\\" in text or "&#" in text or BASE64_RUN.search(text)):
+    if not ("%" in text or "\\" in text or "&#" in text or BASE64_RUN.search(text) or PACKED.search(text)):
         return base, [], 0, 0
-    n = np.arange(len(text) + 1)
-    todo, seen, found, cut = [Layer(text, n[:-1], n[1:])], set(), set(), 0
+    todo, seen, found, cut = [whole(text)], set(), set(), 0
     while todo:
         for layer, was_cut in unwrapped(todo.pop()):
-            if not layer.text or (key := layer.key()) in seen:
+            if not layer.data or (key := layer.key()) in seen:
                 continue
             seen.add(key)
             todo.append(layer)
@@ -226,14 +250,14 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         def work(text: bytes | None):
             if text is None:
                 return (None,)
-            whole = text.decode("utf-8", "replace")
-            base, more, _, _ = scan(whole)
+            original = text.decode("utf-8", "replace")
+            base, more, _, _ = scan(original)
             out, at = [], 0
             for start, end in sorted((a, b) for _, a, b in [*base, *more]):
                 if start >= at:
-                    out += [whole[at:start], mask]
+                    out += [original[at:start], mask]
                 at = max(at, end)
-            return ("".join([*out, whole[at:]]),)
+            return ("".join([*out, original[at:]]),)
 
         return work
 
