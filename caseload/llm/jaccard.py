@@ -1,6 +1,6 @@
 """N-gram Jaccard join by universe partitions and the pigeonhole principle.
 
-Documents are sets of word shingles. Copies of one set become one node first. For two sets with a Jaccard similarity of
+Rows are sets of word shingles. Rows of one set become one node first, whatever their ids. For two sets with a Jaccard similarity of
 at least ``threshold`` the symmetric difference is at most H = (1-t)/(1+t) (|x|+|y|). Sets are dealt to bands by size,
 and for each band the universe of shingles is partitioned by hash into segments. A segment is either exact (it can
 absorb no difference) or has its one-deletion neighbourhood indexed (it absorbs one). If the tolerances plus one add up
@@ -16,8 +16,9 @@ compared with the rest of the bucket. So groups of near copies need no pair of a
 components is lost. Parity sketches rule out most candidate pairs exactly; each other one is verified on the whole sets.
 
 Defined results for odd input: null or empty text is an empty set, linked with nothing; a text with fewer words than a
-shingle is one shingle; rows that share a doc_id are one document; null ids are never linked and have a null component;
-ties can't occur, as the smallest id names a component; an empty table gives an empty result.
+shingle is one shingle; rows that share a doc_id are judged by their own texts, each a member of what its text is linked
+to; null ids are never linked and have a null component; ties can't occur, as the smallest id names a component; an
+empty table gives an empty result; further columns, whatever their names, are passed on by ``first_of_each``.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from caseload.llm.rows import map_texts
+from caseload.llm.rows import map_texts, unused
 from caseload.session import stored
 
 #: A-Z in lower case, and each byte that parts words as a blank.
@@ -216,23 +218,41 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return map_texts(docs, make, "n_shingles long, set_a long, set_b long, sketch array<long>", keep=["doc_id"])
 
 
-def index_rows(docs: DataFrame, size: int, threshold: float, bitmaps=None) -> DataFrame:
-    """(sig, doc_id): every signature of every document's set. With ``bitmaps`` (broadcast: signatures that several
-    documents have, and popular ones) only what is in the first, without the costliest that each set may leave out."""
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(text, h) of the rows that can be linked; ``h`` is a hash of the id."""
+    return docs.where("doc_id is not null and text is not null").select(F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id").alias("h"))
+
+
+def lead_key() -> Column:
+    """Of a node: 64 bits of its set and of the smallest id that has it."""
+    return F.col("set_a").bitwiseXOR(F.xxhash64("class_id"))
+
+
+def index_rows(docs: DataFrame, size: int, threshold: float, leads, bitmaps=None) -> DataFrame:
+    """(sig, set_a, set_b): every signature of every distinct set. Rows whose id and set are not in the bitmap ``leads``
+    (broadcast) are copies of an indexed row. With ``bitmaps`` (broadcast: signatures that several sets have, and popular
+    ones) only what is in the first, without the costliest that each set may leave out."""
 
     def packed(parts):
         sigs = np.concatenate([p[0] for p in parts])
-        ids = np.repeat(np.array([p[1] for p in parts], np.int64), [len(p[0]) for p in parts])
-        return pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(ids)], names=["sig", "doc_id"])
+        times = [len(p[0]) for p in parts]
+        sets = [pa.array(np.repeat(np.array([p[k] for p in parts], np.int64), times)) for k in (1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), *sets], names=["sig", "set_a", "set_b"])
 
     def run(batches):
         shingles = Shingler(size)
+        first = leads.value
         met, popular = (None, None) if bitmaps is None else bitmaps.value
         for batch in batches:
             parts, held = [], 0
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for text, h in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 s = shingles(text.as_py())
-                for b in bands_for(len(s), threshold) if len(s) else ():
+                if not len(s):
+                    continue
+                set_a, set_b = folded(s)
+                if not in_bitmap(first, np.array([set_a ^ h], np.int64).view(np.uint64))[0]:
+                    continue
+                for b in bands_for(len(s), threshold):
                     exact, sizes, around, spare = signatures(s, b, threshold)
                     if met is not None:
                         hit = in_bitmap(met, exact)
@@ -240,7 +260,7 @@ def index_rows(docs: DataFrame, size: int, threshold: float, bitmaps=None) -> Da
                         exact = exact[costly_first(exact, sizes[hit], popular)[spare:]] if len(exact) > spare else exact[:0]
                     for sigs in (exact, around):
                         if len(sigs):
-                            parts.append((sigs, node))
+                            parts.append((sigs, set_a, set_b))
                             held += len(sigs)
                 if held > 300_000:
                     yield packed(parts)
@@ -248,8 +268,7 @@ def index_rows(docs: DataFrame, size: int, threshold: float, bitmaps=None) -> Da
             if held:
                 yield packed(parts)
 
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "sig long, doc_id long")
+    return keyed_texts(docs).mapInArrow(run, "sig long, set_a long, set_b long")
 
 
 def bitmap(values: DataFrame, column: str) -> np.ndarray:
@@ -262,45 +281,55 @@ def bitmap(values: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets reach the threshold; counted on the whole sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = pairs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("h")), "h"))
+#: Pairs that are verified beside one copy of their common side.
+BESIDE = 512
 
-    def among(batches):
-        bits = wanted.value
-        for batch in batches:
-            cell = batch.column(2).to_numpy().view(np.uint64) & np.uint64(CELLS - 1)
-            yield batch.filter(pa.array((bits[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) == 1))
 
-    texts = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id").alias("h"))
-    texts = texts.mapInArrow(among, "doc_id long, text binary, h long").select("doc_id", "text").dropDuplicates(["doc_id"])
-    texts = stored(texts.join(ids, "doc_id", "left_semi"))
-    both = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, threshold: float) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose sets reach the threshold; counted on the whole sets.
 
-    def run(batches):
-        shingles, held = Shingler(size), {}
-        percent = round(threshold * 100)
+    The side that stands in more pairs is sent once for each ``BESIDE`` of them, and the others pass by it in a sorted
+    stream, so a hub's text is neither repeated for each pair nor bound to one task.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("times"))
+    ids = stored(ids.join(nodes.select("node", "class_id", "set_a", "set_b"), "node"))
+    wanted = pairs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("class_id").alias("h")), "h"))
 
-        def of(node, text):
-            got = held.get(node)
-            if got is None:
-                if len(held) > 64:
-                    held.clear()
-                got = held[node] = shingles(text.as_py())
-            return got
+    def among(batches):
+        shingles, bits = Shingler(size), wanted.value
+        for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(bits, batch.column(1).to_numpy().view(np.uint64))))
+            found = [folded(shingles(text.as_py())) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))], names=["text", "h", "set_a", "set_b"])
+
+    texts = keyed_texts(docs).mapInArrow(among, "text binary, h long, set_a long, set_b long")
+    texts = texts.join(ids.select("node", "set_a", "set_b", F.xxhash64("class_id").alias("h")), ["set_a", "set_b", "h"])
+    texts = stored(texts.select("node", "text").dropDuplicates(["node"]))
+    times = ids.select("node", "times")
+    sided = pairs.join(times.withColumnsRenamed({"node": "a", "times": "ta"}), "a").join(times.withColumnsRenamed({"node": "b", "times": "tb"}), "b")
+    more, less = F.when(F.col("ta") >= F.col("tb"), F.struct(F.col("a").alias("n"), F.col("ta").alias("t"), F.col("b").alias("o"))), F.struct(F.col("b").alias("n"), F.col("tb").alias("t"), F.col("a").alias("o"))
+    sided = sided.select(F.coalesce(more, less).alias("x")).select(F.col("x.n").alias("hub"), F.col("x.o").alias("other"), F.pmod(F.xxhash64("x.o"), F.ceil(F.col("x.t") / BESIDE)).alias("salt"))
+    sided = stored(sided)
+    first = sided.select("hub", "salt").distinct().join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("other"), "text")
+    rest = sided.join(texts.withColumnRenamed("node", "other"), "other").select("hub", "salt", "other", "text")
+    rows = first.unionByName(rest).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("other"))
+    percent = round(threshold * 100)
 
+    def run(batches):
+        shingles, x = Shingler(size), np.empty(0, np.uint64)
         for batch in batches:
-            a, b, ta, tb = (batch.column(k) for k in range(4))
-            ia, ib, keep = a.to_pylist(), b.to_pylist(), []
-            for i in range(batch.num_rows):
-                x, y = of(ia[i], ta[i]), of(ib[i], tb[i])
+            hubs, others, keep = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
+            for hub, other, text in zip(hubs, others, batch.column(3), strict=True):
+                y = shingles(text.as_py())
+                if other is None:
+                    x = y
+                    continue
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * shared >= percent * (len(x) + len(y) - shared):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], names=["a", "b"])
+                    keep.append((min(hub, other), max(hub, other)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in keep], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -321,17 +350,19 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def buckets(docs: DataFrame, members: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(sig, node, n): the classes that meet under a signature which they don't leave out."""
-    met = stored(index_rows(docs, size, threshold).groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"))
-    bitmaps = docs.sparkSession.sparkContext.broadcast((bitmap(met, "sig"), bitmap(met.where(F.col("c") >= POPULAR), "sig")))
-    rows = index_rows(docs, size, threshold, bitmaps).join(members.select("doc_id", "class_id", F.col("n_shingles").alias("n")), "doc_id")
-    return stored(rows.groupBy("sig", F.col("class_id").alias("node")).agg(F.first("n").alias("n")))
+def buckets(docs: DataFrame, nodes: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(sig, node, n): the nodes that meet under a signature which they don't leave out."""
+    context = docs.sparkSession.sparkContext
+    leads = context.broadcast(bitmap(nodes.select(lead_key().alias("h")), "h"))
+    met = stored(index_rows(docs, size, threshold, leads).groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"))
+    bitmaps = context.broadcast((bitmap(met, "sig"), bitmap(met.where(F.col("c") >= POPULAR), "sig")))
+    rows = index_rows(docs, size, threshold, leads, bitmaps).join(nodes.select("set_a", "set_b", "node", "n"), ["set_a", "set_b"])
+    return stored(rows.groupBy("sig", "node").agg(F.first("n").alias("n")))
 
 
-def near_enough(pairs: DataFrame, leads: DataFrame, threshold: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose sketches don't rule the threshold out. ``leads``: class_id, n, sketch."""
-    side = lambda v: leads.select(F.col("class_id").alias(v), F.col("n").alias(f"n_{v}"), F.col("sketch").alias(f"s_{v}"))
+def near_enough(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose sketches don't rule the threshold out. ``nodes``: node, n, sketch."""
+    side = lambda v: nodes.select(F.col("node").alias(v), F.col("n").alias(f"n_{v}"), F.col("sketch").alias(f"s_{v}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     half = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda u, v: u.bitwiseXOR(v))
     x, y = F.col("s_a"), F.col("s_b")
@@ -342,25 +373,24 @@ def near_enough(pairs: DataFrame, leads: DataFrame, threshold: float) -> DataFra
     return both.where(apart <= most).select("a", "b")
 
 
-def linked(docs: DataFrame, members: DataFrame, leads: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(node, component) of the classes that are linked. ``members``: doc_id, class_id, n_shingles of each document;
-    ``leads``: class_id, n, sketch of each class."""
-    rows = buckets(docs, members, size, threshold)
+def linked(docs: DataFrame, nodes: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(node, component) of the ``nodes`` (node, class_id, set_a, set_b, n, sketch) that are linked."""
+    rows = buckets(docs, nodes, size, threshold)
     percent = round(threshold * 100)
     close = lambda x, y: (F.col(x) * percent <= F.col(y) * 100) & (F.col(y) * percent <= F.col(x) * 100)
     hubs = rows.groupBy("sig").agg(F.min_by("node", F.struct("node")).alias("hub"), F.min_by("n", F.struct("node")).alias("hub_n"), F.max("node").alias("last")).where("hub < last").drop("last")
     first = stored(rows.join(hubs, "sig").where((F.col("node") > F.col("hub")) & close("n", "hub_n")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    edges = stored(verified(stored(near_enough(first, leads, threshold)), docs, size, threshold))
+    edges = stored(verified(stored(near_enough(first, nodes, threshold)), docs, nodes, size, threshold))
     parts = stored(components(edges))
     # What is left: pairs of different components in one bucket, neither of them its first member. One of the two lies
     # outside the first member's component.
     named = stored(rows.join(hubs.select("sig"), "sig", "left_semi").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
     spread = named.groupBy("sig").agg(F.min("node").alias("hub"), F.min_by("component", F.struct("node")).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi and c > 2").select("sig", "hub", "main", "c")
-    inner = named.join(spread, "sig").where("node > hub").drop("hub").join(leads.select(F.col("class_id").alias("node"), "sketch"), "node")
+    inner = named.join(spread, "sig").where("node > hub").drop("hub").join(nodes.select("node", "sketch"), "node")
     second = stored(apart_but_near(inner, threshold).distinct())
     if second.limit(1).count() == 0:
         return parts
-    more = stored(verified(second, docs, size, threshold))
+    more = stored(verified(second, docs, nodes, size, threshold))
     return components(edges.unionByName(more)) if more.limit(1).count() else parts
 
 
@@ -386,26 +416,33 @@ def apart_but_near(inner: DataFrame, threshold: float) -> DataFrame:
     share = (1 - threshold) / (1 + threshold)
     percent = round(threshold * 100)
 
-    def near(x, y) -> bool:
-        if x[1] * percent > y[1] * 100 or y[1] * percent > x[1] * 100:
-            return False
-        sx, lx, sy, ly = x[4], x[5], y[4], y[5]
-        while lx > ly:
-            lx //= 2
-            sx = (sx >> lx) ^ (sx & ((1 << lx) - 1))
-        while ly > lx:
-            ly //= 2
-            sy = (sy >> ly) ^ (sy & ((1 << ly) - 1))
-        return (sx ^ sy).bit_count() <= math.floor(share * (x[1] + y[1]) + 1e-9)
+    def shorter(sketches: np.ndarray) -> np.ndarray:
+        """Sketches of half the cells."""
+        half = sketches.shape[-1] // 2
+        return sketches[..., :half] ^ sketches[..., half:]
 
     def compared(key, members, found):
         _, i, j = key
-        right = [y for y in members if y[6] == j]
+        groups = {}
+        for y in members:
+            if y[5] == j:
+                groups.setdefault(len(y[4]), []).append(y)
+        right = {}
+        for words, ys in groups.items():
+            sketches = np.stack([y[4] for y in ys])
+            right[words] = (*(np.array([y[k] for y in ys], np.int64) for k in range(4)), sketches, shorter(sketches) if words > 1 else None)
         for x in members:
-            if x[6] == i and x[2] != x[3]:
-                for y in right:
-                    if x[2] != y[2] and (y[2] == y[3] or y[0] > x[0]) and near(x, y):
-                        found.add((min(x[0], y[0]), max(x[0], y[0])))
+            if x[5] != i or x[2] == x[3]:
+                continue
+            words = len(x[4])
+            for w in (words // 2, words, 2 * words):  # sizes within the threshold's ratio: one sketch is at most twice as long
+                if w not in right:
+                    continue
+                node, n, component, main, sketches, halves = right[w]
+                mine, theirs = (x[4], sketches) if w == words else (shorter(x[4]), sketches) if w < words else (x[4], halves)
+                ok = (component != x[2]) & ((component == main) | (node > x[0])) & (x[1] * percent <= n * 100) & (n * percent <= x[1] * 100)
+                ok &= np.bitwise_count(theirs ^ mine).sum(1) <= np.floor(share * (x[1] + n) + 1e-9)
+                found.update((min(x[0], y), max(x[0], y)) for y in node[ok].tolist())
 
     def out(found):
         got = sorted(found)
@@ -422,8 +459,7 @@ def apart_but_near(inner: DataFrame, threshold: float) -> DataFrame:
                     if len(members) > 1:
                         compared(last, members, found)
                     last, members = (sig, i, j), []
-                sketch_words = words[r].values.to_numpy()
-                members.append((node, n, component, main, int.from_bytes(sketch_words.tobytes(), "little"), 64 * len(sketch_words), at))
+                members.append((node, n, component, main, words[r].values.to_numpy().view(np.uint64), at))
             if len(found) > 100_000:
                 yield out(found)
         if len(members) > 1:
@@ -433,47 +469,55 @@ def apart_but_near(inner: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id): each document's set size, the smallest id linked to it over any
-    chain of links, and the smallest id with the very same set. ``docs`` needs doc_id and text."""
+def in_components(docs: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows (doc_id, n_shingles, set_a, set_b), and (set_a, set_b, class_id, component) of the nodes."""
     sets = stored(shingle_sets(docs, size))
     usable = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
-    leads = usable.select("doc_id", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "class_id")
-    members = stored(usable.join(classes, ["set_a", "set_b"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_shingles").alias("n_shingles")))
-    leads = stored(leads.join(members.select("class_id").distinct(), "class_id", "left_semi"))
-    parts = linked(docs, members, leads, size, threshold)
-    of = members.select("doc_id", "class_id").join(parts.withColumnRenamed("node", "class_id"), "class_id", "left")
-    return sets.select("doc_id", "n_shingles").join(of, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")
+    classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()))  # written once, so ids stay
+    parts = linked(docs, nodes, size, threshold)
+    return sets, stored(nodes.join(parts, "node", "left").select("set_a", "set_b", "class_id", F.coalesce("component", "node").alias("component")))
+
+
+def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id): the size of each row's set, the smallest id linked to it over any
+    chain of links, and the smallest id with the very same set. ``docs`` needs doc_id and text."""
+    sets, nodes = in_components(docs, size, threshold)
+    named = nodes.join(nodes.groupBy("component").agg(F.min("class_id").alias("component_id")), "component").select("set_a", "set_b", "class_id", "component_id")
+    known = F.col("doc_id").isNotNull()  # a set without words is null and meets nothing
+    return sets.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left").select(
+        "doc_id", "n_shingles", F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id")
     )
 
 
 def first_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the row with the smallest id stays, once.
+    """The rows of ``docs`` without near duplicates: of each component one row with the smallest id stays.
 
-    Rows without id, and rows with an empty set, stay. Texts are shuffled only for ids of which a row goes (and those
-    that share a bitmap cell with one).
+    Of several such rows the one whose text and then other columns come first by hash and as JSON stays. Rows without id,
+    and rows with an empty set, stay. Texts are shuffled only for ids of which a row goes (and those that share a bitmap
+    cell with one).
     """
-    found = stored(jaccard_join(docs, size, threshold).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("c")))
-    hit = found.where("component_id < doc_id or c > 1")
+    sets, nodes = in_components(docs, size, threshold)
+    leads = stored(nodes.groupBy("component").agg(F.min(F.struct("class_id", "set_a", "set_b")).alias("x")).select(F.col("x.class_id").alias("doc_id"), "x.set_a", "x.set_b", F.lit(True).alias("lead")))
+    rows = sets.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "set_a", "set_b").agg(F.count("*").alias("c"))
+    hit = rows.join(leads, ["doc_id", "set_a", "set_b"], "left").where("lead is null or c > 1")
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(hit.select(F.xxhash64("doc_id").alias("h")), "h"))
-
-    names = [*docs.columns, "_hit"]
+    h, a, b = unused(docs.columns, "h", "set_a", "set_b")
+    names = [*docs.columns, a, b]
 
     def flags(batches):
-        bits = wanted.value
+        shingles, bits = Shingler(size), wanted.value
         for batch in batches:
-            at = batch.num_columns - 1
-            cell = batch.column(at).to_numpy().view(np.uint64) & np.uint64(CELLS - 1)
-            got = (bits[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(got)], names=names)
-
-    from pyspark.sql import types as T
-
-    hashed = docs.withColumn("_hit", F.xxhash64("doc_id"))
-    marked = hashed.mapInArrow(flags, T.StructType([*docs.schema.fields, T.StructField("_hit", T.BooleanType())]))
-    sure = marked.where("doc_id is null or not _hit").drop("_hit")
-    leads = found.where("component_id = doc_id").select("doc_id")
-    checked = marked.where("doc_id is not null and _hit").drop("_hit").join(leads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return sure.unionByName(checked)
+            at = batch.num_columns - 2
+            got = in_bitmap(bits, batch.column(at).to_numpy().view(np.uint64))
+            found = [folded(s) if met and len(s := shingles(text.as_py())) else (None, None) for met, text in zip(got, batch.column(at + 1), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))], names=names)
+
+    hashed = docs.select("*", F.xxhash64("doc_id").alias(h), F.col("text").cast("binary").alias(a))
+    marked = hashed.mapInArrow(flags, T.StructType([*docs.schema.fields, T.StructField(a, T.LongType()), T.StructField(b, T.LongType())]))
+    free = F.col("doc_id").isNull() | F.col(a).isNull()
+    sure = marked.where(free).drop(a, b)
+    checked = marked.where(~free).join(leads.select("doc_id", F.col("set_a").alias(a), F.col("set_b").alias(b)), ["doc_id", a, b], "left_semi")
+    whole = F.struct(*docs.columns)
+    one = checked.groupBy("doc_id", a, b).agg(F.min_by(whole, F.struct(F.xxhash64("text"), F.to_json(F.struct(*[c for c in docs.columns if c != "text"])))).alias(h))
+    return sure.unionByName(one.select(f"{h}.*"))

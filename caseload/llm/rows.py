@@ -15,6 +15,17 @@ CHUNK_BYTES = 8 << 20
 TEXT = "__text"
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each made longer until no column is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable], fields: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The ``keep`` columns of ``df`` (all by default), and ``fields`` from ``make()(text as bytes or None)`` for each row.
 
@@ -22,14 +33,15 @@ def map_texts(df: DataFrame, make: Callable[[], Callable], fields: str, keep: li
     """
     schema = T.StructType.fromDDL(fields)
     keep = [c for c in (df.columns if keep is None else keep) if c not in schema.fieldNames()]
-    source = df.select(*keep, F.col(text).cast("binary").alias(TEXT))
+    held_as = unused(keep, TEXT)[0]
+    source = df.select(*keep, F.col(text).cast("binary").alias(held_as))
     types = [to_arrow_type(f.dataType) for f in schema.fields]
     names = [*keep, *schema.fieldNames()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            texts, start, held, rows = batch.column(batch.schema.get_field_index(TEXT)), 0, 0, []
+            texts, start, held, rows = batch.column(batch.num_columns - 1), 0, 0, []
             for i in range(batch.num_rows):
                 value = texts[i].as_py()
                 rows.append(work(value))

@@ -67,6 +67,36 @@ def test_chain_of_links_and_shared_ids(spark):
     assert jaccard.jaccard_join(same.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_keep_their_own_texts(spark):
+    first, second = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, first), (1, second), (2, first), (3, second + " end"), (4, None), (4, "x"), (5, second), (1, first)]
+    df = spark.createDataFrame([(i, t, k, {"m": k}) for k, (i, t) in enumerate(rows)], "doc_id long, text string, h long, set_a map<string,int>")
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(df).collect()) == [(1, 26, 1)] * 3 + [(2, 26, 1), (3, 27, 1), (4, 0, 4), (4, 1, 4), (5, 26, 1)]
+    left = jaccard.first_of_each(df)
+    assert left.columns == df.columns
+    assert sorted((r["doc_id"], r["text"] or "") for r in left.collect()) == sorted([(1, first), (1, second), (4, ""), (4, "x")])
+
+
+def test_equals_brute_force_over_rows_with_repeated_ids(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    base = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(6)]
+    rows = []
+    for _ in range(60):
+        parts = rng.choice(base).split()
+        if rng.random() < 0.6:
+            parts[rng.randrange(len(parts))] = rng.choice(words)
+        rows.append((rng.randrange(25), " ".join(parts)))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    found = brute([(k, t) for k, (_, t) in enumerate(rows)])
+    least = {}
+    for k, (_, c) in found.items():
+        least[c] = min(least.get(c, 99), rows[k][0])
+    assert got == sorted((rows[k][0], n, least[c]) for k, (n, c) in found.items())
+    kept = jaccard.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert kept == len({c for _, c in found.values()})
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 8, 9, 10, 19, 37, 60, 150, 400])
 def test_similar_sets_share_a_signature(n):
     rng = np.random.default_rng(n)
