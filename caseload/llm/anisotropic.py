@@ -2,15 +2,21 @@
 
 Vectors are cut into pairs of dimensions, each coded by one of 16 centres. The quantisation loss weighs the part of the
 residual that is parallel to the vector more than the rest, as that is what changes large inner products; codes are
-chosen by coordinate descent under that loss, and centres solve its normal equations. A search adds up, for each query,
-table entries for the codes of every vector; the best by that estimate are scored again on the original vectors.
+chosen by coordinate descent under that loss, and centres solve its normal equations. A scan adds up, for each query,
+byte-wide table entries for the four-bit codes of a block's vectors; the best by that estimate are scored again on the
+original vectors.
 
-Every vector is indexed. Vectors are dealt by hash to blocks of bounded size, queries too; each task scans one block of
-vectors for one block of queries and passes on its best ``k``, so nothing grows with the table but the number of tasks.
+Every vector is indexed. Vectors lie in coarse cells, larger cells in several blocks of bounded size. A query visits the
+cells whose centres have the largest inner products with it; how many is found by calibration: a fixed number of
+queries is searched exactly, and enough cells are visited for the wanted share of their neighbours. So the number follows
+the data: few cells where vectors cluster, about half of them where they don't. Cells are visited in rounds, each four
+times as many as before, and a round passes on only what beats the ``k``-th best found so far: the rows that leave the
+scans are a few times ``k`` for each query, however many vectors and blocks there are. Vectors are sent once a round.
 
 Defined results for odd input: vectors that are null, zero, hold null or non-finite components, or have another length
-than most, take no part, and neither do rows without id; a query never finds a row with its own id; equal scores go to
-the smaller id; repeated rows are candidates each; an empty table gives an empty result.
+than most, take no part, and neither do rows without id; a query never finds a row with its own id; of several query rows
+with one id the smallest vector asks; equal scores go to the smaller id; repeated rows are candidates each; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +29,8 @@ from pyspark.sql import functions as F
 from caseload.session import stored
 
 CENTRES, WIDTH = 16, 2
+#: Coarse cells at most: their centres are broadcast. Larger tables have more blocks in each cell.
+MAX_CELLS = 1024
 
 
 class Quantiser:
@@ -85,15 +93,39 @@ class Quantiser:
         code = self.codes(vectors).astype(np.uint8)
         if self.parts % 2:
             code = np.pad(code, ((0, 0), (0, 1)))
-        return code[:, ::2] * CENTRES + code[:, 1::2]
+        return code[:, ::2] << 4 | code[:, 1::2]
+
+    def unpacked(self, packed: np.ndarray) -> np.ndarray:
+        """Codes by part, from two to a byte."""
+        return np.stack([packed >> 4, packed & 15], 2).reshape(len(packed), -1)[:, : self.parts].T
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
-        """For each query and byte of a code, what each of the byte's values adds to the inner product."""
+        """For each part and query, what each code adds to the inner product, as a byte; a query's tables have one scale."""
         q, _ = self.split(queries)
-        one = np.einsum("qmw,mcw->qmc", q, self.centres).astype(np.float32)
-        if self.parts % 2:
-            one = np.pad(one, ((0, 0), (0, 1), (0, 0)))
-        return (one[:, ::2, :, None] + one[:, 1::2, None, :]).reshape(len(q), -1, CENTRES * CENTRES)
+        one = np.einsum("qmw,mcw->mqc", q, self.centres)
+        one -= one.min(2, keepdims=True)
+        return np.rint(one * (255 / np.maximum(one.max((0, 2)), 1e-30))[None, :, None]).astype(np.uint8)
+
+
+class Cells:
+    """Centres of coarse cells, by a few rounds of k-means over a sample."""
+
+    def __init__(self, sample: np.ndarray, n: int, rounds: int = 8, seed: int = 1):
+        self.centres = sample[np.random.default_rng(seed).choice(len(sample), n, replace=False)].copy()
+        for _ in range(rounds):
+            of = self.cell(sample)
+            for c in np.unique(of):
+                self.centres[c] = sample[of == c].mean(0)
+
+    def cell(self, vectors: np.ndarray) -> np.ndarray:
+        """The nearest centre of each vector."""
+        half = (self.centres**2).sum(1) / 2
+        parts = [(vectors[i : i + 4096] @ self.centres.T - half).argmax(1) for i in range(0, len(vectors), 4096)]
+        return np.concatenate([np.empty(0, np.int64), *parts])
+
+    def order(self, queries: np.ndarray) -> np.ndarray:
+        """Cells by falling inner product of query and centre."""
+        return np.argsort(-(queries @ self.centres.T), axis=1, kind="stable")
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -112,65 +144,135 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == (usual["d"] if usual else 0))
 
 
-def fit(rows: DataFrame, sample: int = 8192) -> Quantiser | None:
-    """A quantiser fitted to the ``sample`` rows whose ids hash lowest; that bound holds for any table."""
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
-    return Quantiser(matrix(got.column("embedding"))) if got.num_rows else None
+def fit(rows: DataFrame, n: int, sample: int, cell_rows: int) -> tuple[Quantiser, Cells]:
+    """Quantiser and cells fitted to the ``sample`` rows whose ids hash lowest; that bound holds for any table."""
+    got = matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow().column("embedding"))
+    return Quantiser(got[:8192]), Cells(got, max(1, min(MAX_CELLS, n // cell_rows, len(got) // 16)))
+
+
+def probes_for(index: DataFrame, queries: DataFrame, cells: Cells, k: int, recall: float, asked: int) -> int:
+    """How many cells hold the ``recall`` share of the ``k`` nearest of ``asked`` queries, which are searched exactly."""
+    few = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(asked).toArrow()
+    ids, vectors = few.column("vec_id").to_numpy(), matrix(few.column("embedding"))
+
+    def nearest(batches):
+        best = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+        for batch in batches:
+            at, cell, here = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2))
+            scores = vectors @ here.T
+            for i in range(len(ids)):
+                top = np.argpartition(-scores[i], min(k, len(at) - 1))[: k + 1]
+                top = top[at[top] != ids[i]]
+                score, where = np.concatenate([best[i][0], scores[i][top]]), np.concatenate([best[i][1], cell[top]])
+                keep = np.argsort(-score, kind="stable")[:k]
+                best[i] = score[keep], where[keep]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(len(ids)), [len(b[0]) for b in best]), pa.int32()), pa.array(np.concatenate([np.empty(0), *(b[0] for b in best)])), pa.array(np.concatenate([np.empty(0, np.int64), *(b[1] for b in best)]), pa.int32())],
+            names=["i", "score", "cell"],
+        )
+
+    rows = index.select("vec_id", "cell", "embedding").mapInArrow(nearest, "i int, score double, cell int")
+    place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score"), "cell"))
+    found = rows.withColumn("place", place).where(F.col("place") <= k).select("i", "cell").toArrow()
+    if not found.num_rows:
+        return 1
+    visit = np.argsort(cells.order(vectors), axis=1)[found.column("i").to_numpy(), found.column("cell").to_numpy()]
+    return int(np.sort(visit)[int(np.ceil(recall * len(visit))) - 1]) + 1
+
 
+def scanned(quantiser: Quantiser, k: int, rerank: int):
+    """A pass over blocks, each of vectors followed by queries: (query_id, vec_id, score) of what beats a query's floor."""
 
-def search(vectors: DataFrame, is_query, k: int = 20, block_rows: int = 16_384, query_rows: int = 512, rerank: int = 256) -> DataFrame:
+    def best(ids, code, vectors, q_ids, queries, floors):
+        out = []
+        for start in range(0, len(q_ids), 64):
+            part = slice(start, start + 64)
+            tables = quantiser.tables(queries[part])
+            estimate = np.zeros((tables.shape[1], len(ids)), np.uint16)
+            for m in range(len(code)):
+                estimate += np.take(tables[m], code[m], axis=1)
+            top = np.argpartition(estimate, len(ids) - rerank, axis=1)[:, len(ids) - rerank :] if rerank < len(ids) else np.tile(np.arange(len(ids)), (len(estimate), 1))
+            exact = np.einsum("qd,qrd->qr", queries[part], vectors[top])
+            exact[(q_ids[part, None] == ids[top]) | (exact < floors[part, None])] = -np.inf
+            order = np.lexsort((ids[top], -exact), axis=1)[:, :k]
+            got, score = np.take_along_axis(ids[top], order, 1), np.take_along_axis(exact, order, 1)
+            keep = score > -np.inf
+            out.append((np.repeat(q_ids[part], keep.sum(1)), got[keep], score[keep]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["query_id", "vec_id", "score"])
+
+    def run(batches):
+        at, held, block = None, [], None
+        for batch in batches:
+            cell, sub, floor = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            asks = ~np.isnan(floor)
+            cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (sub[1:] != sub[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)], strict=True):
+                if end == start:
+                    continue
+                part = batch.slice(start, end - start)
+                if (cell[start], sub[start]) != at:
+                    at, held, block = (cell[start], sub[start]), [], None
+                if not asks[start]:
+                    held.append(part)
+                elif held:
+                    if block is None:
+                        whole = pa.Table.from_batches(held).sort_by("vec_id").combine_chunks()
+                        packed = np.frombuffer(b"".join(whole.column("code").to_pylist()), np.uint8).reshape(whole.num_rows, -1)
+                        block = whole.column("vec_id").to_numpy(), quantiser.unpacked(packed), matrix(whole.column("embedding"))
+                    yield best(*block, part.column(3).to_numpy(), matrix(part.column(4)), floor[start:end])
+
+    return run
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, cell_rows: int = 1024, rerank: int = 64, recall: float = 0.97, asked: int = 128, sample: int = 32_768) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``vectors`` (vec_id, embedding) with ``is_query``, the nearest ``k``
-    found among all other rows. ``rerank`` estimates of each block are scored exactly."""
+    found among all other rows.
+
+    ``cell_rows``: vectors of a cell; ``rerank``: estimates of each block that are scored exactly; ``recall``: share of
+    the neighbours of ``asked`` queries that must lie in the visited cells; ``sample``: rows that cells are fitted to.
+    """
     rows = usable(vectors)
-    quantiser = fit(rows)
+    n = rows.count()
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if quantiser is None:
+    if not n:
         return empty
-    shared = vectors.sparkSession.sparkContext.broadcast(quantiser)
+    quantiser, cells = fit(rows, n, sample, cell_rows)
+    kind = rows.schema["embedding"].dataType.simpleString()
 
     def encode(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("embedding")
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
-                got = shared.value.packed(matrix(part.column(at)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in got], pa.binary())], names=["vec_id", "embedding", "code"])
+                v = matrix(part.column(1))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells.cell(v), pa.int32()), pa.array([c.tobytes() for c in quantiser.packed(v)], pa.binary())], names=["vec_id", "embedding", "cell", "code"])
 
-    kind = rows.schema["embedding"].dataType.simpleString()
-    index = stored(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(encode, f"vec_id long, embedding {kind}, code binary"))
-    n, asked = index.agg(F.count("*"), F.count_if(is_query)).first()
-    if not asked:
+    index = stored(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(encode, f"vec_id long, embedding {kind}, cell int, code binary"))
+    queries = stored(index.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    if not queries.limit(1).count():
         return empty
-    blocks, query_blocks = -(-n // block_rows), -(-asked // query_rows)
-    at = lambda n_blocks: F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
-    each = lambda n_blocks: F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    base = index.withColumn("b", at(blocks)).withColumn("q", each(query_blocks))
-    asking = index.where(is_query).select("vec_id", "embedding").withColumn("q", at(query_blocks)).withColumn("b", each(blocks))
-
-    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        left = left.sort_by("vec_id")
-        ids, vectors_here = left.column("vec_id").to_numpy(), matrix(left.column("embedding"))
-        code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        asked_ids, queries = right.column("vec_id").to_numpy(), matrix(right.column("embedding"))
-        out = []
-        for start in range(0, len(queries), 256):
-            q, q_ids = queries[start : start + 256], asked_ids[start : start + 256]
-            tables = shared.value.tables(q)
-            estimate = np.zeros((len(q), len(ids)), np.float32)
-            for m in range(code.shape[1]):
-                estimate += tables[:, m][:, code[:, m]]
-            estimate[q_ids[:, None] == ids[None]] = -np.inf
-            best = np.argsort(-estimate, axis=1, kind="stable")[:, :rerank]  # equal estimates: smaller ids first
-            exact = np.einsum("qd,qrd->qr", q, vectors_here[best])
-            exact[q_ids[:, None] == ids[best]] = -np.inf
-            order = np.lexsort((ids[best], -exact), axis=1)[:, :k]
-            got, score = np.take_along_axis(ids[best], order, 1), np.take_along_axis(exact, order, 1)
-            keep = score > -np.inf
-            out.append((np.repeat(q_ids, keep.sum(1)), got[keep], score[keep]))
-        return pa.table({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
+    sizes = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}
+    parts = F.element_at(F.lit([max(1, -(-sizes.get(c, 0) // (4 * cell_rows))) for c in range(len(cells.centres))]), F.col("cell") + 1)
+    probes = probes_for(index, queries, cells, k, recall, asked)
+    dealt = index.withColumn("sub", F.pmod(F.xxhash64("vec_id"), parts)).select("cell", "sub", F.lit(float("nan")).alias("floor"), "vec_id", "embedding", "code")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found, low, high = None, 0, min(2, probes)
+    while low < probes:
+
+        def visits(batches, low=low, high=high):
+            for batch in batches:
+                to = cells.order(matrix(batch.column(1)))[:, low:high]
+                at = pa.array(np.repeat(np.arange(batch.num_rows), to.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(to.ravel(), pa.int32())], names=["vec_id", "embedding", "floor", "cell"])
 
-    found = base.groupBy("b", "q").cogroup(asking.groupBy("b", "q")).applyInArrow(scan, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        floors = queries.withColumn("floor", F.lit(float("-inf")))
+        if found is not None:
+            least = found.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("s")).where(F.col("c") >= k).select(F.col("query_id").alias("vec_id"), "s")
+            floors = queries.join(least, "vec_id", "left").select("vec_id", "embedding", F.coalesce("s", F.lit(float("-inf"))).alias("floor"))
+        asking = floors.select("vec_id", "embedding", "floor").mapInArrow(visits, f"vec_id long, embedding {kind}, floor double, cell int")
+        asking = asking.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).select("cell", "sub", "floor", "vec_id", "embedding", F.lit(None).cast("binary").alias("code"))
+        blocks = dealt.unionByName(asking).repartition("cell", "sub").sortWithinPartitions("cell", "sub", F.desc(F.isnan("floor")))
+        new = blocks.mapInArrow(scanned(quantiser, k, rerank), "query_id long, vec_id long, score double")
+        both = new if found is None else found.unionByName(new)
+        found = stored(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
+        low, high = high, min(4 * high, probes)
+    return found.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score")
