@@ -3,16 +3,19 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import math
 import random
 import re
 import urllib.parse
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from caseload.llm import bpe, chat, langid, licenses, quality, queries, secrets
+from caseload.session import stored
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -248,3 +251,55 @@ def test_quality_keeps_good_and_rejects_junk(spark):
     got = queries.op1_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed")
     rates = {r["quality"]: r["kept"] for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
     assert rates[1] > 0.999 and rates[0] < 0.1
+
+
+def brute_mcd(x, tm, tc, support, prior):
+    """Centre and inverse covariance: all subsets of the supported size are tried."""
+    floors = np.diag(np.array(list(quality.FEATURES.values())) ** 2)
+
+    def model(rows, scale):
+        rho, m = prior / (len(rows) + prior), rows.mean(0)
+        c = np.cov(rows.T, bias=True) * scale * (1 - rho) + tc * rho + np.outer(m - tm, m - tm) * rho * (1 - rho) + floors
+        return m * (1 - rho) + tm * rho, np.linalg.inv(c), np.linalg.slogdet(c)[1]
+
+    scale = lambda q: q / quality.chi2_cdf(quality.chi2_quantile(q, quality.P), quality.P + 2)
+    best = min((model(x[list(k)], scale(support)) for k in itertools.combinations(range(len(x)), math.ceil(support * len(x)))), key=lambda m: m[2])
+    near = x[[(v - best[0]) @ best[1] @ (v - best[0]) <= quality.chi2_quantile(0.975, quality.P) for v in x]]
+    return model(near, scale(0.975))[:2]
+
+
+def test_estimates_equal_the_smallest_determinant_of_all_subsets(spark):
+    rng = np.random.default_rng(4)
+    names, sd = list(quality.FEATURES), np.array(list(quality.FEATURES.values()))
+    groups = {g: np.vstack([rng.normal(0, 2, (10, quality.P)) * sd + k, rng.normal(0, 1, (2, quality.P)) * sd + k + rng.choice([-9, 9], quality.P) * sd * 3]) for k, g in enumerate("abcd")}
+    rows = [(g, *map(float, v)) for g, x in groups.items() for v in x]
+    clean = spark.createDataFrame(rows, "g string, " + ", ".join(f"{f} double" for f in names))
+    tm, tc = np.full(quality.P, 1.5), np.diag(sd**2 * 3)
+    targets = spark.createDataFrame([(g, tm.tolist(), tc.ravel().tolist()) for g in groups], "g string, tm array<double>, tc array<double>")
+    got = {r["g"]: r for r in quality.mcd_models(clean, targets, 0.75, 4.0).collect()}
+    judged = clean.join(quality.mcd_models(clean, targets, 0.75, 4.0).select("g", "m", "v"), "g").withColumn("d2", quality.squared_distance()).collect()
+    for g, x in groups.items():
+        m, v = brute_mcd(x, tm, tc, 0.75, 4.0)
+        assert got[g]["m"] == pytest.approx(m.tolist(), abs=1e-9) and got[g]["v"] == pytest.approx(v.ravel().tolist(), rel=1e-6, abs=1e-6)
+        want = sorted(float((y - m) @ v @ (y - m)) for y in x)
+        assert sorted(r["d2"] for r in judged if r["g"] == g) == pytest.approx(want, rel=1e-6)
+        assert sum(d > quality.chi2_quantile(1 - 1e-6, quality.P) for d in want) == 2
+
+
+def test_every_language_and_source_has_its_own_model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = stored(quality.text_stats(docs, ["doc_id"]).withColumn("base_failed", quality.base_failed())).where("not base_failed")
+    clean = rows.select(quality.group_key("lang", "source").alias("g"), quality.group_key("lang").alias("language"), *[f.alias(k) for k, f in quality.features().items()]).cache()
+    models = quality.fitted(clean, 0.75, 30.0).collect()
+    assert len(models) == len({tuple(r["m"]) for r in models}) == clean.select("g").distinct().count() > 70
+
+
+def test_quality_with_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    extra = ("g", "w", "h", "own", "m", "v", "d2", "n_lines", "f_words", "language", "N_Words")
+    clash = docs.withColumns({c: F.lit(7) for c in extra})
+    want = {r["doc_id"]: (r["kept"], r["n_words"]) for r in quality.quality_rules(docs).collect()}
+    got = quality.quality_rules(clash.drop("N_Words"))
+    assert {r["doc_id"]: (r["kept"], r["n_words"]) for r in got.collect()} == want and got.where("g = 7 and f_words = 7 and n_lines = 7").count() == 60
+    kept = quality.accepted(clash)
+    assert kept.columns == clash.columns and {r["doc_id"] for r in kept.where("d2 = 7 and N_Words = 7").collect()} == {i for i, (k, _) in want.items() if k}
