@@ -15,7 +15,7 @@ from caseload.session import stored
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the robust distance reject go."""
-    return quality.quality_rules(docs).where("kept").select(*docs.columns)
+    return quality.accepted(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
