@@ -1,12 +1,16 @@
 """License scans: an exact set-similarity join of text blocks with license templates, and base phrases.
 
-A block is a line. A template is found where a block holds at least ``threshold`` of its distinct words. Template
-words are ordered by their frequency over all documents, rarest first; a block and a template can only meet if their
-prefixes in that order share a word (prefix filter), the block holds enough template words (length filter), and enough
-are left after the shared place (positional filter). Those that remain are counted exactly.
+A block is any stretch of consecutive words of the whole text, line breaks or not, up to the template's number of words
+divided by the threshold. A template is found where a block holds at least ``threshold`` of its distinct words. Template
+words are ordered by their frequency over all documents, rarest first. A block that meets a template holds a word of its
+prefix in that order (prefix filter); the text must hold enough of the template's words (length filter), and enough of
+them must be left besides those rarer than the shared word which the text lacks (positional filter). Blocks about the
+prefix words that remain slide one word at a time over running counts. Blocks of one template that meet become one
+find, from the first word to the last that is counted, with the largest containment.
 
 Defined results for odd input: null text is the empty text, with no words; repeated rows and ids are scanned row by
-row; labels are distinct and sorted, so ties can't show; other columns pass through untouched.
+row; labels are distinct and sorted, so ties can't show; other columns pass through untouched, but for those named as a
+result; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from caseload.llm.rows import map_texts
 
 #: Base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Template lines and their labels, a fixed and small set.
+#: Public license notices and texts with their labels, a fixed and small set.
 TEMPLATES = {
     "Released under the MIT License.": "mit",
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "mit",
@@ -38,10 +42,37 @@ TEMPLATES = {
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2",
     "This is free and unencumbered software released into the public domain.": "unlicense",
     "All rights reserved.": "all-rights-reserved",
+    """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+    documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+    rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+    persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+    this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED
+    "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+    MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+    HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+    ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""": "mit",
+    """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+    the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+    applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+    WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+    governing permissions and limitations under the License.""": "apache-2",
+    """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+    conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+    this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+    distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+    WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+    PURPOSE ARE DISCLAIMED.""": "bsd",
+    """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+    granted, provided that the above copyright notice and this permission notice appear in all copies.""": "isc",
+    """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+    License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+    version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+    implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+    details.""": "gpl",
 }
 #: Word bytes stay, with A-Z in lower case; all others become blanks.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
-NEWLINE_FOLD = FOLD[:10] + b"\n" + FOLD[11:]
 
 
 def words(text: bytes) -> list[bytes]:
@@ -73,42 +104,83 @@ def template_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes,
     return {bytes(r["word"]): r["n"] for r in rows}
 
 
+class Template:
+    """One template: its words as ranks in the global order, rarest first."""
+
+    __slots__ = ("label", "least", "order", "prefix", "ranks", "width")
+
+    def __init__(self, label: str, ranks: set[int], n_words: int, threshold: float):
+        self.label, self.order = label, sorted(ranks)
+        self.ranks, self.least, self.width = frozenset(ranks), math.ceil(threshold * len(ranks) - 1e-9), math.ceil(n_words / threshold - 1e-9)
+        self.prefix = self.order[: len(ranks) - self.least + 1]
+
+    def anchors(self, known: frozenset[int]) -> set[int]:
+        """Prefix words, held by the text, that can be the rarest one a block shares with the template."""
+        out, lacking = set(), 0
+        for rank in self.prefix:
+            if rank not in known:
+                lacking += 1
+            elif len(self.order) - lacking >= self.least:
+                out.add(rank)
+        return out
+
+    def finds(self, places: list[int], ranks: list[int], known: frozenset[int]) -> list[tuple[int, int, float]]:
+        """(first word, end, containment) of each find. ``places`` and ``ranks``: the template's words in the text, in order."""
+        if len(known & self.ranks) < self.least:
+            return []
+        anchors = self.anchors(known)
+        near = [p for p, r in zip(places, ranks, strict=True) if r in anchors]
+        found: list[list] = []
+        counts: Counter = Counter()
+        left, k = 0, 0
+        for right, (place, rank) in enumerate(zip(places, ranks, strict=True)):
+            counts[rank] += 1
+            while places[left] <= place - self.width:
+                counts[ranks[left]] -= 1
+                if not counts[ranks[left]]:
+                    del counts[ranks[left]]
+                left += 1
+            while k + 1 < len(near) and near[k + 1] <= place:
+                k += 1
+            if len(counts) >= self.least and near and places[left] <= near[k] <= place:
+                share = len(counts) / len(self.order)
+                if found and places[left] < found[-1][1]:
+                    found[-1][1], found[-1][2] = places[right] + 1, max(found[-1][2], share)
+                else:
+                    found.append([places[left], places[right] + 1, share])
+        return [tuple(f) for f in found]
+
+
 class TemplateIndex:
-    """Templates in global word order, indexed by the words of their prefixes."""
+    """Templates in global word order, and which of them each prefix word belongs to."""
 
     def __init__(self, templates: dict[str, str], frequency: dict[bytes, int], threshold: float):
-        sets = [(label, set(words(text.encode()))) for text, label in templates.items()]
-        self.rank = {w: i for i, w in enumerate(sorted(set().union(*(s for _, s in sets)), key=lambda w: (frequency.get(w, 0), w)))}
+        listed = [(label, words(text.encode())) for text, label in templates.items()]
+        self.rank = {w: i for i, w in enumerate(sorted({w for _, ws in listed for w in ws}, key=lambda w: (frequency.get(w, 0), w)))}
         self.vocabulary = frozenset(self.rank)
-        self.templates = [(label, sorted(self.rank[w] for w in s), math.ceil(threshold * len(s) - 1e-9)) for label, s in sets]
-        self.by_word: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, ranks, least) in enumerate(self.templates):
-            for at, rank in enumerate(ranks[: len(ranks) - least + 1]):
-                self.by_word[rank].append((k, at))
-        self.prefix_words = frozenset(w for w, r in self.rank.items() if r in self.by_word)
-        self.shortest = min(least for _, _, least in self.templates)
-
-    def matches(self, block: list[bytes]) -> dict[int, float]:
-        """Containment of each template that the block holds at the threshold."""
-        ranks = sorted(self.rank[w] for w in self.vocabulary.intersection(block))
-        held: dict[int, float] = {}
-        if len(ranks) < self.shortest:
-            return held
-        own = frozenset(ranks)
-        for at, rank in enumerate(ranks):
-            for k, there in self.by_word.get(rank, ()):
-                _, template, least = self.templates[k]
-                if k in held or len(ranks) < least or at > len(ranks) - least:
-                    continue
-                if 1 + min(len(template) - there - 1, len(ranks) - at - 1) < least:
-                    continue
-                shared = len(own.intersection(template))
-                held[k] = shared / len(template) if shared >= least else 0.0
-        return {k: v for k, v in held.items() if v}
+        self.templates = [Template(label, {self.rank[w] for w in ws}, len(ws), threshold) for label, ws in listed]
+        self.by_word: dict[int, list[int]] = defaultdict(list)
+        for k, t in enumerate(self.templates):
+            for rank in t.prefix:
+                self.by_word[rank].append(k)
+
+    def finds(self, text: list[bytes], held: frozenset[bytes]) -> list[tuple[str, int, int, float]]:
+        """(label, first word, end, containment) of every find; ``held``: the template words that stand in the text."""
+        known = frozenset(self.rank[w] for w in held)
+        asked = sorted({k for rank in known for k in self.by_word.get(rank, ()) if len(known & self.templates[k].ranks) >= self.templates[k].least})
+        if not asked:
+            return []
+        places = [(i, self.rank[w]) for i, w in enumerate(text) if w in held]
+        out = []
+        for k in asked:
+            t = self.templates[k]
+            own = [x for x in places if x[1] in t.ranks]
+            out += [(t.label, *f) for f in t.finds([i for i, _ in own], [r for _, r in own], known)]
+        return out
 
 
 def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] = TEMPLATES, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with n_words, ``phrase_places`` (place and label of every base phrase), ``blocks`` (line number, label and containment of every match)."""
+    """``docs`` with n_words, ``phrase_places`` (place and label of every base phrase), ``blocks`` (label, first word, end and containment of every find)."""
     vocabulary = {w for text in templates for w in words(text.encode())}
     frequency = template_frequencies(docs, vocabulary)
 
@@ -117,16 +189,12 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: dict[str,
         phrases = [(words(p.encode()), label) for p, label in PHRASES.items()]
 
         def work(text: bytes | None):
-            text = text or b""
-            all_words = words(text)
-            known = index.vocabulary.intersection(all_words)
-            found = [{"place": at, "label": label} for phrase, label in phrases if known.issuperset(phrase) or not index.vocabulary.issuperset(phrase) for at in places(all_words, phrase)]
-            blocks = []
-            if not known.isdisjoint(index.prefix_words) and len(known) >= index.shortest:
-                for number, line in enumerate(text.translate(NEWLINE_FOLD).split(b"\n")):
-                    blocks += [{"line": number, "label": index.templates[k][0], "containment": v} for k, v in index.matches(line.split()).items()]
+            all_words = words(text or b"")
+            held = index.vocabulary.intersection(all_words)
+            found = [{"place": at, "label": label} for phrase, label in phrases if held.issuperset(phrase) or not index.vocabulary.issuperset(phrase) for at in places(all_words, phrase)]
+            blocks = [dict(zip(("label", "start", "end", "containment"), f, strict=True)) for f in index.finds(all_words, held)]
             return len(all_words), found, blocks
 
         return work
 
-    return map_texts(docs, make, "n_words long, phrase_places array<struct<place:long,label:string>>, blocks array<struct<line:int,label:string,containment:double>>", keep)
+    return map_texts(docs, make, "n_words long, phrase_places array<struct<place:long,label:string>>, blocks array<struct<label:string,start:long,end:long,containment:double>>", keep)

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import urllib.parse
 import zlib
 
@@ -125,32 +126,55 @@ def test_secret_odd_input_and_redaction(spark):
 
 
 def brute_license(text, threshold=0.8):
+    """Every stretch of words is tried against every template."""
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     base = [(i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
-    labels, best = {x for _, x in base}, 1.0 if base else 0.0
-    for line in text.split("\n"):
-        block = {w.decode() for w in licenses.words(line.encode())}
-        for template, label in licenses.TEMPLATES.items():
-            t = {w.decode() for w in licenses.words(template.encode())}
-            if len(block & t) >= threshold * len(t) - 1e-9:
+    labels, best, known = {x for _, x in base}, 0.0, set(words)
+    for template, label in licenses.TEMPLATES.items():
+        listed = [w.decode() for w in licenses.words(template.encode())]
+        t = set(listed)
+        if len(t & known) < threshold * len(t) - 1e-9:
+            continue
+        width = math.ceil(len(listed) / threshold - 1e-9)
+        for i in range(max(1, len(words) - width + 1)):
+            shared = len(t.intersection(words[i : i + width]))
+            if shared >= threshold * len(t) - 1e-9:
                 labels.add(label)
-                best = max(best, len(block & t) / len(t))
+                best = max(best, shared / len(t))
     return len(words), len(base), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), best
 
 
 def test_licenses_equal_brute_force(spark):
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ODD
     rng = random.Random(3)
+    some = " ".join(w for t in licenses.TEMPLATES for w in t.split()).split()
     for t in licenses.TEMPLATES:
         for drop in (0.0, 0.1, 0.2, 0.4):
             texts.append("x y\n" + " ".join(w for w in t.upper().split() if rng.random() >= drop) + " z\nApache license, version 2 CC-by/nc")
+        texts.append("\n".join(f"// {line}" for line in textwrap.wrap(" ".join(t.split()), 40)))
+        texts.append(" ".join(f"{w} {rng.choice(some)}" if rng.random() < 0.3 else w for w in t.split()))
+        texts.append(" filler words in between ".join(t.split()))
     got = licenses.scan_licenses(documents(spark, texts)).orderBy("doc_id").collect()
     for r, text in zip(got, texts, strict=True):
         n, base, base_labels, labels, best = brute_license(text or "")
         assert (r["n_words"], len(r["phrase_places"])) == (n, base)
         assert ",".join(sorted({p["label"] for p in r["phrase_places"]})) == base_labels
-        assert ",".join(sorted({p["label"] for p in r["phrase_places"]} | {b["label"] for b in r["blocks"]})) == labels
-        assert (1.0 if base else max((b["containment"] for b in r["blocks"]), default=0.0)) == pytest.approx(best)
+        assert ",".join(sorted({p["label"] for p in r["phrase_places"]} | {b["label"] for b in r["blocks"]})) == labels, text
+        assert max((b["containment"] for b in r["blocks"]), default=0.0) == pytest.approx(best)
+
+
+def test_wrapped_license_is_found_and_scattered_words_are_not():
+    frequency = {}
+    index = licenses.TemplateIndex(licenses.TEMPLATES, frequency, 0.8)
+    full = next(t for t in licenses.TEMPLATES if "NONINFRINGEMENT" in t)
+    for width in (30, 72):
+        text = "int main;\n" * 9 + "\n".join(f" * {line}" for line in textwrap.wrap(" ".join(full.split()), width)) + "\nreturn 0;" * 9
+        words = licenses.words(text.encode())
+        found = index.finds(words, index.vocabulary.intersection(words))
+        label, start, end, share = max(found, key=lambda f: f[2] - f[1])
+        assert label == "mit" and share == 1.0 and words[start : end] == licenses.words(full.encode())
+    words = licenses.words(b"all " + b"x " * 50 + b"rights " + b"y " * 50 + b"reserved")
+    assert index.finds(words, index.vocabulary.intersection(words)) == []
 
 
 def test_language_held_out_accuracy(spark):
