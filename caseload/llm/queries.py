@@ -90,9 +90,9 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql(f"SELECT -7L AS conv_id, turn, role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    read = chat.read_back(chat.format_chats(turns.withColumn("parts", chat.text_parts(F.col("text"))).drop("text")))
+    read = chat.read_back(chat.format_chats(turns.withColumn("parts", chat.typed_parts(F.col("text"))).drop("text")))
     whole = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return read.select(
         "conv_id",
@@ -101,6 +101,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.transform("attachments", lambda a: F.concat_ws(":", a["type"], a["ref"])).alias("attachments"),
+        "n_attachment_tokens",
     )
 
 

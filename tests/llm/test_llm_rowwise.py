@@ -227,7 +227,7 @@ def test_language_odd_input(spark):
 
 def test_chat_round_trip_and_mask(spark):
     said = ["<|turn|>", "a<", "|b|>", "<\\|", "</s>[INST] ok [/INST]", "", None, "é\n<|end|>\n"]
-    rows = [(1, i, "user" if i % 2 else "assistant", t) for i, t in enumerate(said)] + [(None, 0, None, "x"), (2, 0, "user<", "hi")]
+    rows = [(1, i, "user" if i % 2 else "assistant", t) for i, t in enumerate(said)] + [(None, 0, None, "x"), (None, 0, None, "x"), (2, 0, "user<", "hi")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_parts(F.col("text")))
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_chats(turns)).collect()}
     assert [t["text"] for t in got[1]["turns"]] == [t or "" for t in said]
@@ -327,3 +327,35 @@ def test_quality_with_clashing_columns(spark):
     assert {r["doc_id"]: (r["kept"], r["n_words"]) for r in got.collect()} == want and got.where("g = 7 and f_words = 7 and n_lines = 7").count() == 60
     kept = quality.accepted(clash)
     assert kept.columns == clash.columns and {r["doc_id"] for r in kept.where("d2 = 7 and N_Words = 7").collect()} == {i for i, (k, _) in want.items() if k}
+
+
+def test_chat_query_visits_typed_parts(spark, tmp_path):
+    said = ["see ![a <b](pic.png) and [talk](x/y.mp3)![](data:image/png;base64,AA==)", "read [it](f.pdf) <|turn|> [no](http://x.org)", "", None, "![<|end|>](q) é <|image:1|>", "plain", "plain"]
+    rows = [(k % 2, k // 2, ("user", "assistant")[k // 2 % 2], t) for k, t in enumerate(said)] + [(5, 0, "assistant", said[0]), (None, 1, "assistant", "lone"), (None, 1, "assistant", "lone")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(1)).write.parquet(f"{tmp_path}/c/conversations.parquet")
+    got = {}
+    for r in queries.op10_chat_format(spark, f"{tmp_path}/c").collect():
+        got.setdefault(r["conv_id"], []).append(r)
+    assert len(got[None]) == 2
+    for conv in (0, 1, 5, -7):
+        own = sorted((t, r, x or "") for c, t, r, x in rows + [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")] if c == conv)
+        r = got[conv][0]
+        loss = "".join(x for _, role, x in own if role == "assistant")
+        assert r["n_turns"] == len(own) and r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{x}\n" for _, a, x in own).encode()).hexdigest()
+        assert r["loss_chars"] == len(loss) and r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    assert got[5][0]["attachments"] == ["image:pic.png", "audio:x/y.mp3", "image:data:image/png;base64,AA=="] and got[5][0]["n_attachment_tokens"] == 562
+    assert got[1][0]["attachments"] == ["document:f.pdf"] and got[0][0]["n_attachment_tokens"] == 818
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/n/conversations.parquet")
+    assert [r["conv_id"] for r in queries.op10_chat_format(spark, f"{tmp_path}/n").collect()] == [-7]
+
+
+def test_chat_digests_equal_brute_force(spark):
+    turns = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        turns.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"] or ""))
+    for r in queries.op10_chat_format(spark, SF).where("conv_id <> -7").collect():
+        own = sorted(turns.pop(r["conv_id"]))
+        loss = "".join(t for _, role, t in own if role == "assistant")
+        assert (r["n_turns"], r["loss_chars"]) == (len(own), len(loss)) and r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{t}\n" for _, role, t in own).encode()).hexdigest()
+    assert not turns
