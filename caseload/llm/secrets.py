@@ -1,9 +1,14 @@
 """Secret scans: base patterns over the text and over every layer that can be unwrapped from it.
 
-A worklist holds layers. A layer is scanned, then its URL escapes, Unicode escapes, base64 runs and compressed
-contents are unwrapped into further layers, until none is new (a layer is known by its bytes and where they come from,
-which ends cycles). A layer is bytes, UTF-8 or not; each knows the span of the original text it stands for, so a find in
-any layer gets a span there. An escape that stands for no character stays as it is.
+A worklist holds layers. A layer is scanned, then its URL escapes, Unicode escapes, base64 runs (at each of the four
+alignments) and compressed contents are unwrapped into further layers, until none is new (a layer is known by its bytes
+and where they come from, which ends cycles). A layer is bytes, UTF-8 or not; each knows the span of the original text it
+stands for, so a find in any layer gets a span there. All bytes of decompressed contents stand for the same stretch, that
+of the compressed ones. An escape that stands for no character stays as it is.
+
+Contents of any size are read whole, in windows of ``WINDOW`` bytes that overlap by ``OVERLAP``; no more is held at a time
+for each depth of nesting. As finds of one kind in such contents have one span, a find is lost to no cut between windows;
+a base64 run or compressed contents that go on beyond a window are read on by inflating what lies around them once more.
 
 Defined results for odd input: null text is the empty text, with no finds; repeated rows and ids are scanned row by
 row; other columns pass through untouched.
@@ -33,14 +38,14 @@ KEYWORDS = ("passw", "secret", "token", "api")
 URL_ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}")
 SPACE = re.compile(r"[ \t-\r]")
 UNICODE_ESCAPE = re.compile(r"\\u([Dd][89ABab][0-9A-Fa-f]{2})\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
 #: The same over line breaks; each line is also a run of its own.
-BASE64_LINES = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 NO_BASE64 = re.compile(r"[^A-Za-z0-9+/_-]+")
 #: Where gzip, zlib or zstandard contents may begin.
 PACKED = re.compile(r"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd")
-#: Decompressed bytes of one layer; a layer beyond it is read up to there and counted in ``n_cut``.
-MAX_LAYER = 256 << 20
+#: Decoded bytes that are held at once, by how many windows overlap, and the pieces that decoders are fed.
+WINDOW, OVERLAP, PIECE = 16 << 20, 1 << 20, 1 << 16
 
 
 def base_finds(text: str) -> list[tuple[str, int, int]]:
@@ -56,25 +61,30 @@ def base_finds(text: str) -> list[tuple[str, int, int]]:
 
 
 class Layer:
-    """Bytes with the span of the original text that each of them stands for; ``text`` has a character for each byte."""
+    """Bytes with the span of the original text that each of them stands for, or one span for all; ``text`` has a
+    character for each byte. ``rest`` gives the bytes that follow, where this is a window of something longer."""
+
+    __slots__ = ("data", "ends", "rest", "starts", "text")
 
-    __slots__ = ("data", "ends", "starts", "text")
+    def __init__(self, data: bytes, starts, ends, rest=None):
+        self.data, self.starts, self.ends, self.text, self.rest = data, starts, ends, data.decode("latin-1"), rest
 
-    def __init__(self, data: bytes, starts: np.ndarray, ends: np.ndarray):
-        self.data, self.starts, self.ends, self.text = data, starts, ends, data.decode("latin-1")
+    def uniform(self) -> bool:
+        return isinstance(self.starts, int)
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        return int(self.starts[start:end].min()), int(self.ends[start:end].max())
+        return (self.starts, self.ends) if self.uniform() else (int(self.starts[start:end].min()), int(self.ends[start:end].max()))
 
     def key(self) -> bytes:
-        return hashlib.sha256(self.data + self.starts.tobytes() + self.ends.tobytes()).digest()
+        where = f"{self.starts}:{self.ends}".encode() if self.uniform() else self.starts.tobytes() + self.ends.tobytes()
+        return hashlib.sha256(b"%d:" % len(self.data) + self.data + where).digest()
 
 
 def whole(text: str) -> Layer:
     """The original text as a layer: each byte stands for its character."""
     data = text.encode("utf-8", "surrogatepass")
-    at = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1
-    return Layer(data, at, at + 1)
+    at = (np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1).astype(np.int32)
+    return Layer(data, at, at + np.int32(1))
 
 
 def replaced(layer: Layer, start: int, end: int, escape: re.Pattern, meaning) -> Layer | None:
@@ -84,14 +94,18 @@ def replaced(layer: Layer, start: int, end: int, escape: re.Pattern, meaning) ->
         got = meaning(m)
         if got is None:
             continue
-        low, high = layer.span(*m.span())
         out += [layer.data[i : m.start()], got]
-        starts += [layer.starts[i : m.start()], np.full(len(got), low)]
-        ends += [layer.ends[i : m.start()], np.full(len(got), high)]
+        if not layer.uniform():
+            low, high = layer.span(*m.span())
+            starts += [layer.starts[i : m.start()], np.full(len(got), low, np.int32)]
+            ends += [layer.ends[i : m.start()], np.full(len(got), high, np.int32)]
         i = m.end()
     if not out:
         return None
-    return Layer(b"".join([*out, layer.data[i:end]]), np.concatenate([*starts, layer.starts[i:end]]), np.concatenate([*ends, layer.ends[i:end]]))
+    data = b"".join([*out, layer.data[i:end]])
+    if layer.uniform():
+        return Layer(data, layer.starts, layer.ends)
+    return Layer(data, np.concatenate([*starts, layer.starts[i:end]]), np.concatenate([*ends, layer.ends[i:end]]))
 
 
 def url_byte(m: re.Match) -> bytes:
@@ -108,52 +122,145 @@ def escaped(m: re.Match) -> bytes | None:
     return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else chr(code).encode()
 
 
-def inflated(data: bytes) -> tuple[bytes, int, bool] | None:
-    """Decompressed gzip, zlib or zstandard contents, the number of bytes they took, and whether they were cut; None if it is
-    none of these. Members that follow each other are read as one; contents that break off are read up to there."""
-    if data[:4] == b"\x28\xb5\x2f\xfd":
+class Inflated:
+    """Chunks of decompressed gzip, zlib or zstandard contents that ``pieces`` begin with; none if they are none of these.
+
+    Members that follow each other are read as one; contents that break off are read up to there. ``took``: bytes read.
+    """
+
+    def __init__(self, pieces):
+        self.pieces, self.took = iter(pieces), 0
+
+    def __iter__(self):
+        first = next(self.pieces, b"")
+        while len(first) < 4 and (more := next(self.pieces, None)) is not None:
+            first += more
+        yield from self.zstandard(first) if first[:4] == b"\x28\xb5\x2f\xfd" else self.zlib(first)
+
+    def zstandard(self, first: bytes):
         import zstandard
 
+        feed = Feed(first, self.pieces)
         try:
-            out = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read(MAX_LAYER)
-            return out, len(data), len(out) == MAX_LAYER
+            reader = zstandard.ZstdDecompressor().stream_reader(feed, read_across_frames=True)
+            while got := reader.read(PIECE):
+                self.took = feed.took
+                yield got
         except zstandard.ZstdError:
-            return None
-    out, rest, kind = b"", data, data[:2] if data[:2] == b"\x1f\x8b" else data[:1]
-    while rest[:len(kind)] == kind and len(out) < MAX_LAYER:
-        box = zlib.decompressobj(47)
-        try:
-            got = box.decompress(rest, MAX_LAYER - len(out))
-        except zlib.error:
-            got = broken(rest)
-            return (out + got, len(data), False) if out or got else None
-        out += got
-        if not box.eof:
-            return (out, len(data), bool(box.unconsumed_tail)) if out else None
-        rest = box.unused_data
-    return (out, len(data) - len(rest), len(out) >= MAX_LAYER) if out else None
-
-
-def broken(data: bytes) -> bytes:
-    """What can be read of contents with an error in them."""
-    box, out = zlib.decompressobj(47), []
-    try:
-        for i in range(len(data)):
-            out.append(box.decompress(data[i : i + 1]))
-    except zlib.error:
-        pass
-    return b"".join(out)
-
+            pass
 
-def from_base64(layer: Layer, start: int, end: int) -> Layer | None:
-    at = np.concatenate([np.arange(a, b) for a, b in pieces(layer.text, start, end)])
-    at = at[: len(at) - (len(at) % 4 == 1)]
-    run = layer.data[start:end].translate(bytes.maketrans(b"-_", b"+/"), b"=\r\n \t")[: len(at)]
+    def zlib(self, piece: bytes):
+        kind = piece[:2] if piece[:2] == b"\x1f\x8b" else piece[:1]
+        box = zlib.decompressobj(47)
+        while piece:
+            before = box.copy()
+            try:
+                got = box.decompress(piece, PIECE)
+            except zlib.error:
+                for i in range(len(piece)):  # up to the error, byte by byte
+                    try:
+                        got = before.decompress(piece[i : i + 1])
+                    except zlib.error:
+                        break
+                    if got:
+                        yield got
+                self.took += len(piece)
+                return
+            rest = box.unused_data if box.eof else box.unconsumed_tail
+            self.took += len(piece) - len(rest)
+            if got:
+                yield got
+            if box.eof:
+                while len(rest) < len(kind) and (more := next(self.pieces, None)) is not None:
+                    rest += more
+                if rest[: len(kind)] != kind:
+                    return
+                box = zlib.decompressobj(47)
+            piece = rest or next(self.pieces, b"")
+
+
+class Feed:
+    """Pieces as a file."""
+
+    def __init__(self, first: bytes, pieces):
+        self.held, self.pieces, self.took = first, pieces, 0
+
+    def read(self, size: int = -1) -> bytes:
+        if not self.held:
+            self.held = next(self.pieces, b"")
+        size = len(self.held) if size < 0 else size
+        out, self.held = self.held[:size], self.held[size:]
+        self.took += len(out)
+        return out
+
+
+def debased(pieces, skip: int):
+    """Chunks of a base64 run, without its first ``skip`` characters, read until something else than it or a line break."""
+    held, skipped = b"", 0
+    for piece in pieces:
+        end = OTHER_THAN_BASE64.search(piece)
+        run = (piece[: end.start()] if end else piece).translate(PLAIN_BASE64, b"\r\n \t")
+        cut = min(skip - skipped, len(run))
+        skipped += cut
+        held += run[cut:]
+        whole_ones = len(held) - len(held) % 4
+        yield base64.b64decode(held[:whole_ones])
+        held = held[whole_ones:]
+        if end:
+            break
+    held = held[: len(held) - (len(held) % 4 == 1)]
+    yield base64.b64decode(held + b"=" * (-len(held) % 4))
+
+
+PLAIN_BASE64 = bytes.maketrans(b"-_", b"+/")
+OTHER_THAN_BASE64 = re.compile(rb"[^A-Za-z0-9+/_\r\n \t-]")
+
+
+def windows(chunks, low: int, high: int, again):
+    """Layers of ``chunks``, WINDOW bytes each, that overlap. ``again()`` gives the chunks once more, for what goes beyond."""
+    held, size, offset = [], 0, 0
+
+    def after(end: int):
+        def rest():
+            at = 0
+            for chunk in again():
+                if at + len(chunk) > end:
+                    yield chunk[max(0, end - at) :]
+                at += len(chunk)
+
+        return rest
+
+    for chunk in chunks:
+        held.append(chunk)
+        size += len(chunk)
+        if size >= WINDOW + OVERLAP:
+            data = b"".join(held)
+            yield Layer(data[:WINDOW], low, high, after(offset + WINDOW))
+            offset += WINDOW - OVERLAP
+            held, size = [data[WINDOW - OVERLAP :]], size - WINDOW + OVERLAP
+    yield Layer(b"".join(held), low, high)
+
+
+def sliced(layer: Layer, start: int):
+    """The layer's bytes from ``start`` on, and those that follow it, in pieces."""
+    for i in range(start, len(layer.data), PIECE):
+        yield layer.data[i : i + PIECE]
+    if layer.rest:
+        yield from layer.rest()
+
+
+def from_base64(layer: Layer, start: int, end: int, skip: int) -> Layer | None:
+    """A run, decoded from its character ``skip`` on."""
+    run = layer.data[start:end].translate(PLAIN_BASE64, b"=\r\n \t")[skip:]
+    run = run[: len(run) - (len(run) % 4 == 1)]
     try:
         data = base64.b64decode(run + b"=" * (-len(run) % 4))
     except (binascii.Error, ValueError):
         return None
-    i = np.arange(len(data))
+    if layer.uniform():
+        return Layer(data, layer.starts, layer.ends)
+    at = np.concatenate([np.arange(a, b, dtype=np.int32) for a, b in pieces(layer.text, start, end)])[skip:]
+    i = np.arange(len(data), dtype=np.int32)
     return Layer(data, layer.starts[at[i * 4 // 3]], layer.ends[at[((i + 1) * 4 - 1) // 3]])
 
 
@@ -179,44 +286,62 @@ def tokens_with(escape: re.Pattern, text: str):
 
 
 def unwrapped(layer: Layer):
-    """Each layer that this one holds, and whether it was cut."""
+    """Each layer that this one holds."""
     text = layer.text
     if "%" in text:
         for start, end in tokens_with(URL_ESCAPE, text):
             if (got := replaced(layer, start, end, URL_ESCAPE, url_byte)) is not None:
-                yield got, False
+                yield got
     if "\\" in text or "&#" in text:
         for start, end in tokens_with(UNICODE_ESCAPE, text):
             if (got := replaced(layer, start, end, UNICODE_ESCAPE, escaped)) is not None:
-                yield got, False
+                yield got
     for runs in (BASE64_RUN, BASE64_LINES):
         for m in runs.finditer(text):
-            if (got := from_base64(layer, *m.span())) is not None:
-                yield got, False
+            for skip in range(4):
+                if layer.rest and m.end() == len(text):
+                    again = lambda at=m.start(), skip=skip: debased(sliced(layer, at), skip)
+                    yield from windows(again(), *layer.span(*m.span()), again)
+                elif (got := from_base64(layer, *m.span(), skip)) is not None:
+                    yield got
     done = 0
     for m in PACKED.finditer(text):
-        if m.start() >= done and (got := inflated(layer.data[m.start() :])) is not None:
-            out, took, was_cut = got
-            done = m.start() + took if m[0][0] == "\x1f" and took < len(text) - m.start() else done
-            low, high = layer.span(m.start(), m.start() + took)
-            yield Layer(out, np.full(len(out), low), np.full(len(out), high)), was_cut
+        if m.start() < done:
+            continue
+        again = lambda at=m.start(): Inflated(sliced(layer, at))
+        first, held, size = again(), [], 0
+        chunks = iter(first)
+        for chunk in chunks:
+            held.append(chunk)
+            size += len(chunk)
+            if size > WINDOW:
+                break
+        if not size:
+            continue
+        if size > WINDOW:
+            for _ in chunks:  # read to the end, for the stretch that the contents stand for
+                pass
+            held = again()
+        end = min(m.start() + first.took, len(text))
+        done = end if m[0][0] == "\x1f" and end < len(text) else done
+        yield from windows(held, *layer.span(m.start(), max(end, m.start() + 1)), again)
 
 
-def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, int]:
-    """Finds in the text itself, further finds in its layers, the number of layers, and how many were cut."""
+def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
+    """Finds in the text itself, further finds in its layers, and the number of layers."""
     base = base_finds(text)
     if not ("%" in text or "\\" in text or "&#" in text or BASE64_RUN.search(text) or PACKED.search(text)):
-        return base, [], 0, 0
-    todo, seen, found, cut = [whole(text)], set(), set(), 0
+        return base, [], 0
+    todo, seen, found = [unwrapped(whole(text))], set(), set()
     while todo:
-        for layer, was_cut in unwrapped(todo.pop()):
-            if not layer.data or (key := layer.key()) in seen:
-                continue
+        layer = next(todo[-1], None)
+        if layer is None:
+            todo.pop()
+        elif layer.data and (key := layer.key()) not in seen:
             seen.add(key)
-            todo.append(layer)
-            cut += was_cut
+            todo.append(unwrapped(layer))
             found.update((kind, *layer.span(a, b)) for kind, a, b in base_finds(layer.text))
-    return base, sorted(found - set(base), key=place), len(seen), cut
+    return base, sorted(found - set(base), key=place), len(seen)
 
 
 def place(find: tuple[str, int, int]) -> tuple[int, int, int]:
@@ -231,16 +356,16 @@ FINDS = "array<struct<kind:string,start:int,end:int>>"
 
 
 def scan_secrets(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``base_finds`` and ``layer_finds`` (kind, start, end in code points, end exclusive), ``n_layers`` and ``n_cut``."""
+    """``docs`` with ``base_finds`` and ``layer_finds`` (kind, start, end in code points, end exclusive), and ``n_layers``."""
 
     def make():
         def work(text: bytes | None):
-            base, more, layers, cut = scan((text or b"").decode("utf-8", "replace"))
-            return [dict(zip(("kind", "start", "end"), x, strict=True)) for x in sorted(base, key=place)], [dict(zip(("kind", "start", "end"), x, strict=True)) for x in more], layers, cut
+            base, more, layers = scan((text or b"").decode("utf-8", "replace"))
+            return [dict(zip(("kind", "start", "end"), x, strict=True)) for x in sorted(base, key=place)], [dict(zip(("kind", "start", "end"), x, strict=True)) for x in more], layers
 
         return work
 
-    return map_texts(docs, make, f"base_finds {FINDS}, layer_finds {FINDS}, n_layers int, n_cut int", keep)
+    return map_texts(docs, make, f"base_finds {FINDS}, layer_finds {FINDS}, n_layers int", keep)
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
@@ -251,7 +376,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
             if text is None:
                 return (None,)
             original = text.decode("utf-8", "replace")
-            base, more, _, _ = scan(original)
+            base, more, _ = scan(original)
             out, at = [], 0
             for start, end in sorted((a, b) for _, a, b in [*base, *more]):
                 if start >= at:

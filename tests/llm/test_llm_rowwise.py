@@ -15,6 +15,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from caseload.llm import bpe, chat, langid, licenses, quality, queries, secrets
 from caseload.session import stored
 from pyspark.sql import functions as F
@@ -85,11 +86,11 @@ def test_secrets_in_layers_map_to_the_text():
         "".join(f"&#x{ord(c):x};" for c in secret),
     ):
         text = f"éé see {wrapped} end"
-        _, more, layers, _ = secrets.scan(text)
+        _, more, layers = secrets.scan(text)
         assert layers and any(k == "assign" for k, _, _ in more), wrapped
         for _, a, b in more:
             assert 7 <= a < b <= 7 + len(wrapped)
-    base, more, _, _ = secrets.scan("%25" * 50 + "41")
+    base, more, _ = secrets.scan("%25" * 50 + "41")
     assert base == [] and more == []
 
 
@@ -110,10 +111,42 @@ def test_secrets_in_byte_layers_and_beside_bad_escapes():
         base64.encodebytes(gzip.compress((noise + " " + secret).encode(), mtime=0)).decode(),
         base64.encodebytes(("n" * 40 + " " + secret).encode()).decode(),
         base64.b64encode(gzip.compress(b"first", mtime=0) + zipped).decode(),
+        "data/" + base64.b64encode(secret.encode()).decode(),
+        "x/y9/" + base64.b64encode(zipped).decode(),
+        base64.b64encode(b"\xff\xfe\x80" + secret.encode() + b"\xff").decode(),
+        base64.b64encode(zstandard.compress(b"one ") + zstandard.compress(secret.encode())).decode(),
     ):
         text = f"éé see {wrapped} end"
-        _, more, _, cut = secrets.scan(text)
-        assert cut == 0 and any(k == "assign" and 7 <= a < b <= 7 + len(wrapped) for k, a, b in more), wrapped
+        _, more, _ = secrets.scan(text)
+        assert any(k == "assign" and 7 <= a < b <= 7 + len(wrapped) for k, a, b in more), wrapped
+
+
+def test_secrets_in_contents_of_many_windows(monkeypatch):
+    secret = "password=abcdef0123456789zz"
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("ghijklmnop .") for _ in range(n))
+    inner = base64.b64encode(gzip.compress((noise(20_000) + secret + noise(3_000)).encode(), mtime=0)).decode()
+    cases = {
+        "plain": noise(30_000) + " " + secret + noise(9_000),
+        "packed": noise(11_000) + " " + inner + " " + noise(9_000),
+        "url": noise(25_000) + "".join(f" %{ord(c):02x}" if c == " " else f"%{ord(c):02x}" for c in secret) + noise(9_000),
+        "raw": noise(9_000) + " " + gzip.compress((noise(30_000) + secret).encode(), mtime=0).decode("latin-1") + noise(9_000),
+        "none": noise(40_000),
+    }
+    for window, overlap in ((1 << 24, 1 << 20), (4096, 512)):
+        monkeypatch.setattr(secrets, "WINDOW", window)
+        monkeypatch.setattr(secrets, "OVERLAP", overlap)
+        monkeypatch.setattr(secrets, "PIECE", min(secrets.PIECE, window // 4))
+        for name, content in cases.items():
+            wrapped = base64.b64encode(zlib.compress(content.encode("latin-1"))).decode()
+            _, more, _ = secrets.scan(f"éé see {wrapped} end")
+            assert [f for f in more if f[0] == "assign"] == ([] if name == "none" else [("assign", 7, 7 + len(wrapped.rstrip("=")))]), (name, window)
+
+
+def test_secret_scan_ends_on_huge_contents():
+    bomb = base64.b64encode(gzip.compress(gzip.compress(b"0 " * (60 << 20), mtime=0) + b"", mtime=0)).decode()
+    base, more, layers = secrets.scan(f"see {bomb}")
+    assert base == [] and more == [] and layers < 60
 
 
 def test_secret_odd_input_and_redaction(spark):
