@@ -1,6 +1,13 @@
 """A training corpus from ``documents``: five stages, each on all that the one before it kept.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``, whatever
+further columns there are and whatever they are called.
+
+Defined results for odd input: rows with null or empty text fail the quality rules and go; null language or source is a
+group of its own in the quality rules and a source of its own in the mixture; rows without doc_id pass the near-duplicate
+stage, as they are never linked; rows that share a doc_id are judged by their own texts, and of equal ones one stays; of a
+group of near duplicates the smallest id stays (ties: by text, then by the other columns); texts of any length are read
+whole; an empty table passes as an empty table.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stays as often as its source's budget has it pass: once at least, twice at most."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return mixing.mixed_rows(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
