@@ -26,9 +26,12 @@ def local_session(cores: int | None = None, name: str = "caseload") -> SparkSess
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the shared ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new folder under the shared ``spark.checkpoint.dir``; a local one only where that is unset and all of Spark is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir is unset; on {master} it has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-caseload-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/caseload-{uuid.uuid4().hex}"
