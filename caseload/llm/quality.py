@@ -202,13 +202,13 @@ def squared_distance() -> Column:
     return F.expr(" + ".join(f"{x[i]} * ({' + '.join([f'v[{i * P + i}] * {x[i]}', *(f'2 * v[{i * P + j}] * {x[j]}' for j in range(i))])})" for i in range(P)))
 
 
-def mcd_models(clean: DataFrame, targets: DataFrame, support: float, prior: float, starts: int = 3, subset: int = 32, max_steps: int = 50) -> DataFrame:
+def mcd_models(clean: DataFrame, targets: DataFrame, support: float, prior: float, starts: int = 3, subset: int = 32, max_steps: int = 50, tolerance: float = 0.01) -> DataFrame:
     """(g, m, v, c, logdet): regularised minimum-covariance-determinant estimates, reweighted once.
 
     ``clean``: g and the features; ``targets``: (g, tm, tc). Starts are the group's medians and deviations, and the
     moments of about ``subset`` rows picked by hash for each further one. A concentration step keeps the ``support``
     share of a group's rows that lie nearest under the last estimate (to a bin of log distance: no group is gathered or
-    sorted), which never raises the determinant. Steps end when no determinant changes any more.
+    sorted). The smallest determinant is kept; steps end when none falls by more than the share ``tolerance`` any more.
     """
     sizes = clean.groupBy("g").agg(F.count("*").alias("rows"))
     scale = support / chi2_cdf(chi2_quantile(support, P), P + 2)
@@ -221,11 +221,12 @@ def mcd_models(clean: DataFrame, targets: DataFrame, support: float, prior: floa
         d = clean.join(models.select("g", "s", "m", "v"), "g").withColumn("bin", F.floor(DISTANCE_BINS * F.log(squared_distance() + 1e-6)).cast("long")).drop("m", "v")
         cut = cutoffs(d.groupBy("g", "s", "bin").agg(F.count("*").alias("n")), ["g", "s"], support)
         near = d.join(cut, ["g", "s"]).where(F.col("bin") <= F.col("cut"))
-        was = models.select("g", "s", F.col("logdet").alias("was"))
-        models = stored(regularised(moments(near, ["g", "s"]).join(targets, "g"), scale, prior).join(was, ["g", "s"]))
-        if not models.where(F.col("logdet") < F.col("was") - 1e-9).limit(1).count():
+        new = regularised(moments(near, ["g", "s"]).join(targets, "g"), scale, prior).select("g", "s", F.struct("logdet", "m", "v").alias("new"))
+        both = models.select("g", "s", F.struct("logdet", "m", "v").alias("old")).join(new, ["g", "s"])
+        smaller = F.when(F.col("new.logdet") < F.col("old.logdet"), F.col("new")).otherwise(F.col("old"))
+        models = stored(both.select("g", "s", smaller.alias("x"), "old.logdet").select("g", "s", "x.*", (F.col("logdet") - F.col("x.logdet")).alias("fall")))
+        if not models.where(F.col("fall") > tolerance).limit(1).count():
             break
-        models = models.drop("was")
     best = models.groupBy("g").agg(F.min_by(F.struct("m", "v"), F.struct("logdet", "s")).alias("x")).select("g", "x.m", "x.v")
     within = 0.975 / chi2_cdf(chi2_quantile(0.975, P), P + 2)
     near = clean.join(best, "g").where(squared_distance() <= chi2_quantile(0.975, P)).drop("m", "v")
