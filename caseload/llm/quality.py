@@ -210,7 +210,7 @@ def mcd_models(clean: DataFrame, targets: DataFrame, support: float, prior: floa
     share of a group's rows that lie nearest under the last estimate (to a bin of log distance: no group is gathered or
     sorted). The smallest determinant is kept; steps end when none falls by more than the share ``tolerance`` any more.
     """
-    sizes = clean.groupBy("g").agg(F.count("*").alias("rows"))
+    sizes = stored(clean.groupBy("g").agg(F.count("*").alias("rows")))  # its size is known, so rows needn't move to it
     scale = support / chi2_cdf(chi2_quantile(support, P), P + 2)
     first = spread(clean).join(targets, "g").withColumns({"s": F.lit(0), "n": F.lit(1e12)})
     picked = F.pmod(F.xxhash64("s", *FEATURES), F.lit(1 << 30)) * F.col("rows") < subset * float(1 << 30)
