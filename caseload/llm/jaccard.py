@@ -351,13 +351,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def buckets(docs: DataFrame, nodes: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(sig, node, n): the nodes that meet under a signature which they don't leave out."""
+    """(sig, node, n, class_id): the nodes that meet under a signature which they don't leave out."""
     context = docs.sparkSession.sparkContext
     leads = context.broadcast(bitmap(nodes.select(lead_key().alias("h")), "h"))
     met = stored(index_rows(docs, size, threshold, leads).groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"))
     bitmaps = context.broadcast((bitmap(met, "sig"), bitmap(met.where(F.col("c") >= POPULAR), "sig")))
-    rows = index_rows(docs, size, threshold, leads, bitmaps).join(nodes.select("set_a", "set_b", "node", "n"), ["set_a", "set_b"])
-    return stored(rows.groupBy("sig", "node").agg(F.first("n").alias("n")))
+    rows = index_rows(docs, size, threshold, leads, bitmaps).join(nodes.select("set_a", "set_b", "node", "n", "class_id"), ["set_a", "set_b"])
+    return stored(rows.groupBy("sig", "node").agg(F.first("n").alias("n"), F.first("class_id").alias("class_id")))
 
 
 def near_enough(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -378,15 +378,18 @@ def linked(docs: DataFrame, nodes: DataFrame, size: int, threshold: float) -> Da
     rows = buckets(docs, nodes, size, threshold)
     percent = round(threshold * 100)
     close = lambda x, y: (F.col(x) * percent <= F.col(y) * 100) & (F.col(y) * percent <= F.col(x) * 100)
-    hubs = rows.groupBy("sig").agg(F.min_by("node", F.struct("node")).alias("hub"), F.min_by("n", F.struct("node")).alias("hub_n"), F.max("node").alias("last")).where("hub < last").drop("last")
-    first = stored(rows.join(hubs, "sig").where((F.col("node") > F.col("hub")) & close("n", "hub_n")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    # A bucket's first member is the one with the smallest id, as originals come before their copies more often than not.
+    place = F.struct("class_id", "node")
+    hubs = rows.groupBy("sig").agg(F.min_by("node", place).alias("hub"), F.min_by("n", place).alias("hub_n"), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = rows.join(hubs, "sig").where((F.col("node") != F.col("hub")) & close("n", "hub_n"))
+    first = stored(met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
     edges = stored(verified(stored(near_enough(first, nodes, threshold)), docs, nodes, size, threshold))
     parts = stored(components(edges))
     # What is left: pairs of different components in one bucket, neither of them its first member. One of the two lies
     # outside the first member's component.
     named = stored(rows.join(hubs.select("sig"), "sig", "left_semi").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    spread = named.groupBy("sig").agg(F.min("node").alias("hub"), F.min_by("component", F.struct("node")).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi and c > 2").select("sig", "hub", "main", "c")
-    inner = named.join(spread, "sig").where("node > hub").drop("hub").join(nodes.select("node", "sketch"), "node")
+    spread = named.groupBy("sig").agg(F.min_by("node", place).alias("hub"), F.min_by("component", place).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi and c > 2").select("sig", "hub", "main", "c")
+    inner = named.join(spread, "sig").where("node != hub").drop("hub", "class_id").join(nodes.select("node", "sketch"), "node")
     second = stored(apart_but_near(inner, threshold).distinct())
     if second.limit(1).count() == 0:
         return parts
