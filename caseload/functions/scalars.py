@@ -173,10 +173,16 @@ def mcnemar_exact(b: int, c: int) -> float:
     n = b + c
     if n == 0:
         return 1.0
-    if n > 2000:
-        return math.erfc(max(0.0, abs(b - c) - 1) / math.sqrt(2 * n))
-    tail = sum(math.comb(n, i) for i in range(min(b, c) + 1)) / 2**n
-    return min(1.0, 2 * tail)
+    k = min(b, c)
+    # Terms of the tail, each as a share of the largest, which is the last; they fall off downwards.
+    share, total = 1.0, 1.0
+    for i in range(k, 0, -1):
+        share *= i / (n - i + 1)
+        if share < total * 1e-18:
+            break
+        total += share
+    largest = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+    return min(1.0, 2 * total * math.exp(largest))
 
 
 def chi2_tail(x: float, df: int) -> float:

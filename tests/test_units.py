@@ -169,3 +169,15 @@ def test_message_headers(spark):
     got = {(r["doc_id"], r["field"]): r["value"] for r in C.header_fields(df).collect()}
     assert got == {(1, "from"): "Doe, Jane <j@x>", (1, "to"): "Bob Smith, Ann Lee", (2, "from"): "Jane Doe", (2, "subject"): "hi"}
     assert {r["surname"]: r["n"] for r in C.header_names(df, 1).collect()}["Smith"] == 1
+
+
+def test_mcnemar_is_exact_at_every_size():
+    import math
+
+    from caseload.functions.scalars import mcnemar_exact
+
+    for b, c in ((0, 0), (0, 9), (3, 8), (5, 5), (900, 1101), (1500, 1501), (2400, 2700)):
+        n = b + c
+        want = min(1.0, 2 * (sum(math.comb(n, i) for i in range(min(b, c) + 1)) * 10**40 // 2**n) / 10**40) if n else 1.0
+        assert abs(mcnemar_exact(b, c) - want) <= 1e-9 * max(want, 1e-30)
+    assert 0 < mcnemar_exact(1_000_000, 1_003_000) < 0.05
