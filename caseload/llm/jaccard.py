@@ -43,6 +43,9 @@ BAND, SHARED, CANDIDATE, SPARE = 1.25, 0.1, 2_000.0, 0.1
 #: Cells of the bitmaps that let rows through before a shuffle: 16 MB, whatever the input. A signature counts as popular
 #: from so many documents on.
 CELLS, POPULAR = 1 << 27, 6
+#: Cells of a parity sketch for each element, at least (a power of two). The more there are, the fewer differences fall
+#: in one cell and cancel out, so the fewer pairs below the threshold pass; a sketch of 4 is half a byte to one a shingle.
+ROOM = 4
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -189,11 +192,11 @@ def costly_first(sigs: np.ndarray, sizes: np.ndarray, popular: np.ndarray) -> np
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parities of how many elements fall in each of at least len(s) cells (a power of two, 64 or more), as words.
+    """Parities of how many elements fall in each of at least ``ROOM`` len(s) cells (a power of two, 64 or more), as words.
 
     Two sets' sketches differ in no more cells than the sets differ in elements; folding halves keeps that.
     """
-    cells = max(64, 1 << (len(s) - 1).bit_length())
+    cells = max(64, ROOM << (len(s) - 1).bit_length())
     odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
