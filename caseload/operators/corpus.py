@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseload.functions import text as T
+from caseload.operators import order as O
 
 
 def one_of_each_body(docs: DataFrame) -> DataFrame:
@@ -84,4 +85,5 @@ def composite(channels: DataFrame, bounds: dict[str, tuple[float, float]], key:
     known = F.filter(F.array(*placed), lambda x: x.isNotNull())
     mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(known), F.lit(1)))
     out = channels.select(key, mean.alias("composite"), F.size(known).alias("n_channels"))
-    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("composite"), key)))
+    score = F.coalesce("composite", F.lit(-1.0))
+    return O.placed(out, [], [F.floor(score * 1024), score], [F.asc(key)], {}, "place")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseload.functions import text as T
+
 
 def pending(units: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work not yet done: units without a finished row (errors don't count)."""
@@ -54,18 +56,17 @@ def words(text) -> object:
 def containing(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, term): terms (phrases of words) that stand as whole words in a text.
 
-    A phrase is looked for only in documents that hold its longest word: an equi-join on words, then a check of the
-    phrase, instead of every term against every text.
+    The runs of words of a text, of the lengths that terms have, meet the phrases in one equi-join: texts are read once
+    and never shuffled. A term without words is in no text.
     """
-    w = F.array_sort(words(F.col("term")), lambda a, b: F.length(b) - F.length(a))
-    keyed = terms.select("term", F.get(w, 0).alias("_w"), F.concat_ws(" ", words(F.col("term"))).alias("_phrase")).where("_w is not null")
-    held = docs.select("doc_id", words(F.col("text")).alias("_all")).select("doc_id", F.explode(F.array_distinct("_all")).alias("_w"))
-    candidates = held.join(keyed, "_w").select("doc_id", "term", "_phrase")
-    single = candidates.where(~F.contains("_phrase", F.lit(" "))).select("doc_id", "term")
-    several = candidates.where(F.contains("_phrase", F.lit(" ")))
-    texts = docs.select("doc_id", F.concat(F.lit(" "), F.concat_ws(" ", words(F.col("text"))), F.lit(" ")).alias("_t"))
-    checked = several.join(texts, "doc_id").where(F.contains("_t", F.concat(F.lit(" "), F.col("_phrase"), F.lit(" ")))).select("doc_id", "term")
-    return single.unionByName(checked).distinct()
+    w = words(F.col("term"))
+    keyed = terms.select("term", F.size(w).alias("_size"), F.concat_ws(" ", w).alias("_phrase")).where("_size > 0")
+    sizes = sorted(r[0] for r in keyed.select("_size").distinct().collect())  # a few lengths in words
+    if not sizes:
+        return docs.select("doc_id", F.lit("").alias("term")).limit(0)
+    runs = F.array_distinct(F.concat(*[T.ngrams(F.col("_all"), n) for n in sizes]))
+    held = docs.select("doc_id", words(F.col("text")).alias("_all")).select("doc_id", F.explode(runs).alias("_phrase"))
+    return held.join(keyed.drop("_size"), "_phrase").select("doc_id", "term").distinct()
 
 
 def lift(found: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseload.functions import scalars as S
+from caseload.operators import order as O
 
 CALL = ["model", "arm", "doc_id"]
 
 
 def op_metrics(decisions: DataFrame) -> DataFrame:
     """Latency percentiles (linear), token means, money, decisions by mode, for each model and arm."""
-    ok = ~F.col("error")
+    at = O.quantiles(decisions.where("not error"), ["model", "arm"], "latency_ms", {"p50": 0.5, "p95": 0.95})
     return decisions.groupBy("model", "arm").agg(
-        F.percentile(F.when(ok, F.col("latency_ms")), F.lit(0.5)).alias("p50"),
-        F.percentile(F.when(ok, F.col("latency_ms")), F.lit(0.95)).alias("p95"),
         F.avg("input_tokens").alias("mean_input"),
         F.avg("output_tokens").alias("mean_output"),
         F.sum("cost").alias("paid"),
@@ -24,14 +23,16 @@ def op_metrics(decisions: DataFrame) -> DataFrame:
         F.count_if(F.col("error")).alias("n_errors"),
         F.count_if(F.col("mode") == "batch").alias("n_batch"),
         F.count_if(F.col("mode") == "standard").alias("n_standard"),
-    )
+    ).join(at, ["model", "arm"], "left")
 
 
 def document_latency(decisions: DataFrame) -> DataFrame:
     """Latency of a document: its questions run side by side in the multi arm (maximum), one by one in the single (sum)."""
     at = decisions.where("not error").groupBy(*CALL).agg(F.max("latency_ms").alias("m"), F.sum("latency_ms").alias("s"))
     value = F.when(F.col("arm") == "multi", F.col("m")).otherwise(F.col("s"))
-    return at.groupBy("model", "arm").agg(F.percentile(value, F.lit(0.5)).alias("doc_p50"), F.percentile(value, F.lit(0.95)).alias("doc_p95"), F.count("*").alias("n_docs"))
+    at = at.select("model", "arm", value.alias("v"))
+    ends = O.quantiles(at, ["model", "arm"], "v", {"doc_p50": 0.5, "doc_p95": 0.95})
+    return at.groupBy("model", "arm").agg(F.count("*").alias("n_docs")).join(ends, ["model", "arm"], "left")
 
 
 def document_costs(decisions: DataFrame) -> DataFrame:
@@ -56,12 +57,13 @@ def coverage(decisions: DataFrame, least: float) -> DataFrame:
 def within_budget(decisions: DataFrame, limit: float) -> DataFrame:
     """Units, in order of document and question, whose running cost stays within the limit: the spending gate before a run.
 
-    Running sums go over the documents of one model and arm dealt to 1,024 stretches of ids, then within a stretch.
+    Running sums go over the documents of one model and arm dealt to 1,024 stretches of the ids' range, then within a stretch.
     """
     from pyspark.sql import Window
 
     keys = ["model", "arm"]
-    whole = decisions.withColumn("stretch", F.floor(F.col("doc_id") / 1024))
+    ends = decisions.agg(F.min("doc_id").alias("lo"), (F.max("doc_id") - F.min("doc_id") + 1).alias("span"))
+    whole = decisions.crossJoin(ends).withColumn("stretch", F.floor((F.col("doc_id") - F.col("lo")) / F.col("span") * 1024)).drop("lo", "span")
     parts = whole.groupBy(*keys, "stretch").agg(F.sum("list_cost").alias("s"))
     before = parts.withColumn("before", F.coalesce(F.sum("s").over(Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     reachable = before.where(F.col("before") <= limit).drop("s")

@@ -1,8 +1,9 @@
 """Paired conditions: transitions, exact tests, and bootstraps over clusters.
 
 Counts are additive, so a bootstrap resamples clusters' counts, never rows. A cluster's weight in a replicate is a
-Poisson draw from its hash (mean 1): each cluster draws its own, so replicates need no sampling of indices, no shuffle
-of rows, and come out alike on any partitioning.
+Poisson draw (mean 1), so n clusters with equal counts together weigh a Poisson draw of mean n. Clusters are grouped by
+their counts, and each group draws from its hash: in blocks of 64 and powers of two below, so that the work of a
+replicate is a sixty-fourth of the clusters and a few rows for each distinct set of counts, alike on any partitioning.
 """
 
 from __future__ import annotations
@@ -15,6 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseload.functions import scalars as S
+from caseload.operators import order as O
+
+
+#: Sizes of the blocks in which clusters of equal counts draw their weight.
+BLOCKS = (1, 2, 4, 8, 16, 32, 64)
 
 
 def pair(named: DataFrame, renamed: DataFrame) -> DataFrame:
@@ -27,14 +33,15 @@ def transitions(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """The eight counts of (gold, before, after), changes, and mean shifts of the score."""
     named = {f"n{g}{x}{y}": F.count_if((F.col("gold") == g) & (F.col("x") == x) & (F.col("y") == y)) for g in (0, 1) for x in (0, 1) for y in (0, 1)}
     changed = F.col("x") != F.col("y")
+    shift = F.abs(F.col("py") - F.col("px"))
+    middle = O.quantiles(pairs.select(*keys, shift.alias("shift")), keys, "shift", {"median_shift": 0.5})
     return pairs.groupBy(*keys).agg(
         *[c.alias(k) for k, c in named.items()],
         F.count_if(changed & (F.col("x") == F.col("gold"))).alias("lost"),
         F.count_if(changed & (F.col("y") == F.col("gold"))).alias("gained"),
-        F.avg(F.abs(F.col("py") - F.col("px"))).alias("mean_shift"),
-        F.percentile(F.abs(F.col("py") - F.col("px")), F.lit(0.5)).alias("median_shift"),
+        F.avg(shift).alias("mean_shift"),
         F.count_if(changed & (F.abs(F.col("px") - 0.5) < 0.1)).alias("near_threshold"),
-    )
+    ).join(middle, keys, "left")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -53,22 +60,32 @@ def cluster_counts(pairs: DataFrame, cluster: str) -> DataFrame:
     return pairs.groupBy(cluster).agg(*[c.alias(k) for k, c in cell.items()])
 
 
-def poisson_weight(*key: Column | str) -> Column:
-    """A Poisson(1) draw by inversion of the key's hashed uniform."""
-    u, total, term = S.uniform(*key), 0.0, math.exp(-1)
-    out = F.lit(0)
-    for k in range(12):
-        total += term
-        out = out + F.when(u >= total, 1).otherwise(0)
-        term /= k + 1
+def poisson_weight(size: Column, *key: Column | str) -> Column:
+    """A Poisson draw whose mean is ``size`` (1, 2, 4 to 64), by inversion of the key's hashed uniform."""
+    u, out = S.uniform(*key), F.lit(0)
+    for mean in BLOCKS:
+        total, term, steps = 0.0, math.exp(-mean), []
+        for k in range(int(mean + 12 * math.sqrt(mean) + 12)):
+            total += term
+            steps.append(total)
+            term *= mean / (k + 1)
+        drawn = F.size(F.filter(F.array(*map(F.lit, steps)), lambda x: x <= u))
+        out = F.when(size == mean, drawn).otherwise(out)
     return out
 
 
 def bootstrap_deltas(clusters: DataFrame, cluster: str, replicates: int = 500) -> DataFrame:
     """(replicate, d_precision, d_recall, d_f1, d_accuracy): after minus before in each replicate; replicate 0 is the data."""
     cells = [c for c in clusters.columns if c != cluster]
-    drawn = clusters.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    drawn = drawn.withColumn("w", F.when(F.col("replicate") == 0, 1).otherwise(poisson_weight("boot", F.col("replicate"), F.col(cluster))))
+    alike = clusters.groupBy(*cells).agg(F.count("*").alias("_n"))
+    n = F.col("_n")
+    whole = F.transform(F.sequence(F.lit(0), F.floor(n / 64)), lambda i: F.struct(i.alias("i"), F.when(i < F.floor(n / 64), 64).otherwise(0).alias("size")))
+    rest = F.array(*[F.struct(F.lit(-1).cast("long").alias("i"), F.when(n.bitwiseAND(b) > 0, b).otherwise(0).alias("size")) for b in BLOCKS[:-1]])
+    blocks = alike.select(*cells, F.explode(F.concat(whole, rest)).alias("_b")).where("_b.size > 0")
+    drawn = blocks.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    size = F.col("_b.size")
+    draw = poisson_weight(size, "boot", F.col("replicate"), size, F.col("_b.i"), *map(F.col, cells))
+    drawn = drawn.withColumn("w", F.when(F.col("replicate") == 0, size).otherwise(draw))
     s = drawn.groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in cells])
 
     def of(v: str) -> dict[str, Column]:
@@ -97,7 +114,7 @@ def contrast(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def dose_bands(pairs: DataFrame, dose: str) -> DataFrame:
     """Change of accuracy by terciles of the dose."""
-    cuts = F.broadcast(pairs.agg(F.percentile(dose, F.lit(1 / 3)).alias("c1"), F.percentile(dose, F.lit(2 / 3)).alias("c2")))
+    cuts = O.quantiles(pairs, [], dose, {"c1": 1 / 3, "c2": 2 / 3})
     band = F.when(F.col(dose) <= F.col("c1"), "low").when(F.col(dose) <= F.col("c2"), "middle").otherwise("high")
     right = lambda v: (F.col(v) == F.col("gold")).cast("double")
     return pairs.crossJoin(cuts).groupBy(band.alias("band")).agg(F.count("*").alias("n"), (F.avg(right("y")) - F.avg(right("x"))).alias("d_accuracy"))

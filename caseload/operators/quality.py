@@ -130,7 +130,7 @@ def recall_targets(decisions: DataFrame, keys: list[str], targets: tuple[float,
     need = F.ceil(F.col("target") * F.col("all_pos") - 1e-9)
     crossing = s.withColumn("need", need).where((F.col("tp") >= F.col("need")) & (F.col("tp") - F.col("pos") < F.col("need")))
     at = crossing.select(*keys, "p", "target", (F.col("need") - F.col("tp") + F.col("pos")).alias("short"), (F.col("tp") - F.col("pos") + F.col("fp") - F.col("neg")).alias("before"), "need", (F.col("all_pos") + F.col("all_neg")).alias("n"), "all_pos")
-    tied = decisions.where("not error and gold is not null").join(F.broadcast(at.select(*keys, "p").distinct()), [*keys, "p"], "left_semi")
+    tied = decisions.where("not error and gold is not null").join(at.select(*keys, "p").distinct(), [*keys, "p"], "left_semi")
     order = Window.partitionBy(*keys, "p").orderBy("doc_id")
     placed = tied.withColumns({"place": F.row_number().over(order), "seen": F.sum("gold").over(order.rowsBetween(Window.unboundedPreceding, 0))}).where("gold = 1").select(*keys, "p", "place", "seen")
     hit = at.join(placed, [*keys, "p"]).where("seen = short")

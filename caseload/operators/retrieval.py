@@ -1,7 +1,7 @@
 """Evaluation of ranked runs: trec-style measures, and estimates from sampled judgments by inverse probability.
 
 A run has ``topic``, ``docid`` and ``score``; judgments have ``topic``, ``docid``, ``rel`` and ``p_select``. The canonical
-order is by topic, falling score, and falling docid on ties. A topic's ranked list is its own window partition.
+order is by topic, falling score, and falling docid on ties. Places come from counts by score and the start of the docid.
 """
 
 from __future__ import annotations
@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseload.functions import scalars as S
+from caseload.operators import order as O
 
 
 def ranked(run: DataFrame, judgments: DataFrame) -> DataFrame:
     """The run in canonical order, with judgments (null: unjudged) and running counts of judged relevant and non-relevant."""
     j = judgments.select("topic", "docid", "rel", "p_select")
-    order = Window.partitionBy("topic").orderBy(F.desc("score"), F.desc("docid"))
-    up = order.rowsBetween(Window.unboundedPreceding, 0)
-    r = run.join(j, ["topic", "docid"], "left").withColumn("rank", F.row_number().over(order))
+    score = F.coalesce("score", F.lit(-1e300))
+    tiers = [F.floor(F.least(F.greatest(score, F.lit(-1.0)), F.lit(2.0)) * 256), score, F.substring("docid", 1, 3)]
     one = lambda c: F.when(c, 1).otherwise(0)
-    return r.withColumns({"rels": F.sum(one(F.col("rel") > 0)).over(up), "nonrels": F.sum(one(F.col("rel") == 0)).over(up)})
+    r = run.join(j, ["topic", "docid"], "left")
+    return O.placed(r, ["topic"], tiers, [F.desc("docid")], {"rels": one(F.col("rel") > 0), "nonrels": one(F.col("rel") == 0)})
 
 
 def measures(run: DataFrame, judgments: DataFrame) -> DataFrame:

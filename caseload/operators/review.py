@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseload.functions import scalars as S
+from caseload.operators import order as O
 from caseload.operators.ensemble import recoded
 from caseload.session import stored
 
@@ -67,7 +68,10 @@ def recall_cut(rows: DataFrame, recall: float = 0.8, label: str = "label") -> fl
     if not n:
         return None
     k = -int(-recall * n // 1)
-    return positives.orderBy(F.desc("score"), "doc_id").limit(k).agg(F.min("score")).first()[0]
+    at = positives.groupBy("score").agg(F.count("*").alias("rank_size"))
+    tiers = [F.floor(F.least(F.greatest(F.col("score"), F.lit(-1.0)), F.lit(2.0)) * 256)]
+    upto = O.placed(at, [], tiers, [F.desc("score")], {"upto": F.col("rank_size")})
+    return upto.where(F.col("upto") >= k).agg(F.max("score")).first()[0]
 
 
 def knee_stop(curve: list[tuple[int, int]], n: int, ratio: float = 6.0, least: float = 0.1) -> bool:

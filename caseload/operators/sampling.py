@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseload.functions import scalars as S
+from caseload.operators import order as O
 
 
 def one_in(rows: DataFrame, modulus: int, *key: Column | str) -> DataFrame:
@@ -74,7 +75,7 @@ def downsample_positives(rows: DataFrame, label: str, richness: float, key: str)
     want = round(n["q"] * richness / (1 - richness))
     if n["p"] <= want:
         return rows
-    positives = rows.where(F.col(label) == 1).orderBy(S.uniform("pool", F.col(key)), key).limit(want)
+    positives = O.lowest(rows.where(F.col(label) == 1), S.uniform("pool", F.col(key)), key, want)
     return rows.where(F.col(label) == 0).unionByName(positives)
 
 
@@ -87,15 +88,17 @@ def control_size(n: int, positives: int) -> int:
 def nearest_twin(rows: DataFrame, others: DataFrame, group: str, value: str, key: str) -> DataFrame:
     """For each row the row of ``others`` in its group with the nearest value (ties: smaller value, then key).
 
-    Two running windows over the union give the last one at or below and the first one above, without a pair of all rows.
+    Running windows go over the distinct values of a group, whose number is that of different lengths, not of rows: they
+    give the last other at or below and the first one at or above, which then meet the rows by value.
     """
-    a = rows.select(group, value, F.col(key).alias("_id"), F.lit(1).alias("_side"))
-    b = others.select(group, value, F.col(key).alias("_id"), F.lit(0).alias("_side"))
-    both = a.unionByName(b)
-    down = Window.partitionBy(group).orderBy(value, "_side", "_id").rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(group).orderBy(F.desc(value), "_side", F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
-    other = F.when(F.col("_side") == 0, F.struct(value, "_id"))
-    near = both.withColumns({"_lo": F.last(other, ignorenulls=True).over(down), "_hi": F.last(other, ignorenulls=True).over(up)}).where("_side = 1")
+    a = rows.select(group, value).distinct().withColumns({"_least": F.lit(None).cast("long"), "_most": F.lit(None).cast("long")})
+    b = others.groupBy(group, value).agg(F.min(key).alias("_least"), F.max(key).alias("_most"))
+    both = a.unionByName(b).groupBy(group, value).agg(F.max("_least").alias("_least"), F.max("_most").alias("_most"))
+    down = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(group).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct(value, F.col(c).alias("_id")))
+    ends = both.select(group, value, F.last(at("_most"), ignorenulls=True).over(down).alias("_lo"), F.last(at("_least"), ignorenulls=True).over(up).alias("_hi"))
+    near = rows.select(group, value, F.col(key).alias("_id")).join(ends, [group, value])
     lo, hi = F.col("_lo"), F.col("_hi")
     best = F.when(lo.isNull(), hi).when(hi.isNull(), lo).when(F.col(value) - lo[value] <= hi[value] - F.col(value), lo).otherwise(hi)
     return near.select(group, F.col("_id").alias(key), value, best["_id"].alias("twin"), F.abs(best[value] - F.col(value)).alias("gap")).where("twin is not null")

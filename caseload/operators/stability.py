@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseload.functions import scalars as S
+from caseload.operators import order as O
 
 
 def per_decision(runs: DataFrame, n_runs: int) -> DataFrame:
@@ -33,12 +34,17 @@ def with_stratum(rows: DataFrame) -> DataFrame:
 def flip_rates(decisions: DataFrame) -> DataFrame:
     """Flip measures by question, by stratum, by both, and over all: grouping sets over one pass."""
     d = with_stratum(decisions)
+    level = lambda q, s: F.concat_ws("/", F.coalesce(q, F.lit("*")), F.coalesce(s, F.lit("*")))
+    q, s, every = F.col("question"), F.col("stratum"), F.lit(None).cast("string")
+    spreads = d.select("spread", F.explode(F.array(level(q, s), level(q, every), level(every, s), level(every, every))).alias("level"))
+    ends = O.quantiles(spreads, ["level"], "spread", {"spread_p50": 0.5, "spread_p95": 0.95})
     low, high = S.wilson(F.count_if("flipped"), F.count("*"))
-    return d.groupingSets([["question", "stratum"], ["question"], ["stratum"], []], "question", "stratum").agg(
+    out = d.groupingSets([["question", "stratum"], ["question"], ["stratum"], []], "question", "stratum").agg(
         F.count("*").alias("n"), F.count_if("flipped").alias("n_flipped"), low.alias("low"), high.alias("high"), F.avg("pairwise").alias("pairwise"),
-        F.avg((F.col("spread") == 0).cast("double")).alias("identical"), F.percentile("spread", F.lit(0.5)).alias("spread_p50"), F.percentile("spread", F.lit(0.95)).alias("spread_p95"),
+        F.avg((F.col("spread") == 0).cast("double")).alias("identical"), 
         F.count_if(F.col("flipped") & (F.col("spread") >= 0.1)).alias("confident_flips"),
     )
+    return out.withColumn("level", level(q, s)).join(ends, "level", "left").drop("level")
 
 
 def document_flips(decisions: DataFrame) -> DataFrame:
@@ -50,7 +56,7 @@ def document_flips(decisions: DataFrame) -> DataFrame:
 def reweighted(decisions: DataFrame, population: DataFrame) -> DataFrame:
     """Flip rate of a stratified sample carried to a population: stratum rates weighted by ``population`` (question, stratum, size)."""
     r = with_stratum(decisions).groupBy("question", "stratum").agg(F.avg(F.col("flipped").cast("double")).alias("rate"))
-    return r.join(F.broadcast(population), ["question", "stratum"]).groupBy("question").agg((F.sum(F.col("size") * F.col("rate")) / F.sum("size")).alias("rate"))
+    return r.join(population, ["question", "stratum"]).groupBy("question").agg((F.sum(F.col("size") * F.col("rate")) / F.sum("size")).alias("rate"))
 
 
 def range_over_runs(runs: DataFrame) -> DataFrame:

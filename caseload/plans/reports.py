@@ -31,7 +31,7 @@ def ranking_of_systems(cells: DataFrame) -> DataFrame:
 def against_base(cells: DataFrame, base_model: str) -> DataFrame:
     """Differences of F1 to a base model of the same arm and question."""
     base = cells.where(F.col("model") == base_model).select("arm", "question", F.col("f1").alias("base_f1"))
-    return cells.join(F.broadcast(base), ["arm", "question"]).select("model", "arm", "question", "f1", (F.col("f1") - F.col("base_f1")).alias("d_f1"))
+    return cells.join(base, ["arm", "question"]).select("model", "arm", "question", "f1", (F.col("f1") - F.col("base_f1")).alias("d_f1"))
 
 
 def study_cube(cells: DataFrame) -> DataFrame:
