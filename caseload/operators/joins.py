@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseload.functions import text as T
-
 
 def pending(units: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work not yet done: units without a finished row (errors don't count)."""
@@ -53,20 +51,21 @@ def words(text) -> object:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def containing(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def containing(docs: DataFrame, terms: DataFrame, small: int = 10_000) -> DataFrame:
     """(doc_id, term): terms (phrases of words) that stand as whole words in a text.
 
-    The runs of words of a text, of the lengths that terms have, meet the phrases in one equi-join: texts are read once
-    and never shuffled. A term without words is in no text.
+    Words with their places meet the words of the terms in one equi-join; a phrase stands where all its words give the
+    same start. Texts are read once and never shuffled; their words only if there are more than ``small`` words of terms. A
+    term without words is in no text.
     """
     w = words(F.col("term"))
-    keyed = terms.select("term", F.size(w).alias("_size"), F.concat_ws(" ", w).alias("_phrase")).where("_size > 0")
-    sizes = sorted(r[0] for r in keyed.select("_size").distinct().collect())  # a few lengths in words
-    if not sizes:
-        return docs.select("doc_id", F.lit("").alias("term")).limit(0)
-    runs = F.array_distinct(F.concat(*[T.ngrams(F.col("_all"), n) for n in sizes]))
-    held = docs.select("doc_id", words(F.col("text")).alias("_all")).select("doc_id", F.explode(runs).alias("_phrase"))
-    return held.join(keyed.drop("_size"), "_phrase").select("doc_id", "term").distinct()
+    parts = terms.select("term", F.size(w).alias("_size"), F.posexplode(w).alias("_j", "_w"))
+    if parts.limit(small + 1).count() <= small:
+        parts = F.broadcast(parts)
+    found = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("_i", "_w")).join(parts, "_w")
+    single = found.where("_size = 1").select("doc_id", "term")
+    starts = found.where("_size > 1").groupBy("doc_id", "term", "_size", (F.col("_i") - F.col("_j")).alias("_start")).agg(F.count("*").alias("_n"))
+    return single.unionByName(starts.where("_n = _size").select("doc_id", "term")).distinct()
 
 
 def lift(found: DataFrame, labels: DataFrame) -> DataFrame:

@@ -60,9 +60,9 @@ def cluster_counts(pairs: DataFrame, cluster: str) -> DataFrame:
     return pairs.groupBy(cluster).agg(*[c.alias(k) for k, c in cell.items()])
 
 
-def poisson_weight(size: Column, *key: Column | str) -> Column:
-    """A Poisson draw whose mean is ``size`` (1, 2, 4 to 64), by inversion of the key's hashed uniform."""
-    u, out = S.uniform(*key), F.lit(0)
+def poisson_weight(size: Column, u: Column) -> Column:
+    """A Poisson draw whose mean is ``size`` (1, 2, 4 to 64), by inversion of the uniform ``u``."""
+    out = F.lit(0)
     for mean in BLOCKS:
         total, term, steps = 0.0, math.exp(-mean), []
         for k in range(int(mean + 12 * math.sqrt(mean) + 12)):
@@ -84,7 +84,8 @@ def bootstrap_deltas(clusters: DataFrame, cluster: str, replicates: int = 500) -
     blocks = alike.select(*cells, F.explode(F.concat(whole, rest)).alias("_b")).where("_b.size > 0")
     drawn = blocks.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     size = F.col("_b.size")
-    draw = poisson_weight(size, "boot", F.col("replicate"), size, F.col("_b.i"), *map(F.col, cells))
+    drawn = drawn.withColumn("_u", S.uniform("boot", F.col("replicate"), size, F.col("_b.i"), *map(F.col, cells)))
+    draw = poisson_weight(size, F.col("_u"))
     drawn = drawn.withColumn("w", F.when(F.col("replicate") == 0, size).otherwise(draw))
     s = drawn.groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in cells])
 

@@ -181,3 +181,19 @@ def test_mcnemar_is_exact_at_every_size():
         want = min(1.0, 2 * (sum(math.comb(n, i) for i in range(min(b, c) + 1)) * 10**40 // 2**n) / 10**40) if n else 1.0
         assert abs(mcnemar_exact(b, c) - want) <= 1e-9 * max(want, 1e-30)
     assert 0 < mcnemar_exact(1_000_000, 1_003_000) < 0.05
+
+
+def test_quantiles_both_ways_and_places(spark):
+    from caseload.operators import order as O
+
+    rows = spark.range(500).select((F.col("id") % 3).alias("g"), F.pmod(F.col("id") * 37, F.lit(101)).cast("double").alias("v"))
+    shares = {"a": 0.0, "b": 0.37, "c": 1.0}
+    few, many = (sorted(map(tuple, O.quantiles(rows, ["g"], "v", shares, bins=7, small=n).collect())) for n in (10**6, 0))
+    assert [tuple(round(x, 9) for x in r) for r in few] == [tuple(round(x, 9) for x in r) for r in many]
+    got = O.placed(rows.withColumn("i", F.monotonically_increasing_id()), ["g"], [F.floor(F.col("v") / 10), F.col("v")], [F.asc("i")], {"s": F.col("v")}).collect()
+    for g in range(3):
+        mine = sorted((r for r in got if r["g"] == g), key=lambda r: (-r["v"], r["i"]))
+        assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1))
+        assert mine[-1]["s"] == sum(r["v"] for r in mine)
+    low = O.lowest(rows.select("v").distinct(), F.col("v") / 101, "v", 10, cells=4)
+    assert sorted(r[0] for r in low.collect()) == list(map(float, range(10)))
