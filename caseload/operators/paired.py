@@ -60,41 +60,69 @@ def cluster_counts(pairs: DataFrame, cluster: str) -> DataFrame:
     return pairs.groupBy(cluster).agg(*[c.alias(k) for k, c in cell.items()])
 
 
+def poisson_steps(mean: int) -> list[float]:
+    """Distribution function of a Poisson variable at 0, 1, 2 ... to beyond any 48-bit uniform."""
+    total, term, steps = 0.0, math.exp(-mean), []
+    for k in range(int(mean + 12 * math.sqrt(mean) + 12)):
+        total += term
+        steps.append(total)
+        term *= mean / (k + 1)
+    return steps
+
+
 def poisson_weight(size: Column, u: Column) -> Column:
     """A Poisson draw whose mean is ``size`` (1, 2, 4 to 64), by inversion of the uniform ``u``."""
     out = F.lit(0)
     for mean in BLOCKS:
-        total, term, steps = 0.0, math.exp(-mean), []
-        for k in range(int(mean + 12 * math.sqrt(mean) + 12)):
-            total += term
-            steps.append(total)
-            term *= mean / (k + 1)
-        drawn = F.size(F.filter(F.array(*map(F.lit, steps)), lambda x: x <= u))
+        drawn = F.size(F.filter(F.array(*map(F.lit, poisson_steps(mean))), lambda x: x <= u))
         out = F.when(size == mean, drawn).otherwise(out)
     return out
 
 
-def bootstrap_deltas(clusters: DataFrame, cluster: str, replicates: int = 500) -> DataFrame:
-    """(replicate, d_precision, d_recall, d_f1, d_accuracy): after minus before in each replicate; replicate 0 is the data."""
-    cells = [c for c in clusters.columns if c != cluster]
+def resampled(clusters: DataFrame, cells: list[str], replicates: int) -> DataFrame:
+    """(replicate, sums of cells): clusters drawn with replacement; replicate 0 is the data. Cells are whole numbers."""
     alike = clusters.groupBy(*cells).agg(F.count("*").alias("_n"))
     n = F.col("_n")
     whole = F.transform(F.sequence(F.lit(0), F.floor(n / 64)), lambda i: F.struct(i.alias("i"), F.when(i < F.floor(n / 64), 64).otherwise(0).alias("size")))
     rest = F.array(*[F.struct(F.lit(-1).cast("long").alias("i"), F.when(n.bitwiseAND(b) > 0, b).otherwise(0).alias("size")) for b in BLOCKS[:-1]])
     blocks = alike.select(*cells, F.explode(F.concat(whole, rest)).alias("_b")).where("_b.size > 0")
-    drawn = blocks.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     size = F.col("_b.size")
+    drawn = blocks.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     drawn = drawn.withColumn("_u", S.uniform("boot", F.col("replicate"), size, F.col("_b.i"), *map(F.col, cells)))
-    draw = poisson_weight(size, F.col("_u"))
-    drawn = drawn.withColumn("w", F.when(F.col("replicate") == 0, size).otherwise(draw))
-    s = drawn.groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in cells])
+    drawn = drawn.withColumn("w", F.when(F.col("replicate") == 0, size).otherwise(poisson_weight(size, F.col("_u"))))
+    return drawn.groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in cells])
 
+
+def deltas(suffix: str = "") -> dict[str, Column]:
+    """After minus before of each rate, from summed cells."""
     def of(v: str) -> dict[str, Column]:
-        tp, fp, fn, tn = (F.col(f"{k}_{v}") for k in ("tp", "fp", "fn", "tn"))
+        tp, fp, fn, tn = (F.col(f"{k}_{v}{suffix}") for k in ("tp", "fp", "fn", "tn"))
         return {"precision": S.rate_null(tp, tp + fp), "recall": S.rate_null(tp, tp + fn), "f1": S.f1_counts(tp, fp, fn), "accuracy": S.rate_null(tp + tn, tp + fp + fn + tn)}
 
     x, y = of("x"), of("y")
-    return s.select("replicate", *[(y[k] - x[k]).alias(f"d_{k}") for k in x])
+    return {k: y[k] - x[k] for k in x}
+
+
+def bootstrap_deltas(clusters: DataFrame, cluster: str, replicates: int = 500) -> DataFrame:
+    """(replicate, d_precision, d_recall, d_f1, d_accuracy): after minus before in each replicate; replicate 0 is the data."""
+    s = resampled(clusters, [c for c in clusters.columns if c != cluster], replicates)
+    return s.select("replicate", *[c.alias(f"d_{k}") for k, c in deltas().items()])
+
+
+def bootstrap_split(pairs: DataFrame, cluster: str, inside: Column, replicates: int = 500) -> DataFrame:
+    """The same draws of clusters inside and outside a subset: difference (inside less outside) of the changes of each rate."""
+    sides = [cluster_counts(pairs.where(c), cluster) for c in (inside, ~inside)]
+    named = [df.select(cluster, *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c != cluster]) for k, df in zip("io", sides, strict=True)]
+    both = named[0].join(named[1], cluster, "full").fillna(0)
+    s = resampled(both, [c for c in both.columns if c != cluster], replicates)
+    a, b = deltas("_i"), deltas("_o")
+    return s.select("replicate", *[(a[k] - b[k]).alias(f"d_{k}") for k in a])
+
+
+def bootstrap_rate(rows: DataFrame, cluster: str, hit: Column, replicates: int = 500) -> DataFrame:
+    """(replicate, rate): the share of rows with ``hit``, clusters drawn with replacement."""
+    at = rows.groupBy(cluster).agg(F.count_if(hit).alias("k"), F.count("*").alias("n"))
+    return resampled(at, ["k", "n"], replicates).select("replicate", S.rate_null(F.col("k"), F.col("n")).alias("rate"))
 
 
 def intervals(samples: DataFrame, level: float = 0.95) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caseload.functions import scalars as S
 from caseload.operators import gold as G
 from caseload.operators import ledger as L
 from caseload.operators import paired as P
@@ -11,7 +12,7 @@ from caseload.operators import stability as B
 from caseload.plans.quality import HEAD, wilson
 from caseload.plans.registry import register
 from caseload.sources import derived as D
-from caseload.sources.derived import REPEATS, REPEATS_CTE, ctes, predictions
+from caseload.sources.derived import REPEATS, REPEATS_CTE, ctes, predictions, u
 
 register(
     "agg4_op_metrics",
@@ -151,7 +152,12 @@ register(
     f"""{_pairs_sql()} SELECT question, {_CELLS8}, count(*) FILTER (x <> y AND x = gold) AS lost, count(*) FILTER (x <> y AND y = gold) AS gained, avg(abs(py - px)) AS mean_shift,
     quantile_cont(abs(py - px), 0.5) AS median_shift, count(*) FILTER (x <> y AND abs(px - 0.5e0) < 0.1e0) AS near_threshold FROM pairs GROUP BY ALL""",
 )
-register("sta10_mcnemar", lambda spark, sf: P.with_test(P.transitions(pairs(spark, sf), ["question"])).select("question", "lost", "gained", "p_value"))
+register(
+    "sta10_mcnemar",
+    lambda spark, sf: P.with_test(P.transitions(pairs(spark, sf), ["question"])).select("question", "lost", "gained", "p_value"),
+    f"""{_pairs_sql()}, c AS (SELECT question, count(*) FILTER (x <> y AND x = gold) AS lost, count(*) FILTER (x <> y AND y = gold) AS gained FROM pairs GROUP BY ALL), d AS (SELECT *, lost + gained AS d FROM c)
+    SELECT question, lost, gained, least(1.0e0, 2 * list_sum(list_transform(range(0, least(lost, gained) + 1), lambda i: exp(lgamma(d + 1.0e0) - lgamma(i + 1.0e0) - lgamma(d - i + 1.0e0) - d * ln(2.0e0))))) AS p_value FROM d""",
+)
 register(
     "sta4_bootstrap_point",
     lambda spark, sf: P.bootstrap_deltas(P.cluster_counts(pairs(spark, sf), "doc_id"), "doc_id", 0),
@@ -159,10 +165,77 @@ register(
     SELECT 0 AS replicate, tp_y / (tp_y + fp_y) - tp_x / (tp_x + fp_x) AS d_precision, tp_y / (tp_y + fn_y) - tp_x / (tp_x + fn_x) AS d_recall, 2 * tp_y / (2 * tp_y + fp_y + fn_y) - 2 * tp_x / (2 * tp_x + fp_x + fn_x) AS d_f1,
     (tp_y + tn_y) / (tp_y + fp_y + fn_y + tn_y) - (tp_x + tn_x) / (tp_x + fp_x + fn_x + tn_x) AS d_accuracy FROM c""",
 )
-register("sta4_bootstrap", lambda spark, sf: P.intervals(P.bootstrap_deltas(P.cluster_counts(pairs(spark, sf), "doc_id"), "doc_id")))
+
+
+def _draws_sql(clusters: str, cells: list[str], replicates: int) -> str:
+    """SQL of ``paired.resampled``: CTEs that end in ``sums``. ``clusters`` is a SELECT of one row a cluster."""
+    c = ", ".join(cells)
+    number = lambda x: repr(x) if "e" in repr(x) else repr(x) + "e0"
+    drawn = " ".join(f"WHEN size = {m} THEN len(list_filter([{', '.join(map(number, P.poisson_steps(m)))}], lambda x: x <= uu))" for m in P.BLOCKS)
+    rest = " UNION ALL ".join(f"SELECT {c}, -1 AS i, {m} AS size FROM alike WHERE (n_alike & {m}) > 0" for m in P.BLOCKS[:-1])
+    return f"""alike AS (SELECT {c}, count(*) AS n_alike FROM ({clusters}) GROUP BY ALL),
+    blocks AS (SELECT {c}, unnest(range(0, n_alike // 64)) AS i, 64 AS size FROM alike UNION ALL {rest}),
+    tried AS (SELECT *, {u("'boot'", 'replicate', 'size', 'i', *cells)} AS uu FROM (SELECT *, unnest(range(0, {replicates + 1})) AS replicate FROM blocks)),
+    weighed AS (SELECT *, CASE WHEN replicate = 0 THEN size {drawn} END AS w FROM tried), sums AS (SELECT replicate, {', '.join(f'sum({k} * w) AS {k}' for k in cells)} FROM weighed GROUP BY replicate)"""
+
+
+_KINDS = (("tp", 1, 1), ("fp", 1, 0), ("fn", 0, 1), ("tn", 0, 0))
+
+
+def _cells_sql(suffix: str = "", where: str = "true") -> dict[str, str]:
+    return {f"{k}_{v}{suffix}": f"count(*) FILTER ({v} = {a} AND gold = {b} AND {where})" for v in "xy" for k, a, b in _KINDS}
+
+
+def _deltas_sql(s: str = "") -> dict[str, str]:
+    def of(v: str) -> dict[str, str]:
+        tp, fp, fn, tn = (f"{k}_{v}{s}" for k in ("tp", "fp", "fn", "tn"))
+        return {"precision": f"{tp}::DOUBLE / nullif({tp} + {fp}, 0)", "recall": f"{tp}::DOUBLE / nullif({tp} + {fn}, 0)", "f1": f"coalesce(2.0e0 * {tp} / nullif(2 * {tp} + {fp} + {fn}, 0), 0)", "accuracy": f"({tp} + {tn})::DOUBLE / nullif({tp} + {fp} + {fn} + {tn}, 0)"}
+
+    x, y = of("x"), of("y")
+    return {k: f"({y[k]} - {x[k]})" for k in x}
+
+
+def _replicates_sql(cells: dict[str, str], out: dict[str, str], replicates: int, model: str = "mid") -> str:
+    """A query of (replicate, measures) over the pairs of a model."""
+    chosen = "SELECT doc_id, " + ", ".join(f"{e} AS {k}" for k, e in cells.items()) + " FROM pairs GROUP BY doc_id"
+    return f"{_pairs_sql(model)}, {_draws_sql(chosen, list(cells), replicates)} SELECT replicate, {', '.join(f'{e} AS {k}' for k, e in out.items())} FROM sums"
+
+
+def _intervals_sql(samples: str, measures: list[str]) -> str:
+    each = " UNION ALL ".join(f"SELECT '{m}' AS measure, max({m}) FILTER (replicate = 0) AS value, quantile_cont({m}, 0.025) FILTER (replicate > 0) AS low, quantile_cont({m}, 0.975) FILTER (replicate > 0) AS high FROM samples" for m in measures)
+    return f"WITH samples AS MATERIALIZED ({samples}) {each}"
+
+
+_MEASURES = {f"d_{k}": e for k, e in _deltas_sql().items()}
+register(
+    "sta4_bootstrap",
+    lambda spark, sf: P.intervals(P.bootstrap_deltas(P.cluster_counts(pairs(spark, sf), "doc_id"), "doc_id")),
+    _intervals_sql(_replicates_sql(_cells_sql(), _MEASURES, 500), list(_MEASURES)),
+)
+_OF_MODEL = {m: _replicates_sql(_cells_sql(), _MEASURES, 200, m) for m in ("small", "large")}
 register(
     "jon12_contrast",
     lambda spark, sf: P.intervals(P.contrast(*[P.bootstrap_deltas(P.cluster_counts(pairs(spark, sf, m), "doc_id"), "doc_id", 200) for m in ("small", "large")])),
+    _intervals_sql(f"SELECT a.replicate, {', '.join(f'a.{m} - b.{m} AS {m}' for m in _MEASURES)} FROM ({_OF_MODEL['small']}) a JOIN ({_OF_MODEL['large']}) b USING (replicate)", list(_MEASURES)),
+)
+_LONG = f"{u(chr(39) + 'known' + chr(39), 'doc_id', 'question')} < 0.4e0"
+register(
+    "sta5_split",
+    lambda spark, sf: P.intervals(P.bootstrap_split(pairs(spark, sf), "doc_id", S.uniform("known", F.col("doc_id"), F.col("question")) < 0.4, 300)),
+    _intervals_sql(_replicates_sql(_cells_sql("_i", _LONG) | _cells_sql("_o", f"NOT ({_LONG})"), {f"d_{k}": f"{a} - {_deltas_sql('_o')[k]}" for k, a in _deltas_sql("_i").items()}, 300), list(_MEASURES)),
+)
+_CHANGED = {"k": "count(*) FILTER (x <> y)", "n": "count(*)"}
+_RATE_SQL = {"rate": "k::DOUBLE / nullif(n, 0)"}
+register(
+    "sta1_changed_share",
+    lambda spark, sf: P.intervals(P.bootstrap_rate(pairs(spark, sf), "doc_id", F.col("x") != F.col("y"))),
+    _intervals_sql(_replicates_sql(_CHANGED, _RATE_SQL, 500), ["rate"]),
+)
+_SHARES = {m: _replicates_sql(_CHANGED, _RATE_SQL, 300, m) for m in ("small", "large")}
+register(
+    "sta3_changed_difference",
+    lambda spark, sf: P.intervals(P.contrast(*[P.bootstrap_rate(pairs(spark, sf, m), "doc_id", F.col("x") != F.col("y"), 300) for m in ("small", "large")])),
+    _intervals_sql(f"SELECT a.replicate, a.rate - b.rate AS rate FROM ({_SHARES['small']}) a JOIN ({_SHARES['large']}) b USING (replicate)", ["rate"]),
 )
 register(
     "win29_dose_bands",
