@@ -185,6 +185,69 @@ def mcnemar_exact(b: int, c: int) -> float:
     return min(1.0, 2 * total * math.exp(largest))
 
 
+def mann_whitney_counts(n1: int, n0: int) -> list[int]:
+    """In how many of all orders of n1 and n0 distinct values U is 0, 1, 2 ... n1 * n0.
+
+    The counts of (i, n0) follow from those of (i - 1, n0): times 1 - q^(n0 + i), over 1 - q^i.
+    """
+    counts = [1] + [0] * (n1 * n0)
+    for i in range(1, n1 + 1):
+        for k in range(n1 * n0, n0 + i - 1, -1):
+            counts[k] -= counts[k - n0 - i]
+        for k in range(i, n1 * n0 + 1):
+            counts[k] += counts[k - i]
+    return counts
+
+
+def mann_whitney_greater(u: float, n1: int, n0: int, ties: float, exact_up_to: int = 8) -> float | None:
+    """One-sided p of U: that group 1 is larger. ``ties``: sum of t^3 - t over tied values.
+
+    Without ties and with a group of ``exact_up_to`` at most it is exact, else normal, corrected for ties and continuity.
+    Null for an empty group, or if all values are tied.
+    """
+    n = n1 + n0
+    if not n1 or not n0 or ties >= n**3 - n:
+        return None
+    if not ties and min(n1, n0) <= exact_up_to:
+        counts = mann_whitney_counts(min(n1, n0), max(n1, n0))
+        return sum(counts[round(u) :]) / math.comb(n, n1)
+    spread = math.sqrt(n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1))))
+    return 0.5 * math.erfc((u - n1 * n0 / 2 - 0.5) / spread / math.sqrt(2))
+
+
+#: The rational approximation of the normal quantile (central part, tails), error below 1.2e-9.
+QUANTILE_A = (-3.969683028665376e1, 2.209460984245205e2, -2.759285104469687e2, 1.383577518672690e2, -3.066479806614716e1, 2.506628277459239)
+QUANTILE_B = (-5.447609879822406e1, 1.615858368580409e2, -1.556989798598866e2, 6.680131188771972e1, -1.328068155288572e1, 1.0)
+QUANTILE_C = (-7.784894002430293e-3, -3.223964580411365e-1, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+QUANTILE_D = (7.784695709041462e-3, 3.224671290700398e-1, 2.445134137142996, 3.754408661907416, 1.0)
+QUANTILE_TAIL = 0.02425
+
+
+def normal_quantile(u: Column) -> Column:
+    """The standard normal's quantile at u, which is kept off 0 and 1."""
+    def poly(x: Column, coefficients: tuple[float, ...]) -> Column:
+        return reduce(lambda s, c: s * x + c, coefficients[1:], F.lit(coefficients[0]))
+
+    u = F.least(F.greatest(u, F.lit(1e-15)), F.lit(1 - 1e-15))
+    q = u - 0.5
+    tail = lambda v: F.sqrt(-2 * F.log(v))
+    end = lambda t: poly(t, QUANTILE_C) / poly(t, QUANTILE_D)
+    middle = poly(q * q, QUANTILE_A) * q / poly(q * q, QUANTILE_B)
+    return F.when(u < QUANTILE_TAIL, end(tail(u))).when(u > 1 - QUANTILE_TAIL, -end(tail(1 - u))).otherwise(middle)
+
+
+def normal_quantile_sql(u: str) -> str:
+    """``normal_quantile`` in DuckDB SQL."""
+    def poly(x: str, coefficients: tuple[float, ...]) -> str:
+        return reduce(lambda s, c: f"(({s}) * {x} + {c:.17e})", coefficients[1:], f"{coefficients[0]:.17e}")
+
+    u = f"least(greatest({u}, 1e-15), {1 - 1e-15:.17e})"
+    q = f"({u} - 0.5e0)"
+    end = lambda t: f"({poly(t, QUANTILE_C)} / {poly(t, QUANTILE_D)})"
+    return f"""(CASE WHEN {u} < {QUANTILE_TAIL}e0 THEN {end(f"sqrt(-2 * ln({u}))")} WHEN {u} > {1 - QUANTILE_TAIL}e0 THEN -{end(f"sqrt(-2 * ln(1 - {u}))")}
+    ELSE {poly(f"({q} * {q})", QUANTILE_A)} * {q} / {poly(f"({q} * {q})", QUANTILE_B)} END)"""
+
+
 def chi2_tail(x: float, df: int) -> float:
     """Upper tail of chi-squared: the incomplete gamma function by series or continued fraction."""
     if x <= 0:

@@ -34,6 +34,21 @@ def placed(rows: DataFrame, keys: list[str], tiers: list[Column], order: list[Co
     return r.join(offsets, [*keys, *names]).withColumns(values).select(*rows.columns, *parts)
 
 
+def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Rows with running sums (own row included) of ``sums`` in ``order`` within ``keys``, when nothing is known of the order
+    columns that tiers could be made from: rows are dealt by ranges, and each range starts from the sums of those before it.
+
+    Keys without nulls are assumed; ``order`` has no ties within a key.
+    """
+    ranged = stored(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    held = ranged.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_n_{k}") for k, c in sums.items()])
+    above = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a key
+    held = held.select(*keys, "_part", *[F.coalesce(F.sum(f"_n_{k}").over(above), F.lit(0)).alias(f"_o_{k}") for k in sums])
+    up = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(held, [*keys, "_part"])
+    return out.withColumns({k: F.col(f"_o_{k}") + F.sum(c).over(up) for k, c in sums.items()}).select(*rows.columns, *sums)
+
+
 def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = 1024, small: int = 100_000) -> DataFrame:
     """Linear quantiles of a value for each key, one column a share; nulls are passed over, a key without values has no row.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseload.functions import scalars as S
 from caseload.operators import corpus as C
+from caseload.operators import diversity as N
 from caseload.operators import quality as Q
 from caseload.operators import review as V
 from caseload.plans.quality import COUNTS, HEAD, zero
@@ -86,6 +87,7 @@ def _tar1(spark, sf) -> DataFrame:
 register("tar5_tar1", _tar1)
 register("tar6_cal", lambda s, sf: V.cal(V.features(_labelled(s, sf)), _labelled(s, sf), 60, 4))
 register("smp7_clusters", lambda s, sf: V.clusters_pick(V.features(table(s, sf, "documents").select("doc_id", "text"), 1 << 12), 8))
+register("smp8_diversity", lambda s, sf: N.diversity_sample(table(s, sf, "documents").select("doc_id", "text"), 50, dims=32, buckets=1 << 12))
 
 
 def _streamed(make):

@@ -167,16 +167,23 @@ register(
 )
 
 
+def _weighed_sql(alike: str, n: str, by: list[str], replicates: int, salt: str = "boot") -> str:
+    """SQL of ``paired.drawn_weights``: CTEs that end in ``weighed``. ``alike`` is a SELECT with a count ``n``."""
+    number = lambda x: repr(x) if "e" in repr(x) else repr(x) + "e0"
+    drawn = " ".join(f"WHEN size = {m} THEN len(list_filter([{', '.join(map(number, P.poisson_steps(m)))}], lambda x: x <= uu))" for m in P.BLOCKS)
+    rest = ", ".join(f"CASE WHEN ({n} & {b}) > 0 THEN {b} ELSE 0 END" for b in P.BLOCKS)
+    return f"""alike AS ({alike}),
+    blocks AS (SELECT *, unnest(list_filter([{n} - {n} % {P.LARGE}, {rest}], lambda s: s > 0)) AS size FROM alike),
+    tried AS (SELECT *, {u(f"'{salt}'", 'replicate', 'size', *by)} AS uu FROM (SELECT *, unnest(range(0, {replicates + 1})) AS replicate FROM blocks)),
+    placed AS (SELECT *, {S.normal_quantile_sql('uu')} AS z FROM tried),
+    weighed AS (SELECT *, CASE WHEN replicate = 0 THEN size {drawn} ELSE greatest(0, floor(size + sqrt(size) * z + (z * z - 1) / 6 + (z - z * z * z) / (72 * sqrt(size)) + 0.5e0))::BIGINT END AS w FROM placed)"""
+
+
 def _draws_sql(clusters: str, cells: list[str], replicates: int) -> str:
     """SQL of ``paired.resampled``: CTEs that end in ``sums``. ``clusters`` is a SELECT of one row a cluster."""
     c = ", ".join(cells)
-    number = lambda x: repr(x) if "e" in repr(x) else repr(x) + "e0"
-    drawn = " ".join(f"WHEN size = {m} THEN len(list_filter([{', '.join(map(number, P.poisson_steps(m)))}], lambda x: x <= uu))" for m in P.BLOCKS)
-    rest = " UNION ALL ".join(f"SELECT {c}, -1 AS i, {m} AS size FROM alike WHERE (n_alike & {m}) > 0" for m in P.BLOCKS[:-1])
-    return f"""alike AS (SELECT {c}, count(*) AS n_alike FROM ({clusters}) GROUP BY ALL),
-    blocks AS (SELECT {c}, unnest(range(0, n_alike // 64)) AS i, 64 AS size FROM alike UNION ALL {rest}),
-    tried AS (SELECT *, {u("'boot'", 'replicate', 'size', 'i', *cells)} AS uu FROM (SELECT *, unnest(range(0, {replicates + 1})) AS replicate FROM blocks)),
-    weighed AS (SELECT *, CASE WHEN replicate = 0 THEN size {drawn} END AS w FROM tried), sums AS (SELECT replicate, {', '.join(f'sum({k} * w) AS {k}' for k in cells)} FROM weighed GROUP BY replicate)"""
+    alike = f"SELECT {c}, count(*) AS n_alike FROM ({clusters}) GROUP BY ALL"
+    return f"{_weighed_sql(alike, 'n_alike', cells, replicates)}, sums AS (SELECT replicate, {', '.join(f'sum({k} * w) AS {k}' for k in cells)} FROM weighed GROUP BY replicate)"
 
 
 _KINDS = (("tp", 1, 1), ("fp", 1, 0), ("fn", 0, 1), ("tn", 0, 0))
@@ -271,3 +278,75 @@ register(
     i AS (SELECT source, sum(mr) AS s, count(*)::DOUBLE AS m FROM r GROUP BY ALL), q AS (SELECT count(*)::DOUBLE AS n, max(m) AS m, var_pop(s) * count(*) AS ss FROM i), k AS (SELECT sum((t * t * t - t) / t) AS t FROM r)
     SELECT n::BIGINT AS n, m::BIGINT AS m, 12 * ss / (m * m * (n * n * n - n) - m * t) AS w, m * (n - 1) * 12 * ss / (m * m * (n * n * n - n) - m * t) AS chi2 FROM q CROSS JOIN k""",
 )
+
+
+def _latencies(spark, sf):
+    return predictions(spark, sf).where("not error").select("model", "arm", "latency_ms")
+
+
+def _median_intervals(spark, sf):
+    m = P.bootstrap_median(_latencies(spark, sf), ["model", "arm"], "latency_ms", 400)
+    drawn = F.when(F.col("replicate") > 0, F.col("median"))
+    return m.groupBy("model", "arm").agg(F.max(F.when(F.col("replicate") == 0, F.col("median"))).alias("median"), F.percentile(drawn, F.lit(0.025)).alias("low"), F.percentile(drawn, F.lit(0.975)).alias("high"))
+
+
+_MEDIAN_CELLS = """SELECT model, arm, v, sum(k)::BIGINT AS n_alike FROM (SELECT c.*, least(greatest(latency_ms, lo), hi) AS v FROM counted c JOIN (
+    SELECT model, arm, min(latency_ms) AS lo, max(latency_ms) AS hi FROM counted WHERE upto >= n / 2.0e0 - 4 * sqrt(n) - 8 AND upto - k <= n / 2.0e0 + 4 * sqrt(n) + 8 GROUP BY ALL) e USING (model, arm)) GROUP BY ALL"""
+register(
+    "sta2_median_bootstrap",
+    _median_intervals,
+    f"""WITH {ctes()}, vals AS (SELECT model, arm, latency_ms, count(*) AS k FROM predictions WHERE NOT error GROUP BY ALL),
+    counted AS (SELECT *, sum(k) OVER (PARTITION BY model, arm ORDER BY latency_ms) AS upto, sum(k) OVER (PARTITION BY model, arm) AS n FROM vals),
+    {_weighed_sql(_MEDIAN_CELLS, 'n_alike', ['model', 'arm', 'v'], 400, 'median')}, w AS (SELECT model, arm, replicate, v, sum(w) AS w FROM weighed GROUP BY ALL),
+    r AS (SELECT *, sum(w) OVER (PARTITION BY model, arm, replicate ORDER BY v) AS upto, sum(w) OVER (PARTITION BY model, arm, replicate) AS n FROM w),
+    m AS (SELECT model, arm, replicate, (max(v) FILTER (upto - w <= floor((n - 1) / 2.0e0) AND floor((n - 1) / 2.0e0) < upto) + max(v) FILTER (upto - w <= ceil((n - 1) / 2.0e0) AND ceil((n - 1) / 2.0e0) < upto)) / 2 AS median FROM r GROUP BY ALL)
+    SELECT model, arm, max(median) FILTER (replicate = 0) AS median, quantile_cont(median, 0.025) FILTER (replicate > 0) AS low, quantile_cont(median, 0.975) FILTER (replicate > 0) AS high FROM m GROUP BY ALL""",
+)
+
+_MW = "model, source, question"
+register(
+    "sta12_mann_whitney_greater",
+    lambda spark, sf: P.mann_whitney_greater(predictions(spark, sf).where("not error and gold is not null and arm = 'multi'"), ["model", "source", "question"], "p", "gold"),
+    f"""{HEAD}, multi AS (SELECT * FROM ok WHERE arm = 'multi'), {_RANKED.format(k=_MW, v='p', s='multi')},
+    s AS (SELECT {_MW}, sum(midrank) FILTER (gold = 1) AS r1, count(*) FILTER (gold = 1) AS n1, count(*) FILTER (gold = 0) AS n0, sum((t * t * t - t) / t) AS t FROM ranked GROUP BY ALL),
+    q AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0e0 AS u, n1 + n0 AS n FROM s),
+    z AS (SELECT *, (u - n1 * n0 / 2.0e0 - 0.5e0) / sqrt(n1 * n0 / 12.0e0 * (n + 1 - t / (n * (n - 1.0e0)))) AS z FROM q),
+    sizes AS (SELECT DISTINCT least(n1, n0) AS a, greatest(n1, n0) AS b FROM q WHERE least(n1, n0) BETWEEN 1 AND 8),
+    ways AS (SELECT a, b, 0::BIGINT AS i, list_transform(range(0, a * b + 1), lambda k: CASE WHEN k = 0 THEN 1.0e0 ELSE 0.0e0 END) AS c FROM sizes
+      UNION ALL SELECT a, b, i + 1, list_transform(range(0, a * b + 1), lambda k: list_sum(list_transform(range(0, k // (i + 1) + 1), lambda j: c[k - j * (i + 1) + 1] - CASE WHEN k - j * (i + 1) >= b + i + 1 THEN c[k - j * (i + 1) - b - i] ELSE 0.0e0 END))) FROM ways WHERE i < a)
+    SELECT q.model, q.source, q.question, n1, n0, q.u, CASE WHEN n1 = 0 OR n0 = 0 OR q.t >= n * n * n - n THEN NULL
+      WHEN q.t = 0 AND c IS NOT NULL THEN list_sum(c[round(q.u)::BIGINT + 1:]) / list_sum(c)
+      ELSE 0.5e0 - z / 6000 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001), lambda k: exp(-0.5e0 * pow(z * k / 2000, 2)) * CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)) END AS p_value
+    FROM z q LEFT JOIN ways w ON w.a = least(n1, n0) AND w.b = greatest(n1, n0) AND w.i = w.a""".replace("WITH ", "WITH RECURSIVE ", 1),
+)
+
+
+def _known(spark, sf):
+    d = predictions(spark, sf).where("arm = 'single' and not error and gold is not null")
+    return d.groupBy(F.col("model").alias("system"), F.col("source").alias("corpus")).agg(F.round(F.avg((F.col("label") == F.col("gold")).cast("double")), 12).alias("known"))
+
+
+def _trend(spark, sf):
+    scores = _case_scores(spark, sf).select(F.col("model").alias("system"), F.col("source").alias("corpus"), F.round("accuracy", 12).alias("score"))
+    return P.trend(scores, _known(spark, sf), "large")
+
+
+def _spearman_sql(long: str, keys: list[str], draws: int = 2000) -> str:
+    """SQL of ``paired.spearman_test`` for keys of at most ``DRAWN_UP_TO`` rows; ``long`` is a relation of keys, x and y."""
+    k = ", ".join(keys)
+    rank = lambda v: f"rank() OVER (PARTITION BY {k} ORDER BY {v}) + (count(*) OVER (PARTITION BY {k}, {v}) - 1) / 2.0e0"
+    return f"""r AS (SELECT {k}, {rank('x')} AS ra, {rank('y')} AS rb FROM {long}),
+    o AS (SELECT {k}, count(*) AS n, corr(ra, rb) AS rho, list(ra ORDER BY ra) AS la, list(rb ORDER BY rb) AS lb, var_pop(ra) * count(*) AS va, var_pop(rb) * count(*) AS vb FROM r GROUP BY ALL),
+    places AS (SELECT {k}, n, rho, la, lb, va, vb, draw, unnest(range(1, n + 1)) AS i FROM (SELECT *, unnest(range(1, {draws + 1})) AS draw FROM o WHERE n >= 3)),
+    shuffled AS (SELECT *, row_number() OVER (PARTITION BY {k}, draw ORDER BY {u("'perm'", 'draw', 'i', *keys)}, lb[i]) AS j FROM places),
+    c AS (SELECT {k}, draw, any_value(rho) AS rho, sum((la[j] - (n + 1) / 2.0e0) * (lb[i] - (n + 1) / 2.0e0)) / sqrt(any_value(va) * any_value(vb)) AS r FROM shuffled GROUP BY {k}, draw),
+    p AS (SELECT {k}, avg((abs(r) >= abs(rho) - 1e-12)::INT::DOUBLE) AS p_value FROM c GROUP BY {k})
+    SELECT {k}, n, rho, p_value FROM o JOIN p USING ({k}) WHERE n >= 3"""
+
+
+_TREND = f"""{HEAD}, scores AS (SELECT model AS system, source AS corpus, round(avg((label = gold)::INT::DOUBLE), 12) AS score FROM ok WHERE arm = 'multi' GROUP BY ALL),
+knows AS (SELECT model AS system, source AS corpus, round(avg((label = gold)::INT::DOUBLE), 12) AS known FROM ok WHERE arm = 'single' GROUP BY ALL),
+k AS (SELECT * FROM (SELECT *, avg(score) OVER (PARTITION BY corpus) AS mean FROM scores) JOIN knows USING (system, corpus) WHERE system <> 'large'),
+long AS (SELECT system AS series, 'score' AS measure, known AS x, score AS y FROM k UNION ALL SELECT system, 'adjusted', known, round(score - mean, 12) FROM k
+  UNION ALL SELECT 'lead', 'score', x, round(s - score, 12) FROM (SELECT corpus, round(avg(known), 12) AS x, avg(score) AS s FROM k GROUP BY corpus) JOIN scores USING (corpus) WHERE system = 'large')"""
+register("sta23_trend", _trend, f"{_TREND}, {_spearman_sql('long', ['series', 'measure'])}")
