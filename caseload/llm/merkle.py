@@ -3,7 +3,7 @@
 A document is a leaf, the digest of its fields. The leaves of a source, by id, are the leaves of its tree, in which every
 ``ARITY`` consecutive nodes have a parent; the roots of all sources' trees, by source, are the leaves of the tree above them.
 
-A builder takes one aligned block of ``ARITY ** HEIGHT`` leaves and appends each node to its log as it completes: a leaf,
+A builder takes one aligned block of ``ARITY ** height`` leaves and appends each node to its log as it completes: a leaf,
 then every parent whose run it fills. Where a tree has more blocks than one, their roots are the leaves of the next pass,
 so a tree of any size is a few passes, each over 2187 times fewer rows, and no task holds more than a block. All nodes of a
 level left of a node complete before it, so subtree sizes alone give its position in the log (``position``); proofs are
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from caseload.llm.ranks import ranked
 from caseload.session import stored
 
+#: Children of a node; levels of an aligned block, so that a block has 2187 leaves.
 ARITY, HEIGHT = 3, 7
-BLOCK = ARITY**HEIGHT
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: A proof, from the leaf up: at each level the place of the own node in its run, and the run's other nodes.
 PATH = "array<struct<place: int, others: array<string>>>"
@@ -86,25 +86,26 @@ def appended(leaves: list[str], top: int) -> list[str]:
     return log
 
 
-def levels_of(n: int, size: int) -> int:
+def levels_of(n: int, size: int, height: int) -> int:
     """Levels that a block of ``n`` leaves is built to: all of them in a tree of more blocks, else until one node is left."""
-    return HEIGHT if size > BLOCK else height_of(n)
+    return height if size > ARITY**height else height_of(n)
 
 
-def build(block: pd.DataFrame) -> pd.DataFrame:
+def build(block: pd.DataFrame, height: int) -> pd.DataFrame:
+    """The log of a block."""
     block = block.sort_values("place")
-    log = appended(list(block["node"]), levels_of(len(block), int(block["size"].iloc[0])))
+    log = appended(list(block["node"]), levels_of(len(block), int(block["size"].iloc[0]), height))
     one = {c: [block[c].iloc[0]] for c in ("tree", "block", "size")}
     return pd.DataFrame({**one, "n": [len(block)], "log": [log], "root": pd.Series([log[-1]], dtype=object)})
 
 
-def extract(block: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+def extract(block: pd.DataFrame, above: pd.DataFrame, height: int) -> pd.DataFrame:
     """Each leaf of a block with its proof: siblings at their positions in the block's log, then the path above the block."""
     if not len(block) or not len(above):
-        return pd.DataFrame({c: [] for c in [*block.columns, "path", "subroot", "top_root"]})
+        return pd.DataFrame(columns=[*block.columns, "path", "subroot", "top_root"], dtype=object)
     block, up = block.sort_values("place"), above.iloc[0]
     log, n = list(up["log"]), len(block)
-    top = levels_of(n, int(block["size"].iloc[0]))
+    top = levels_of(n, int(block["size"].iloc[0]), height)
     steps: list[list[dict]] = []
     for level in range(top):
         width = -(-n // ARITY**level)
@@ -115,56 +116,58 @@ def extract(block: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
     return block.assign(path=paths, subroot=up["subroot"], top_root=up["top_root"]).astype({"subroot": object, "top_root": object})
 
 
-def passes(leaves: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+def passes(leaves: DataFrame, height: int) -> list[tuple[DataFrame, DataFrame]]:
     """(nodes, logs) of each pass. ``leaves``: tree, place, size, node. ``logs``: tree, block, size, n, log, root."""
-    out, nodes = [], leaves
+    out, nodes, width = [], leaves, ARITY**height
+    run = lambda block: build(block, height)
     while True:
-        nodes = nodes.withColumn("block", F.floor(F.col("place") / BLOCK).cast("long"))
+        nodes = nodes.withColumn("block", F.floor(F.col("place") / width).cast("long"))
         narrow = nodes.select("tree", "block", "place", "size", "node")
-        logs = stored(narrow.groupBy("tree", "block").applyInPandas(build, "tree string, block long, size long, n long, log array<string>, root string"))
+        logs = stored(narrow.groupBy("tree", "block").applyInPandas(run, "tree string, block long, size long, n long, log array<string>, root string"))
         out.append((nodes, logs))
-        higher = logs.where(F.col("size") > BLOCK)
+        higher = logs.where(F.col("size") > width)
         if higher.isEmpty():
             return out
-        nodes = higher.select("tree", F.col("block").alias("place"), F.ceil(F.col("size") / BLOCK).cast("long").alias("size"), F.col("root").alias("node"))
+        nodes = higher.select("tree", F.col("block").alias("place"), F.ceil(F.col("size") / width).cast("long").alias("size"), F.col("root").alias("node"))
 
 
-def tree_roots(built: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+def tree_roots(built: list[tuple[DataFrame, DataFrame]], height: int) -> DataFrame:
     """(tree, root): the roots of blocks that are whole trees."""
-    roots = [logs.where(F.col("size") <= BLOCK).select("tree", "root") for _, logs in built]
+    roots = [logs.where(F.col("size") <= ARITY**height).select("tree", "root") for _, logs in built]
     out = roots[0]
     for more in roots[1:]:
         out = out.unionByName(more)
     return out
 
 
-def proven(built: list[tuple[DataFrame, DataFrame]], over: DataFrame) -> DataFrame:
+def proven(built: list[tuple[DataFrame, DataFrame]], over: DataFrame, height: int) -> DataFrame:
     """The leaves with path, subroot and top_root. ``over``: the path, subroot and top_root above each tree's root."""
-    below = None
+    below, width = None, ARITY**height
+    run = lambda block, above: extract(block, above, height)
     for nodes, logs in reversed(built):
-        whole = logs.where(F.col("size") <= BLOCK).select("tree", "block", "log").join(over, "tree")
+        whole = logs.where(F.col("size") <= width).select("tree", "block", "log").join(over, "tree")
         if below is not None:
-            parts = logs.where(F.col("size") > BLOCK).select("tree", "block", "log")
+            parts = logs.where(F.col("size") > width).select("tree", "block", "log")
             whole = whole.unionByName(parts.join(below.select("tree", F.col("place").alias("block"), "path", "subroot", "top_root"), ["tree", "block"]))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields) + f", path {PATH}, subroot string, top_root string"
-        below = nodes.groupBy("tree", "block").cogroup(whole.groupBy("tree", "block")).applyInPandas(extract, schema)
+        below = nodes.groupBy("tree", "block").cogroup(whole.groupBy("tree", "block")).applyInPandas(run, schema)
     return below.drop("block")
 
 
-def sealed(docs: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+def sealed(docs: DataFrame, more: dict[str, Column] | None = None, height: int = HEIGHT) -> DataFrame:
     """(doc_id, source, leaf, path, subroot, root) for each row of ``docs``, and the further columns ``more``."""
     more = more or {}
     leaf = leaf_digest({c: F.col(c) for c in FIELDS})
     tree = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), "source"))  # orders as sources do
     rows = stored(docs.select(tree.alias("tree"), F.col("doc_id").alias("id"), leaf.alias("node"), *[c.alias(name) for name, c in more.items()]))
-    built = passes(stored(ranked(rows, "tree", ["id", "node"])))
-    subroots = stored(tree_roots(built).select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("root").alias("node")))
-    above = passes(stored(ranked(subroots, "tree", ["name"])))
-    start = tree_roots(above).select("tree", F.lit(None).cast(PATH).alias("path"), F.lit(None).cast("string").alias("subroot"), F.col("root").alias("top_root"))
-    over = proven(above, start.withColumn("path", F.array().cast(PATH)))
+    built = passes(stored(ranked(rows, "tree", ["id", "node"])), height)
+    subroots = stored(tree_roots(built, height).select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("root").alias("node")))
+    above = passes(stored(ranked(subroots, "tree", ["name"])), height)
+    start = tree_roots(above, height).select("tree", F.lit(None).cast(PATH).alias("path"), F.lit(None).cast("string").alias("subroot"), F.col("root").alias("top_root"))
+    over = proven(above, start.withColumn("path", F.array().cast(PATH)), height)
     over = stored(over.select(F.col("name").alias("tree"), "path", F.col("node").alias("subroot"), "top_root"))
     source = F.when(F.col("tree") != "-", F.substring("tree", F.lit(2), F.length("tree")))
-    return proven(built, over).select(F.col("id").alias("doc_id"), source.alias("source"), F.col("node").alias("leaf"), "path", "subroot", F.col("top_root").alias("root"), *more)
+    return proven(built, over, height).select(F.col("id").alias("doc_id"), source.alias("source"), F.col("node").alias("leaf"), "path", "subroot", F.col("top_root").alias("root"), *more)
 
 
 def siblings(path: Column) -> Column:
@@ -178,7 +181,7 @@ def folded(leaf: Column, path: Column) -> Column:
     return F.aggregate(path, leaf, lambda node, s: F.sha2(F.concat(joined(F.slice(s["others"], F.lit(1), s["place"])), node, joined(F.slice(s["others"], s["place"] + 1, F.size(s["others"])))), 256))
 
 
-def append_log(docs: DataFrame) -> DataFrame:
+def append_log(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     """The manifest's log: (source, position, digest) of every node of every source's tree, positions gapless from 0.
 
     A block's node has the position that its level and index in the whole tree give it; levels above the blocks come from
@@ -190,21 +193,21 @@ def append_log(docs: DataFrame) -> DataFrame:
     leaves = stored(ranked(rows, "tree", ["id", "node"]))
     sizes = leaves.groupBy("tree").agg(F.max("size").alias("leaves"))
     out = None
-    for k, (_, logs) in enumerate(passes(leaves)):
-        nodes = logs.join(sizes, "tree").groupBy("tree", "block").applyInPandas(placed_nodes(k), "tree string, position long, digest string")
+    for k, (_, logs) in enumerate(passes(leaves, height)):
+        nodes = logs.join(sizes, "tree").groupBy("tree", "block").applyInPandas(placed_nodes(k, height), "tree string, position long, digest string")
         out = nodes if out is None else out.unionByName(nodes)
     source = F.when(F.col("tree") != "-", F.substring("tree", F.lit(2), F.length("tree")))
     return out.select(source.alias("source"), "position", "digest")
 
 
-def placed_nodes(pass_no: int):
+def placed_nodes(pass_no: int, height: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         r = rows.iloc[0]
         n, log, leaves = int(r["n"]), list(r["log"]), int(r["leaves"])
-        top, whole = levels_of(n, int(r["size"])), height_of(leaves)
+        top, whole = levels_of(n, int(r["size"]), height), height_of(leaves)
         at, nodes = [], []
         for level in range(1 if pass_no else 0, top + 1):
-            high, first = pass_no * HEIGHT + level, int(r["block"]) * ARITY ** (HEIGHT - level)
+            high, first = pass_no * height + level, int(r["block"]) * ARITY ** (height - level)
             for i in range(-(-n // ARITY**level)):
                 at.append(position(high, first + i, leaves, whole))
                 nodes.append(log[position(level, i, n, top)])

@@ -79,16 +79,18 @@ def first_open(cuts: list[int]) -> Column:
     return F.when(is_open(home), home).otherwise(F.get(F.filter("shard_order", is_open), F.lit(0)))
 
 
-def settled(cells: DataFrame, rooms: list[float], fitting: bool) -> list[int]:
+def settled(cells: DataFrame, rooms: list[float], fitting: bool, capacity: float) -> list[int]:
     """Each shard's last batch, from ``cells`` (shard_order, batch, bytes) and the shards' rooms.
 
-    ``fitting``: a shard closes before the first batch that doesn't fit, else with the one that fills it.
+    ``fitting``: a shard closes before the first batch that doesn't fit (an empty one takes any), else with the one that fills it.
     """
     cuts = [OPEN] * len(rooms)
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("shard") + 1)
     upto = Window.partitionBy("shard").orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    room = F.element_at(F.array(*[F.lit(float(r)) for r in rooms]), F.col("shard") + 1)
+    room = of([float(r) for r in rooms])
     full = F.col("upto") > room if fitting else F.col("upto") >= room
-    last = F.col("batch") - 1 if fitting else F.col("batch")
+    first = of([r >= capacity for r in rooms]) & (F.col("upto") == F.col("bytes"))
+    last = F.when(first, F.col("batch")).otherwise(F.col("batch") - 1) if fitting else F.col("batch")
     while True:
         sums = cells.groupBy(first_open(cuts).alias("shard"), "batch").agg(F.sum("bytes").alias("bytes")).where(F.col("shard").isNotNull())
         found = sums.withColumn("upto", F.sum("bytes").over(upto)).where(full).groupBy("shard").agg(F.min(last).alias("last"))
@@ -104,7 +106,7 @@ def openings(cells: DataFrame, shards: int, capacity: float, fits: int) -> list[
     comes again, to the rooms that are left; after ``fits`` such openings each shard takes rows until it is full."""
     rooms, out = [capacity] * shards, []
     for k in range(fits + 1):
-        cuts = settled(cells, rooms, k < fits)
+        cuts = settled(cells, rooms, k < fits, capacity)
         out.append(cuts)
         if k == fits or OPEN in cuts:
             return out

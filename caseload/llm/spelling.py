@@ -189,7 +189,7 @@ def walked(order: list[int]):
 
     def run(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(held) or not len(asked):
-            return pd.DataFrame({"word": [], "n_near": [], "form": [], "form_n": []})
+            return pd.DataFrame(columns=["word", "n_near", "form", "form_n"], dtype=object)
         index, searches = Words(list(held["word"]), order), Words(list(asked["word"]), order)
         found = []
         for i, j in near_pairs(index, searches, asked["spent"].to_numpy(np.int64), int(held["depth"].iloc[0])):
@@ -201,6 +201,8 @@ def walked(order: list[int]):
         once = ~alike | (a["word"] < b["word"]).to_numpy(bool)
         a, b = a[once], b[once]
         both = pd.DataFrame({"word": [*a["word"], *b["word"]], "form": [*b["word"], *a["word"]], "form_n": [*b["n"], *a["n"]]})
+        if not len(both):
+            return pd.DataFrame(columns=["word", "n_near", "form", "form_n"], dtype=object)
         both = both.sort_values(["word", "form_n", "form"], ascending=[True, False, True], kind="stable")
         return both.groupby("word", sort=False).agg(n_near=("form", "size"), form=("form", "first"), form_n=("form_n", "first")).reset_index().astype({"word": object, "form": object})
 
