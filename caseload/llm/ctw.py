@@ -79,14 +79,6 @@ def gram_counts(training: DataFrame) -> DataFrame:
     return rows.groupBy("ctx", "byte").agg(F.sum("n").alias("n"))
 
 
-def least_count(grams: DataFrame, max_contexts: int) -> int:
-    """The smallest count at which no more than ``max_contexts`` contexts, of all depths, are at least that frequent."""
-    whole = grams.groupBy("ctx").agg(F.sum("n").alias("n"))
-    each = whole.select("n", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col("ctx").bitwiseAND(F.lit((1 << (8 * d)) - 1)).alias("c")) for d in range(1, DEPTH + 1)])).alias("x"))
-    sizes = each.groupBy("x.d", "x.c").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(max_contexts + 1).agg(F.count("*").alias("k"), F.min("n").alias("n")).first()
-    return sizes["n"] + 1 if sizes["k"] > max_contexts else 1
-
-
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """For x >= 1/2, by Stirling's series after a shift of eight."""
     shift = sum(np.log(x + k) for k in range(8))
@@ -94,16 +86,6 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
-def choices(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at each of the 255 binary choices, from counts of the 256 bytes (last axis)."""
-    zeros, ones = [], []
-    for level in range(8):
-        split = counts.reshape(*counts.shape[:-1], 1 << level, 2, 1 << (7 - level)).sum(-1)
-        zeros.append(split[..., 0])
-        ones.append(split[..., 1])
-    return np.concatenate(zeros, -1), np.concatenate(ones, -1)
-
-
 def kt_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of a sequence with these counts."""
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - math.log(math.pi)
@@ -120,124 +102,6 @@ def weighted(own: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndar
     return total, np.exp(own - math.log(2) - total)
 
 
-def subtree(last: int, ctx: np.ndarray, byte: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The context trees under one last byte. A context rarer than ``least`` shares a leaf with the others under its parent.
-
-    Returns for each node its parent (number in this list, -1 at the top) and its byte (-1: the shared leaf), the chance
-    of a one at each choice in its leaves mixed over depths 1 and more, the counts of the top node, and its log weighted
-    probability. The top node is number 0. Every inner node has a shared leaf.
-    """
-    parent, label, counts, level = [np.array([-1])], [np.array([last])], [], [0]
-    top = np.zeros((1, 256))
-    np.add.at(top, (np.zeros(len(n), int), byte), n)
-    counts.append(top)
-    at, rows, first = np.zeros(len(n), np.int64), np.arange(len(n)), 0
-    for d in range(2, DEPTH + 1):
-        b = (ctx[rows] >> (8 * (d - 1))) & 255
-        key = at[rows] * 257 + b + 1
-        keys, inverse = np.unique(key, return_inverse=True)
-        total = np.bincount(inverse, n[rows])
-        key = np.where(total[inverse] >= least, key, at[rows] * 257)
-        shared = np.arange(first, first + len(parent[-1])) * 257
-        if d > 2:
-            shared = shared[label[-1] >= 0]
-        keys, inverse = np.unique(np.concatenate([key, shared]), return_inverse=True)
-        inverse = inverse[: len(rows)]
-        start = first + len(parent[-1])
-        here = np.zeros((len(keys), 256))
-        np.add.at(here, (inverse, byte[rows]), n[rows])
-        parent.append(keys // 257)
-        label.append(keys % 257 - 1)
-        counts.append(here)
-        level.append(start)
-        at[rows] = start + inverse
-        rows = rows[label[-1][inverse] >= 0]
-        first = start
-    below = [None] * DEPTH
-    shares, kts = [None] * DEPTH, [None] * DEPTH
-    inner = np.zeros((len(counts[-1]), 255))
-    for d in range(DEPTH - 1, -1, -1):
-        zeros, ones = choices(counts[d])
-        own, kts[d] = kt_log(zeros, ones), kt_one(zeros, ones)
-        leaf = (label[d] < 0) | (d == DEPTH - 1)
-        total, share = weighted(own, inner)
-        below[d], shares[d] = np.where(leaf[:, None], own, total), np.where(leaf[:, None], 1.0, share)
-        if d:
-            inner = np.zeros((len(counts[d - 1]), 255))
-            np.add.at(inner, parent[d] - level[d - 1], below[d])
-    # From the top down: a leaf's mixture is the sum over its path of each share times estimate times what is left.
-    rest, mixed = [np.ones((1, 255))], [np.zeros((1, 255))]
-    for d in range(DEPTH):
-        mixed[d] = mixed[d] + rest[d] * shares[d] * kts[d]
-        left = rest[d] * (1 - shares[d])
-        if d + 1 < DEPTH:
-            up = parent[d + 1] - level[d]
-            rest.append(left[up])
-            mixed.append(mixed[d][up])
-    return np.concatenate(parent), np.concatenate(label), np.concatenate(mixed), counts[0][0], below[0][0]
-
-
-class Table:
-    """Log10 chance of each byte after each context, and the trie that leads from the bytes before to a row."""
-
-    def __init__(self, parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        root = sum((c for *_, c, _ in parts), np.zeros(256))
-        z0, o0 = choices(root)
-        _, b0 = weighted(kt_log(z0, o0), sum((w for *_, w in parts), np.zeros(255)))
-        mix = lambda p: self.byte_logs(b0 * kt_one(z0, o0) + (1 - b0) * p).astype(np.float32)
-        # Node 0 is the root, node 1 stands for a last byte never seen.
-        self.rows = [mix(np.full((2, 255), 0.5))]
-        self.parent, self.label, at = [np.array([-1, 0])], [np.array([-1, -1])], 2
-        for last, parent, label, p, *_ in parts:
-            self.rows.append(mix(p))
-            self.parent.append(np.where(parent < 0, 0, parent + at))
-            self.label.append(np.where(parent < 0, last, label))
-            at += len(parent)
-        self.rows, self.parent, self.label = np.concatenate(self.rows), np.concatenate(self.parent), np.concatenate(self.label)
-
-    def trie(self) -> np.ndarray:
-        """The child of each node by byte; a leaf leads to itself."""
-        out = np.repeat(np.arange(len(self.parent), dtype=np.int32)[:, None], 256, 1)
-        shared = np.flatnonzero((self.label < 0) & (self.parent >= 0))
-        out[self.parent[shared]] = shared[:, None]
-        own = np.flatnonzero(self.label >= 0)
-        out[self.parent[own], self.label[own]] = own
-        return out
-
-    @staticmethod
-    def log10_score(code: np.ndarray, trie: np.ndarray, rows: np.ndarray) -> float:
-        node = np.zeros(len(code), np.int32)
-        for d in range(1, DEPTH + 1):
-            node = trie[node, (code >> (8 * d)) & 255]
-        return float(rows[node, code & 255].sum(dtype=np.float64))
-
-    @staticmethod
-    def byte_logs(ones: np.ndarray) -> np.ndarray:
-        """Log10 chances of the 256 bytes from the chances of a one at the 255 choices."""
-        out = np.zeros((len(ones), 1))
-        for level in range(8):
-            p = ones[:, (1 << level) - 1 : (2 << level) - 1]
-            out = np.stack([out + np.log10(np.maximum(1 - p, 1e-300)), out + np.log10(p)], -1).reshape(len(ones), -1)
-        return out
-
-
-def fit_table(training: DataFrame, max_contexts: int = 12_288) -> Table:
-    """A table of bounded size, in which the contexts rarer than the ``max_contexts`` most frequent ones share a leaf under
-    their parent: an approximation, which ``score_texts`` doesn't use."""
-    grams = stored(gram_counts(training))
-    least = least_count(grams, max_contexts)
-
-    def weigh(table: pa.Table) -> pa.Table:
-        get = lambda c: table.column(c).to_numpy()
-        last = int(get("last")[0])
-        parent, label, p, c, w = subtree(last, get("ctx"), get("byte").astype(np.int64), get("n").astype(float), least)
-        packed = [parent.astype(np.int64), label.astype(np.int64), p, c, w]
-        return pa.table({"last": pa.array([last], pa.int32())} | {name: pa.array([x.tobytes()], pa.binary()) for name, x in zip("aebcw", packed, strict=True)})
-
-    rows = grams.withColumn("last", F.col("ctx").bitwiseAND(F.lit(255)).cast("int")).groupBy("last").applyInArrow(weigh, "last int, a binary, e binary, b binary, c binary, w binary").orderBy("last").collect()
-    return Table([(r["last"], np.frombuffer(r["a"], np.int64), np.frombuffer(r["e"], np.int64), np.frombuffer(r["b"]).reshape(-1, 255), np.frombuffer(r["c"]), np.frombuffer(r["w"])) for r in rows])
-
-
 def at_depth(keys: np.ndarray, depth: int) -> np.ndarray:
     """Keys (context, choice) of the nodes so deep above or at these: the choice's number lies in the lowest byte."""
     return keys & ((1 << (8 * depth + 8)) - 1)

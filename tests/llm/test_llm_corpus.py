@@ -92,13 +92,6 @@ def test_ctw_keeps_every_context_of_a_larger_corpus(spark):
             assert r["score"] == pytest.approx(w, abs=1e-3)
 
 
-def test_ctw_table_is_a_distribution(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
-    table = ctw.fit_table(docs, max_contexts=500)
-    assert np.allclose((10.0 ** table.rows.astype(float)).sum(1), 1, atol=1e-4)
-    assert len(table.rows) < 1200 and table.trie().max() == len(table.rows) - 1
-
-
 def test_base_scores_equal_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
     held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1 for r in rows}
