@@ -90,3 +90,19 @@ def lowest(rows: DataFrame, score: Column, key: str, want: int, cells: int = 409
     cut = got.where(F.col("_to") > want).withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy("_s", key)))
     cut = cut.where(F.col("_r") <= want - F.col("_to") + F.col("_n")).drop("_r")
     return got.where(F.col("_to") <= want).unionByName(cut).select(*rows.columns)
+
+
+def lowest_by_group(rows: DataFrame, group: str, score: Column, key: str, wants: DataFrame, cells: int = 4096) -> DataFrame:
+    """For each group the rows with the lowest score in [0, 1), ties by key, as many as ``wants`` (group, want) says.
+
+    Counts by cell of the score give each group's cut; only rows of the cut's own cell are ranked.
+    """
+    cell = F.least(F.floor(score * cells), F.lit(cells - 1))
+    keyed = rows.withColumns({"_s": score, "_c": cell})
+    upto = Window.partitionBy(group).orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)  # ``cells`` counts a group at most
+    at = keyed.groupBy(group, "_c").agg(F.count("*").alias("_n")).withColumn("_to", F.sum("_n").over(upto))
+    ends = at.join(wants.select(group, F.col("want").alias("_want")), group).where(F.col("_to") - F.col("_n") < F.col("_want"))
+    got = keyed.join(ends, [group, "_c"])
+    cut = got.where(F.col("_to") > F.col("_want")).withColumn("_r", F.row_number().over(Window.partitionBy(group, "_c").orderBy("_s", key)))
+    cut = cut.where(F.col("_r") <= F.col("_want") - F.col("_to") + F.col("_n")).drop("_r")
+    return got.where(F.col("_to") <= F.col("_want")).unionByName(cut).select(*rows.columns)

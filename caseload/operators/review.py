@@ -6,6 +6,8 @@ top-k, and writes the new state to the shared folder, so a lost executor costs o
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer
@@ -90,8 +92,9 @@ def knee_stop(curve: list[tuple[int, int]], n: int, ratio: float = 6.0, least: f
     return (y / x) / max((1 + y1 - y) / (x1 - x), 1e-12) >= ratio
 
 
-def cal(feats: DataFrame, gold: DataFrame, batch: int, rounds: int, control: int = 100, miss: float = 0.0, over: float = 0.0, seed: str = "cal") -> DataFrame:
-    """Continuous active learning: (round, reviewed, found, est_recall) after each batch.
+def cal(feats: DataFrame, gold: DataFrame, batch: int | None = None, rounds: int | None = None, control: int = 100, miss: float = 0.0, over: float = 0.0, seed: str = "cal") -> DataFrame:
+    """Continuous active learning: (round, reviewed, found, est_recall) after each batch, until the gain curve bends or all is
+    reviewed (or for ``rounds``). A batch is a twentieth of the pool, 60 at least, unless given.
 
     A control set, drawn by hash, estimates recall: its positives that the ranking has reached. The reviewer's coding is
     one draw a document.
@@ -99,10 +102,11 @@ def cal(feats: DataFrame, gold: DataFrame, batch: int, rounds: int, control: int
     pool = feats.join(gold.select("doc_id", "gold"), "doc_id").withColumn("coded", recoded(F.col("gold"), miss, over, seed, F.col("doc_id")))
     pool = stored(pool.withColumn("_u", S.uniform(seed, "order", F.col("doc_id"))))
     held = stored(pool.orderBy("_u", "doc_id").limit(control).select("doc_id", "coded", "gold"))
-    seen = stored(pool.join(held, "doc_id", "left_anti").orderBy("_u", "doc_id").limit(batch).select("doc_id", "coded"))
     n = pool.count()
+    batch = batch or max(60, n // 20)
+    seen = stored(pool.join(held, "doc_id", "left_anti").orderBy("_u", "doc_id").limit(batch).select("doc_id", "coded"))
     curve, rows = [], []
-    for number in range(1, rounds + 1):
+    for number in itertools.count(1) if rounds is None else range(1, rounds + 1):
         got = seen.agg(F.count("*").alias("n"), F.sum("coded").alias("pos")).first()
         model = fit(pool.join(seen.select("doc_id", F.col("coded").alias("label")), "doc_id"))
         ranked = scored(model, pool).select("doc_id", "coded", "score", "_u")

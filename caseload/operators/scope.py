@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caseload.functions import scalars as S
 from caseload.operators import order as O
+from caseload.session import stored
 
 
 def subset(questions: DataFrame, wanted: list[str]) -> DataFrame:
@@ -86,7 +87,7 @@ def least_positives(labels: DataFrame, docs: DataFrame, questions: list[str], n:
         pool = labels.where((F.col("question") == q) & (F.col("gold") == 1)).select("doc_id")
         pool = pool if taken is None else pool.join(taken, "doc_id", "left_anti")
         got = pool.orderBy(*order).limit(least).withColumn("claim", F.lit(q))
-        taken = got if taken is None else taken.unionByName(got)
+        taken = stored(got if taken is None else taken.unionByName(got))  # else each question would double the plan
     rest = docs.select("doc_id").join(taken, "doc_id", "left_anti").orderBy(*order).limit(n).withColumn("_u", order[0])
     have = taken.agg(F.count("*").alias("_have"))
     from pyspark.sql import Window
@@ -102,10 +103,62 @@ def first_claim(pools: list[tuple[str, DataFrame, int]], usable: DataFrame, salt
         p = pool.select("doc_id").distinct().join(usable.select("doc_id"), "doc_id", "left_semi")
         p = p if taken is None else p.join(taken, "doc_id", "left_anti")
         got = p.orderBy(S.uniform(salt, F.lit(name), F.col("doc_id")), "doc_id").limit(k).withColumn("stratum", F.lit(name))
-        taken = got if taken is None else taken.unionByName(got)
+        taken = stored(got if taken is None else taken.unionByName(got))  # else each stratum would double the plan
     return taken
 
 
+def scarce_first(labels: DataFrame, docs: DataFrame, topics: list[str], per_topic: int, n: int, salt: str = "scarce") -> DataFrame:
+    """(doc_id, claim): positives for topics in rising order of supply (ties: by name), so that a scarce topic's documents
+    aren't used up by others, then negatives.
+
+    Documents chosen before count for every topic that they are positive on, up to ``per_topic``. What is missing from
+    ``n`` is filled with documents that are positive on no topic: half from the stratum ``hard``, the rest from ``random``.
+    ``docs`` are the usable ones (doc_id, stratum). State is a stored table, so a step's plan doesn't grow.
+    """
+    u = lambda *k: S.uniform(salt, *k, F.col("doc_id"))
+    positive = labels.where(F.col("question").isin(topics) & (F.col("gold") == 1)).select("doc_id", "question").distinct()
+    positive = stored(positive.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    supply = {r["question"]: r["n"] for r in positive.groupBy("question").agg(F.count("*").alias("n")).collect()}  # a row a topic
+    chosen = stored(docs.limit(0).select("doc_id", F.lit("").alias("claim")))
+    for q in sorted(topics, key=lambda t: (supply.get(t, 0), t)):
+        own = positive.where(F.col("question") == q)
+        have = own.join(chosen, "doc_id", "left_semi").count()
+        if per_topic > have:
+            got = O.lowest(own.join(chosen, "doc_id", "left_anti"), u(F.lit(q)), "doc_id", per_topic - have)
+            chosen = stored(chosen.unionByName(got.select("doc_id", F.lit(q).alias("claim"))))
+    need = max(0, n - chosen.count())
+    free = docs.join(positive, "doc_id", "left_anti")
+    for stratum, want in (("hard", need // 2), ("random", need - need // 2)):
+        got = O.lowest(free.where(F.col("stratum") == stratum), u(F.lit(stratum)), "doc_id", want)
+        chosen = chosen.unionByName(got.select("doc_id", F.lit(stratum).alias("claim")))
+    return chosen
+
+
+def with_turns(labels: DataFrame, docs: DataFrame, group: str, n: int, salt: str = "turns") -> DataFrame:
+    """(doc_id, positive): every document that is positive on any question, and negatives taken in turns from the groups until
+    there are ``n``: one of each group, in hash order of groups, then a second of each, and so on.
+
+    So a group gives as many as there are whole turns, or all it has; the last turn, if it isn't whole, stops at some group.
+    Whole turns are found from the counts of groups by their size.
+    """
+    positive = labels.where("gold = 1").select("doc_id").distinct()
+    taken = stored(docs.join(positive, "doc_id", "left_semi").select("doc_id"))
+    free = stored(docs.join(positive, "doc_id", "left_anti").select("doc_id", F.coalesce(F.col(group).cast("string"), F.lit("")).alias("_g")))
+    need = max(0, n - taken.count())
+    sizes = stored(free.groupBy("_g").agg(F.count("*").alias("_k")))
+    by_size = sizes.groupBy("_k").agg(F.count("*").alias("_m"))
+    upto = O.running(by_size, [], ["_k"], {"_rows": F.col("_k") * F.col("_m"), "_groups": F.col("_m")})
+    n_groups = sizes.count()
+    used = F.col("_rows") + F.col("_k") * (n_groups - F.col("_groups"))  # rows given after ``_k`` whole turns
+    last = upto.where(used <= need).agg(F.max(F.struct("_k", used.alias("used"), (n_groups - F.col("_groups")).alias("left"))).alias("b")).first()["b"]
+    k, spent, left = (last["_k"], last["used"], last["left"]) if last else (0, 0, n_groups)
+    turns, extra = (k + (need - spent) // left, (need - spent) % left) if left else (k, 0)
+    more = O.lowest(sizes.where(F.col("_k") > turns), S.uniform(salt, "group", F.col("_g")), "_g", extra).select("_g", F.lit(1).alias("_one"))
+    wants = sizes.join(more, "_g", "left").select("_g", (F.least(F.col("_k"), F.lit(turns)) + F.coalesce("_one", F.lit(0))).alias("want"))
+    got = O.lowest_by_group(free, "_g", S.uniform(salt, F.col("doc_id")), "doc_id", wants)
+    return taken.select("doc_id", F.lit(1).alias("positive")).unionByName(got.select("doc_id", F.lit(0).alias("positive")))
+
+
 def remaining(docs: DataFrame, used: DataFrame, longest: int) -> DataFrame:
     """Documents that aren't used yet and aren't longer than ``longest`` characters."""
     return docs.where(F.col("n_chars") <= longest).join(used.select("doc_id"), "doc_id", "left_anti")

@@ -85,7 +85,7 @@ def _tar1(spark, sf) -> DataFrame:
 
 
 register("tar5_tar1", _tar1)
-register("tar6_cal", lambda s, sf: V.cal(V.features(_labelled(s, sf)), _labelled(s, sf), 60, 4))
+register("tar6_cal", lambda s, sf: V.cal(V.features(_labelled(s, sf)), _labelled(s, sf)))
 register("smp7_clusters", lambda s, sf: V.clusters_pick(V.features(table(s, sf, "documents").select("doc_id", "text"), 1 << 12), 8))
 register("smp8_diversity", lambda s, sf: N.diversity_sample(table(s, sf, "documents").select("doc_id", "text"), 50, dims=32, buckets=1 << 12))
 
