@@ -1,4 +1,4 @@
-"""Registered queries on samples with shared quotas, windows of documents, and headers of messages."""
+"""Registered queries on samples with shared quotas, windows of documents, headers of messages, exports, and files of lines."""
 
 from __future__ import annotations
 
@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 from caseload.functions import mail as H
 from caseload.functions import scalars as S
 from caseload.functions import text as T
+from caseload.operators import export as X
+from caseload.operators import quality as Q
 from caseload.operators import scope as C
 from caseload.operators import windows as W
+from caseload.plans.quality import _PASSED, HEAD
 from caseload.plans.registry import register
+from caseload.session import scratch_dir
 from caseload.sources import derived as D
+from caseload.sources import lines as N
 from caseload.sources.derived import ctes, table, u
 
 
@@ -128,3 +133,66 @@ register(
     f"""WITH {_FIELDS}, t AS (SELECT *, CASE WHEN layout <> 4 AND k > 6 THEN array_to_string(string_split("to", '; ')[1:6], '; ') || ' (+' || (k - 6) || ' more)' ELSE "to" END AS trimmed FROM fields)
     SELECT doc_id, concat_ws(chr(10), 'Date: ' || date, 'From: ' || "from", 'To: ' || trimmed, 'Subject: ' || subject) AS whole, concat_ws(chr(10), 'Date: ' || date, 'Subject: ' || subject) AS bare FROM t""",
 )
+
+
+# Exports.
+_BY_DECISION = ["doc_id", "question"]
+SHARD = 500
+
+
+def _shards(spark, sf):
+    rows = D.predictions(spark, sf).where("model = 'mid' and arm = 'multi'").select("doc_id", "question", "source", "n_chars", "p")
+    placed = X.positions(rows, _BY_DECISION)
+    topics, families = X.first_seen(placed, "question"), X.first_seen(placed, "source")
+    coded = X.encoded(X.encoded(placed, "question", topics, "topic"), "source", families, "family")
+    shards = X.sharded(coded, "pos", ["doc_id", "topic", "family", "n_chars", "p"], SHARD)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",", "-")
+    return shards.select("shard", "n", *[joined(c).alias(f"{c}s") for c in ("doc_id", "topic", "family", "n_chars")], F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))), 6).alias("p_sum"), F.size(F.filter("p", lambda x: x.isNull())).cast("long").alias("n_missing"))
+
+
+register(
+    "rpt6_explore_shards",
+    _shards,
+    f"""WITH {ctes()}, r AS (SELECT *, row_number() OVER (ORDER BY doc_id, question) - 1 AS pos FROM predictions WHERE model = 'mid' AND arm = 'multi'),
+    t AS (SELECT question, row_number() OVER (ORDER BY min(pos)) - 1 AS topic FROM r GROUP BY question), f AS (SELECT source, row_number() OVER (ORDER BY min(pos)) - 1 AS family FROM r GROUP BY source)
+    SELECT pos // {SHARD} AS shard, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY pos) AS doc_ids, string_agg(topic::VARCHAR, ',' ORDER BY pos) AS topics, string_agg(family::VARCHAR, ',' ORDER BY pos) AS familys,
+    string_agg(coalesce(n_chars::VARCHAR, '-'), ',' ORDER BY pos) AS n_charss, round(sum(coalesce(p, 0)), 6) AS p_sum, count(*) FILTER (p IS NULL) AS n_missing FROM r JOIN t USING (question) JOIN f ON f.source IS NOT DISTINCT FROM r.source GROUP BY 1""",
+)
+_CELL = ["model", "arm", "question"]
+
+
+def _checked_sweep(spark, sf):
+    d = D.predictions(spark, sf).where("gold is not null")
+    published = Q.quality(d).where("gray_mode = 'all' and question is not null")
+    own = Q.rates(Q.counts(d, _CELL, [_CELL]))
+    sweep = X.curve_and_labels(Q.sweep(D.predictions(spark, sf), _CELL), own, _CELL)
+    return X.only_if_same(sweep.select(*_CELL, "threshold", "tp", "fp", "label_differs"), own, published, _CELL, ["tp", "fp", "precision", "recall"])
+
+
+register(
+    "rpt5_checked_sweep",
+    _checked_sweep,
+    f"""{HEAD}, cuts AS (SELECT unnest(range(1, 20)) AS cut), k AS (SELECT *, {_PASSED} AS k FROM ok),
+    s AS (SELECT model, arm, question, cut, count(*) FILTER (k >= cut AND gold = 1) AS tp, count(*) FILTER (k >= cut AND gold = 0) AS fp FROM k CROSS JOIN cuts GROUP BY ALL),
+    l AS (SELECT model, arm, question, count(*) FILTER (label = 1 AND gold = 1) AS ltp, count(*) FILTER (label = 1 AND gold = 0) AS lfp FROM ok GROUP BY ALL),
+    h AS (SELECT model, arm, question, tp <> ltp OR fp <> lfp AS label_differs FROM s JOIN l USING (model, arm, question) WHERE cut = 10)
+    SELECT model, arm, question, cut / 20.0e0 AS threshold, tp, fp, label_differs FROM s JOIN h USING (model, arm, question)""",
+)
+
+
+# Lines. Orders are written as text first, and read by splits.
+def _order_lines(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderpriority").alias("value"))
+    header = o.limit(1).select(F.lit(-1).cast("long").alias("o_orderkey"), F.lit("orderkey,custkey,priority").alias("value"))
+    path = scratch_dir(spark)
+    o.select(F.col("o_orderkey").cast("long"), "value").unionByName(header).repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    return N.numbered_lines(spark, path)
+
+
+register(
+    "src40_row_windows",
+    lambda s, sf: N.row_windows(_order_lines(s, sf)).select("first_row", "last_row", F.md5(F.col("text").cast("binary")).alias("text")),
+    f"""WITH r AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_orderkey || ',' || o_custkey || ',' || o_orderpriority AS line FROM orders),
+    s AS (SELECT i AS start FROM r WHERE i < (SELECT count(*) FROM r) - 14 ORDER BY {u("'rows'", 'i')}, i LIMIT 20)
+    SELECT start + 1 AS first_row, start + 14 AS last_row, md5('orderkey,custkey,priority' || chr(10) || string_agg(line, chr(10) ORDER BY i)) AS text FROM s JOIN r ON i BETWEEN start AND start + 13 GROUP BY start""",
+)
