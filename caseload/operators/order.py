@@ -49,30 +49,23 @@ def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str,
     return out.withColumns({k: F.col(f"_o_{k}") + F.sum(c).over(up) for k, c in sums.items()}).select(*rows.columns, *sums)
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = 1024, small: int = 100_000) -> DataFrame:
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], small: int = 100_000) -> DataFrame:
     """Linear quantiles of a value for each key, one column a share; nulls are passed over, a key without values has no row.
 
-    Rows are counted by distinct value, once, into a stored table. Up to ``small`` counts meet in one buffer a key; more are
-    binned, and only bins that hold a wanted place are sorted. Both ways give the same values.
+    Rows are counted by distinct value, once, into a stored table. Up to ``small`` counts meet in one buffer a key; more get
+    running sums by ranges of the values, from which the wanted places are read. Both ways give the same values.
     """
     at = stored(rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_k")))
     if at.count() <= small:
         return at.groupBy(*keys).agg(*[F.percentile(value, F.lit(share), F.col("_k")).alias(name) for name, share in shares.items()])
-    edges = at.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_k").alias("_n"))
-    width = F.col("_hi") - F.col("_lo")
-    spot = F.floor((F.col(value) - F.col("_lo")) / F.when(width > 0, width).otherwise(F.lit(1)) * bins)
-    binned = _with(at, edges, keys).withColumn("_b", F.least(spot, F.lit(bins - 1)))
-    below = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    cells = binned.groupBy(*keys, "_b").agg(F.sum("_k").alias("_m")).withColumn("_upto", F.sum("_m").over(below))
+    ran = stored(running(at, keys, [value], {"_to": F.col("_k")}))
+    n = ran.groupBy(*keys).agg(F.max("_to").alias("_n"))
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), ((F.col("_n") - 1) * F.lit(share)).alias("at")) for name, share in shares.items()]))
-    places = edges.select(*keys, wanted.alias("_w")).select(*keys, F.col("_w.name").alias("_name"), F.col("_w.at").alias("_at"))
+    places = n.select(*keys, wanted.alias("_w")).select(*keys, F.col("_w.name").alias("_name"), F.col("_w.at").alias("_at"))
     low = F.floor("_at")
     ends = F.explode(F.array(F.struct(low.alias("i"), (1 - F.col("_at") + low).alias("part")), F.struct((low + 1).alias("i"), (F.col("_at") - low).alias("part"))))
     places = places.select(*keys, "_name", ends.alias("_e")).select(*keys, "_name", F.col("_e.i").alias("_i"), F.col("_e.part").alias("_part")).where("_part > 0")
-    found = _with(places, cells, keys).where("_upto - _m <= _i and _i < _upto").select(*keys, "_b", "_name", "_part", (F.col("_i") - F.col("_upto") + F.col("_m")).alias("_i"))
-    inside = binned.select(*keys, "_b", value, "_k").join(found.select(*keys, "_b").distinct(), [*keys, "_b"])
-    ran = inside.withColumn("_to", F.sum("_k").over(Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    met = found.join(ran, [*keys, "_b"]).where("_to - _k <= _i and _i < _to")
+    met = _with(ran, places, keys).where("_to - _k <= _i and _i < _to")  # two places a share and key
     return met.groupBy(*keys).agg(*[F.sum(F.when(F.col("_name") == name, F.col("_part") * F.col(value))).alias(name) for name in shares])
 
 

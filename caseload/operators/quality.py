@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseload.functions import scalars as S
+from caseload.operators import order as O
 
 CELLS = ("tp", "fp", "fn", "tn")
 
@@ -124,15 +125,15 @@ def ranking(decisions: DataFrame, keys: list[str]) -> DataFrame:
 def recall_targets(decisions: DataFrame, keys: list[str], targets: tuple[float, ...] = (0.5, 0.75, 0.8, 0.9, 0.95)) -> DataFrame:
     """The first place, by falling score and then rising doc_id, at which each share of the positives is reached.
 
-    The score at that place comes from counts by score; only rows of that one score are ranked.
+    The score at that place comes from counts by score; only rows of that one score are ranked, by ranges of their ids.
     """
     s = by_score(decisions, keys).where("all_pos > 0").withColumn("target", F.explode(F.array(*map(F.lit, targets))))
     need = F.ceil(F.col("target") * F.col("all_pos") - 1e-9)
     crossing = s.withColumn("need", need).where((F.col("tp") >= F.col("need")) & (F.col("tp") - F.col("pos") < F.col("need")))
     at = crossing.select(*keys, "p", "target", (F.col("need") - F.col("tp") + F.col("pos")).alias("short"), (F.col("tp") - F.col("pos") + F.col("fp") - F.col("neg")).alias("before"), "need", (F.col("all_pos") + F.col("all_neg")).alias("n"), "all_pos")
     tied = decisions.where("not error and gold is not null").join(at.select(*keys, "p").distinct(), [*keys, "p"], "left_semi")
-    order = Window.partitionBy(*keys, "p").orderBy("doc_id")
-    placed = tied.withColumns({"place": F.row_number().over(order), "seen": F.sum("gold").over(order.rowsBetween(Window.unboundedPreceding, 0))}).where("gold = 1").select(*keys, "p", "place", "seen")
+    ran = O.running(tied, [*keys, "p"], ["doc_id"], {"place": F.lit(1), "seen": F.col("gold")})
+    placed = ran.where("gold = 1").select(*keys, "p", "place", "seen")
     hit = at.join(placed, [*keys, "p"]).where("seen = short")
     rank = F.col("before") + F.col("place")
     return hit.select(*keys, "target", F.col("p").alias("threshold"), (F.col("need") / rank).alias("precision"), (F.col("need") / F.col("all_pos")).alias("recall"), (rank / F.col("n")).alias("review_fraction"))

@@ -188,7 +188,7 @@ def test_quantiles_both_ways_and_places(spark):
 
     rows = spark.range(500).select((F.col("id") % 3).alias("g"), F.pmod(F.col("id") * 37, F.lit(101)).cast("double").alias("v"))
     shares = {"a": 0.0, "b": 0.37, "c": 1.0}
-    few, many = (sorted(map(tuple, O.quantiles(rows, ["g"], "v", shares, bins=7, small=n).collect())) for n in (10**6, 0))
+    few, many = (sorted(map(tuple, O.quantiles(rows, ["g"], "v", shares, small=n).collect())) for n in (10**6, 0))
     assert [tuple(round(x, 9) for x in r) for r in few] == [tuple(round(x, 9) for x in r) for r in many]
     got = O.placed(rows.withColumn("i", F.monotonically_increasing_id()), ["g"], [F.floor(F.col("v") / 10), F.col("v")], [F.asc("i")], {"s": F.col("v")}).collect()
     for g in range(3):
