@@ -188,7 +188,7 @@ def scanned(quantiser: Quantiser, k: int, rerank: int):
         for start in range(0, len(q_ids), 64):
             part = slice(start, start + 64)
             tables = quantiser.tables(queries[part])
-            estimate = np.zeros((tables.shape[1], len(ids)), np.uint16)
+            estimate = np.zeros((tables.shape[1], len(ids)), np.uint16 if len(code) * 255 < 1 << 16 else np.uint32)
             for m in range(len(code)):
                 estimate += np.take(tables[m], code[m], axis=1)
             top = np.argpartition(estimate, len(ids) - rerank, axis=1)[:, len(ids) - rerank :] if rerank < len(ids) else np.tile(np.arange(len(ids)), (len(estimate), 1))
