@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caseload.functions import boilerplate as B
 from caseload.functions import mail as H
 from caseload.functions import scalars as S
 from caseload.functions import text as T
@@ -74,6 +75,17 @@ register(
     lambda s, sf: W.windows(_docs(s, sf), "source").select("corpus", "doc_id", "place", "cut", F.md5(F.col("prefix").cast("binary")).alias("prefix"), F.md5(F.col("target").cast("binary")).alias("target")),
     f"WITH {_WINDOWS} SELECT corpus, doc_id, place, cut, md5(prefix) AS prefix, md5(target) AS target FROM windows",
 )
+
+
+def _window_rules(spark, sf):
+    """Every window's rules; tests hold each rule against a fixture."""
+    docs = _docs(spark, sf)
+    held = B.with_run_counts(W.windows(docs, "source"), docs, ["doc_id", "place"])
+    reasons = B.window_reasons(F.col("prefix"), F.col("target"), True, None, F.col("after"), F.col("before"))
+    return held.select("corpus", "doc_id", "place", F.array_join(reasons, ",").alias("reasons"))
+
+
+register("txt23_window_rules", _window_rules)
 #: A target repeats itself, or has numbers in it: what the pool's filter turns away.
 _DISTINCT = 0.72
 
