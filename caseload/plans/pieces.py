@@ -32,43 +32,53 @@ def _counted(spark, sf):
 
 
 # Rates and intervals.
-def _columns(**made):
-    return lambda s, sf: _counted(s, sf).select(*CELL, *[c.alias(k) for k, c in made.items()])
+def _columns(make):
+    """The query of columns that ``make(tp, fp, fn, tn)`` gives for each cell."""
+    return lambda s, sf: _counted(s, sf).select(*CELL, *[c.alias(k) for k, c in make(*map(F.col, Q.CELLS)).items()])
 
 
-tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
-_LOW, _HIGH = S.wilson(tp, tp + fp, clip=False, empty=None)
 _P, _D = "(tp::DOUBLE / nullif(tp + fp, 0))", "(1 + 1.96e0 * 1.96e0 / nullif(tp + fp, 0))"
 _HALF = f"1.96e0 * sqrt({_P} * (1 - {_P}) / nullif(tp + fp, 0) + 1.96e0 * 1.96e0 / (4.0e0 * nullif(tp + fp, 0) * nullif(tp + fp, 0))) / {_D}"
 _MID = f"({_P} + 1.96e0 * 1.96e0 / (2.0e0 * nullif(tp + fp, 0))) / {_D}"
-register("scl8_unclipped_wilson", _columns(low=_LOW, high=_HIGH), f"{_COUNTED} SELECT model, arm, question, {_MID} - {_HALF} AS low, {_MID} + {_HALF} AS high FROM counted")
+register(
+    "scl8_unclipped_wilson",
+    _columns(lambda tp, fp, fn, tn: dict(zip(("low", "high"), S.wilson(tp, tp + fp, clip=False, empty=None), strict=True))),
+    f"{_COUNTED} SELECT model, arm, question, {_MID} - {_HALF} AS low, {_MID} + {_HALF} AS high FROM counted",
+)
 register(
     "scl12_rates_nan",
-    _columns(precision=S.rate_nan(tp, tp + fp), recall=S.rate_nan(tp, tp + fn), elusion=S.rate_nan(fn, fn + tn)),
+    _columns(lambda tp, fp, fn, tn: {"precision": S.rate_nan(tp, tp + fp), "recall": S.rate_nan(tp, tp + fn), "elusion": S.rate_nan(fn, fn + tn)}),
     f"{_COUNTED} SELECT model, arm, question, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 'nan'::DOUBLE) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 'nan'::DOUBLE) AS recall, coalesce(fn::DOUBLE / nullif(fn + tn, 0), 'nan'::DOUBLE) AS elusion FROM counted",
 )
-_F1_LOW, _F1_HIGH = S.f1_interval(tp, fp, fn)
 _S, _F1HALF = "nullif(2.0e0 * tp + fp + fn, 0)", "1.96e0 * sqrt(4.0e0 * tp * (fp + fn) * (tp + fp + fn) / pow(nullif(2.0e0 * tp + fp + fn, 0), 4))"
-register("scl13_f1_interval", _columns(low=_F1_LOW, high=_F1_HIGH), f"{_COUNTED} SELECT model, arm, question, greatest(0.0e0, 2.0e0 * tp / {_S} - {_F1HALF}) AS low, least(1.0e0, 2.0e0 * tp / {_S} + {_F1HALF}) AS high FROM counted")
-_ROUNDED = F.round(S.rate_zero(tp, tp + fp), 4), F.round(S.rate_zero(tp, tp + fn), 4)
+register(
+    "scl13_f1_interval",
+    _columns(lambda tp, fp, fn, tn: dict(zip(("low", "high"), S.f1_interval(tp, fp, fn), strict=True))),
+    f"{_COUNTED} SELECT model, arm, question, greatest(0.0e0, 2.0e0 * tp / {_S} - {_F1HALF}) AS low, least(1.0e0, 2.0e0 * tp / {_S} + {_F1HALF}) AS high FROM counted",
+)
+
+
+def _rebuilt(tp, fp, fn, tn):
+    rounded = F.round(S.rate_zero(tp, tp + fp), 4), F.round(S.rate_zero(tp, tp + fn), 4)
+    return {f"{k}_again": c.cast("long") for k, c in S.counts_of(tp + fp + fn + tn, tp + fn, *rounded).items()}
+
+
 register(
     "scl14_counts_rebuilt",
-    _columns(**{f"{k}_again": c.cast("long") for k, c in S.counts_of(tp + fp + fn + tn, tp + fn, *_ROUNDED).items()}),
+    _columns(_rebuilt),
     f"""{_COUNTED}, r AS (SELECT *, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 4) AS p, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 4) AS r FROM counted), t AS (SELECT *, round(r * (tp + fn)) AS t FROM r),
     f AS (SELECT *, CASE WHEN p > 0 THEN round(t / p - t) ELSE 0 END AS f FROM t) SELECT model, arm, question, t::BIGINT AS tp_again, f::BIGINT AS fp_again, (tp + fn - t)::BIGINT AS fn_again, (fp + tn - f)::BIGINT AS tn_again FROM f""",
 )
-_PR = S.rate_zero(tp, tp + fp), S.rate_zero(tp, tp + fn)
 register(
     "scl15_f_measures",
-    _columns(f_half=S.f_measure(*_PR, 0.5), f_two=S.f_measure(*_PR, 2.0)),
+    _columns(lambda tp, fp, fn, tn: {k: S.f_measure(S.rate_zero(tp, tp + fp), S.rate_zero(tp, tp + fn), beta) for k, beta in (("f_half", 0.5), ("f_two", 2.0))}),
     f"""{_COUNTED}, r AS (SELECT *, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS p, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS r FROM counted)
     SELECT model, arm, question, coalesce(1.25e0 * p * r / nullif(0.25e0 * p + r, 0), 0) AS f_half, coalesce(5 * p * r / nullif(4 * p + r, 0), 0) AS f_two FROM r""",
 )
-register("scl16_symmetric_accuracy", _columns(accuracy=S.symmetric_accuracy(tp + fp, tp + fn)), f"{_COUNTED} SELECT model, arm, question, 100.0e0 * least(tp + fp, tp + fn) / nullif(greatest(tp + fp, tp + fn), 0) AS accuracy FROM counted")
-_HITS, _ALARMS = (tp + 0.5) / (tp + fn + 1), (fp + 0.5) / (fp + tn + 1)
+register("scl16_symmetric_accuracy", _columns(lambda tp, fp, fn, tn: {"accuracy": S.symmetric_accuracy(tp + fp, tp + fn)}), f"{_COUNTED} SELECT model, arm, question, 100.0e0 * least(tp + fp, tp + fn) / nullif(greatest(tp + fp, tp + fn), 0) AS accuracy FROM counted")
 register(
     "sta15_d_prime",
-    _columns(d_prime=S.normal_quantile(_HITS) - S.normal_quantile(_ALARMS)),
+    _columns(lambda tp, fp, fn, tn: {"d_prime": S.normal_quantile((tp + 0.5) / (tp + fn + 1)) - S.normal_quantile((fp + 0.5) / (fp + tn + 1))}),
     f"{_COUNTED}, r AS (SELECT *, (tp + 0.5e0) / (tp + fn + 1) AS h, (fp + 0.5e0) / (fp + tn + 1) AS a FROM counted) SELECT model, arm, question, {S.normal_quantile_sql('h')} - {S.normal_quantile_sql('a')} AS d_prime FROM r",
 )
 
