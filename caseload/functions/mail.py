@@ -104,3 +104,24 @@ def header_block(meta: Column, people: bool) -> Column:
     to = lambda name, value: F.when(F.coalesce(meta[value], F.lit("")) != "", F.concat(F.lit(f"{name}: "), trimmed_addresses(meta[value])))
     named = [line("From", "from"), to("To", "to"), to("Cc", "cc")] if people else []
     return F.when(meta.isNotNull(), F.concat_ws("\n", line("Date", "date"), *named, line("Subject", "subject")))
+
+
+#: What a near-duplicate key reads of a text, and keeps of it.
+KEY_READ, KEY_KEPT = 600, 300
+
+
+def near_key(title: Column, text: Column) -> Column:
+    """A key that near copies of a message share: the title without one answer prefix, and the text's beginning without its
+    first header field, both in lower case with single blanks. Nulls are empty."""
+    blanks = lambda c: F.regexp_replace(c, r"\s+", " ")
+    subject = blanks(stripped(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"^(re|fw|fwd)\s*:\s*", "")))
+    field = r"(subject|from|date|to|cc|sent):"
+    body = F.regexp_replace(blanks(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, KEY_READ))), rf"^{field}.*?(?=\s{field}|$)", "")
+    return F.concat_ws("|", subject, F.substring(body, 1, KEY_KEPT))
+
+
+def production_prefix(number: Column) -> Column:
+    """The production that a page number with a prefix belongs to: letters before five digits or more, else what comes before
+    the first hyphen; null for an empty number."""
+    letters = F.regexp_extract(stripped(number), r"^([A-Za-z][A-Za-z_-]*?)[-_]?\d{5,}", 1)
+    return F.when(number != "", F.regexp_replace(F.when(letters != "", letters).otherwise(F.get(F.split(number, "-"), 0)), "[-_]+$", ""))

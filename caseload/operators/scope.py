@@ -170,6 +170,21 @@ def keyword_strata(docs: DataFrame, first: str, second: str) -> DataFrame:
     return docs.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).withColumn("stratum", F.when(t.rlike(first), "first").when(t.rlike(second), "second").otherwise("other"))
 
 
+def keyword_sample(docs: DataFrame, first: str, second: str, forced: DataFrame, n: int, shares: tuple[float, float] = (0.65, 0.15), salt: str = "keywords") -> DataFrame:
+    """(doc_id, stratum, forced): of about ``n`` documents with a text, these shares match the first pattern or, else, the second;
+    the rest match neither. Forced documents come whatever their stratum's share, and count towards it; others come in hash
+    order. A stratum that is too small gives all it has."""
+    rows = keyword_strata(docs, first, second).select("doc_id", "stratum")
+    must = rows.join(forced.select("doc_id").distinct(), "doc_id", "left_semi")
+    quota = {"first": round(n * shares[0]), "second": round(n * shares[1])}
+    quota["other"] = n - sum(quota.values())
+    want = reduce(lambda c, kv: F.when(F.col("stratum") == kv[0], kv[1]).otherwise(c), quota.items(), F.lit(0))
+    have = must.groupBy("stratum").agg(F.count("*").alias("_have"))
+    wants = rows.select("stratum").distinct().join(have, "stratum", "left").select("stratum", F.greatest(want - F.coalesce("_have", F.lit(0)), F.lit(0)).alias("want"))
+    drawn = O.lowest_by_group(rows.join(must, "doc_id", "left_anti"), "stratum", S.uniform(salt, F.col("doc_id")), "doc_id", wants)
+    return must.withColumn("forced", F.lit(1)).unionByName(drawn.withColumn("forced", F.lit(0)))
+
+
 def examples(labels: DataFrame, docs: DataFrame, longest: int) -> DataFrame:
     """For each question its longest short positive and negative whose gold isn't debatable (ties: smaller id)."""
     at = labels.where("not gray").join(docs.where(F.col("n_chars") <= longest).select("doc_id", "n_chars"), "doc_id")

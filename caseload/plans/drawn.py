@@ -208,3 +208,32 @@ register(
     s AS (SELECT i AS start FROM r WHERE i < (SELECT count(*) FROM r) - 14 ORDER BY {u("'rows'", 'i')}, i LIMIT 20)
     SELECT start + 1 AS first_row, start + 14 AS last_row, md5('orderkey,custkey,priority' || chr(10) || string_agg(line, chr(10) ORDER BY i)) AS text FROM s JOIN r ON i BETWEEN start AND start + 13 GROUP BY start""",
 )
+
+
+# Near copies of messages, productions, and a sample by keywords.
+def _near_copies(spark, sf):
+    docs = _docs(spark, sf)
+    titled = docs.select("doc_id", F.concat(F.when(F.pmod("doc_id", F.lit(2)) == 0, "RE: ").otherwise(""), F.substring("text", 1, 20)).alias("title"), F.concat(F.lit("From: "), "source", F.lit("\nSubject: x "), "text").alias("text"))
+    return titled.groupBy(F.md5(H.near_key(F.col("title"), F.col("text")).cast("binary")).alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+register(
+    "bld28_near_keys",
+    _near_copies,
+    """WITH t AS (SELECT doc_id, lower(substr(text, 1, 20)) AS title, regexp_replace(lower(substr('From: ' || source || chr(10) || 'Subject: x ' || text, 1, 600)), '\\s+', ' ', 'g') AS body, source FROM documents),
+    k AS (SELECT doc_id, regexp_replace(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') || '|' || substr(substr(body, length('from: ' || source) + 1), 1, 300) AS key FROM t)
+    SELECT md5(key) AS key, count(*) AS n, min(doc_id) AS first_doc FROM k GROUP BY 1""",
+)
+register(
+    "bld29_productions",
+    lambda s, sf: _docs(s, sf).select(H.production_prefix(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" AB_"), F.upper("lang"), F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 7, "0"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("X9_-"), F.col("doc_id").cast("string"))).otherwise("")).alias("production")).groupBy("production").agg(F.count("*").alias("n")),
+    "SELECT CASE doc_id % 3 WHEN 0 THEN 'AB_' || upper(lang) WHEN 1 THEN 'X9' END AS production, count(*) AS n FROM documents GROUP BY 1",
+)
+register(
+    "smp14_keyword_sample",
+    lambda s, sf: C.keyword_sample(_docs(s, sf), "tion", "ung", D.gold(s, sf).where("question = 'toxic' and gold = 1"), 100),
+    f"""WITH {ctes()}, forced AS (SELECT DISTINCT doc_id FROM gold WHERE question = 'toxic' AND gold = 1),
+    st AS (SELECT doc_id, CASE WHEN lower(text) LIKE '%tion%' THEN 'first' WHEN lower(text) LIKE '%ung%' THEN 'second' ELSE 'other' END AS stratum, doc_id IN (SELECT doc_id FROM forced) AS f FROM documents WHERE length(trim(coalesce(text, ''))) > 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY stratum, f ORDER BY {u("'keywords'", 'doc_id')}, doc_id) AS r, count(*) FILTER (f) OVER (PARTITION BY stratum) AS have FROM st)
+    SELECT doc_id, stratum, f::INT AS forced FROM r WHERE f OR r <= CASE stratum WHEN 'first' THEN 65 WHEN 'second' THEN 15 ELSE 20 END - have""",
+)

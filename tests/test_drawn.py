@@ -112,3 +112,11 @@ def test_pool_takes_the_first_passing_window(spark):
             free = sorted((i for i in range(8, 60) if i % 2 == k and i % 3), key=lambda i: (u("windows", i), i))
             new = {r["doc_id"]: r["cut"] for r in got if r["replacement"] and r["corpus"] == c}
             assert new == {i: W.CUTS[i % 3] for i in free[: 9 - have]}
+
+
+def test_keyword_sample_forces_documents(spark):
+    docs = [(i, "a ship came" if i % 10 < 6 else "by train" if i % 10 < 8 else "on foot" if i % 10 < 9 else " ") for i in range(200)]
+    forced = [0, 6, 16, 26, 36, 46, 9]
+    got = C.keyword_sample(spark.createDataFrame(docs, "doc_id long, text string"), "ship", "train", spark.createDataFrame([(i,) for i in forced], "doc_id long"), 20).collect()
+    assert Counter(r["stratum"] for r in got) == {"first": 13, "second": 5, "other": 4}  # five are forced where three are due
+    assert {r["doc_id"] for r in got if r["forced"]} == set(forced) - {9}

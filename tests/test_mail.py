@@ -43,3 +43,14 @@ def test_written_again(spark):
     rows = docs.select(M.header_block(F.col("h"), True).alias("a"), M.header_block(F.col("h"), False).alias("b")).collect()
     assert rows[0]["a"] == "Date: 1 May 2001\nFrom: Ann Lee\nTo: a@x; b@x; c@x d@x\nSubject: RE: Pipe line"
     assert rows[0]["b"] == "Date: 1 May 2001\nSubject: RE: Pipe line" and rows[1]["a"] is None
+
+
+def test_near_keys(spark):
+    rows = [("Re: Big  News", "From: a b\nTo: c@x\nhello\n there"), ("big news", "From: someone else\nTo: c@x hello there"), ("fw: re: x", "subject: only this"), (None, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string, x string").select(M.near_key(F.col("t"), F.col("x"))).collect()]
+    assert got == ["big news| to: c@x hello there", "big news| to: c@x hello there", "re: x|", "|"]
+
+
+@pytest.mark.parametrize(("number", "want"), [("ABC-0012345", "ABC"), (" AB_CD_00012345", "AB_CD"), ("AB12345678", "AB"), ("X9-77-1", "X9"), ("AB_-1", "AB"), ("", None), (None, None)])
+def test_production_prefixes(spark, number, want):
+    assert spark.createDataFrame([(number,)], "n string").select(M.production_prefix(F.col("n"))).first()[0] == want
