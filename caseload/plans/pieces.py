@@ -232,12 +232,12 @@ def _lines_of(spark, rows, name):
 
 
 def _qrels(spark, sf):
-    g = D.gold(spark, sf)
-    line = F.when(F.col("question") == "toxic", F.concat_ws(" ", F.lit("007"), F.lit("0"), "doc_id", "gold", F.lit("0.25"))).otherwise(F.concat_ws("  ", F.lit("12"), "doc_id", "gold", F.lit("f1")))
+    g, docid = D.gold(spark, sf), F.concat(F.lit("d"), F.col("doc_id").cast("string"))  # a bare 0 would read as the sampled layout
+    line = F.when(F.col("question") == "toxic", F.concat_ws(" ", F.lit("007"), F.lit("0"), docid, "gold", F.lit("0.25"))).otherwise(F.concat_ws("  ", F.lit("12"), docid, "gold", F.lit("f1")))
     return R.read_qrels(spark, _lines_of(spark, g.select(line.alias("value")), "qrels"))
 
 
-register("src10_qrels", _qrels, f"WITH {ctes()} SELECT CASE question WHEN 'toxic' THEN '7' ELSE '12' END AS topic, doc_id::VARCHAR AS docid, gold::INT AS rel, CASE question WHEN 'toxic' THEN 0.25e0 ELSE 1.0e0 END AS p_select FROM gold")
+register("src10_qrels", _qrels, f"WITH {ctes()} SELECT CASE question WHEN 'toxic' THEN '7' ELSE '12' END AS topic, 'd' || doc_id AS docid, gold::INT AS rel, CASE question WHEN 'toxic' THEN 0.25e0 ELSE 1.0e0 END AS p_select FROM gold")
 register(
     "src9_topics",
     lambda s, sf: R.read_topics(s, _lines_of(s, table(s, sf, "nation").select(F.concat(F.col("n_nationkey").cast("string"), F.lit("   "), "n_name", F.lit(" -- of region "), F.col("n_regionkey").cast("string")).alias("value")), "topics")),
