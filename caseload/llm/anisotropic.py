@@ -4,7 +4,9 @@ Vectors are cut into pairs of dimensions, each coded by one of 16 centres. The q
 residual that is parallel to the vector more than the rest, as that is what changes large inner products; codes are
 chosen by coordinate descent under that loss, and centres solve its normal equations. A scan adds up, for each query,
 byte-wide table entries for the four-bit codes of a block's vectors; the best by that estimate are scored again on the
-original vectors.
+original vectors. An exact check follows: an estimate misses a product by no more than the rounding of its table entries
+and the query's length times what the codes leave of the vector, and every vector that can so reach the block's ``k``-th
+best is scored too. So a block gives its true nearest, also where codes can't tell its vectors apart.
 
 Every vector is indexed. Vectors lie in coarse cells, larger cells in several blocks of bounded size. A query visits the
 cells whose centres have the largest inner products with it; how many is found by calibration: a fixed number of
@@ -99,12 +101,20 @@ class Quantiser:
         """Codes by part, from two to a byte."""
         return np.stack([packed >> 4, packed & 15], 2).reshape(len(packed), -1)[:, : self.parts].T
 
-    def tables(self, queries: np.ndarray) -> np.ndarray:
-        """For each part and query, what each code adds to the inner product, as a byte; a query's tables have one scale."""
+    def left(self, code: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        """How far each vector lies from what its codes (by part) stand for."""
+        x, _ = self.split(vectors)
+        return np.sqrt(((x - self.chosen(code.T)) ** 2).sum((1, 2)))
+
+    def tables(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each part and query, what each code adds to the inner product, as a byte; a query's tables have one scale.
+        Besides, that scale and what the tables leave out, for each query."""
         q, _ = self.split(queries)
         one = np.einsum("qmw,mcw->mqc", q, self.centres)
-        one -= one.min(2, keepdims=True)
-        return np.rint(one * (255 / np.maximum(one.max((0, 2)), 1e-30))[None, :, None]).astype(np.uint8)
+        least = one.min(2, keepdims=True)
+        one -= least
+        scale = np.maximum(one.max((0, 2)), 1e-30) / 255
+        return np.rint(one / scale[None, :, None]).astype(np.uint8), scale, least.sum((0, 2))
 
 
 class Cells:
@@ -161,7 +171,8 @@ def probes_for(index: DataFrame, queries: DataFrame, cells: Cells, k: int, recal
             at, cell, here = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2))
             scores = vectors @ here.T
             for i in range(len(ids)):
-                top = np.argpartition(-scores[i], min(k, len(at) - 1))[: k + 1]
+                scores[i, at == ids[i]] = -np.inf
+                top = np.argpartition(-scores[i], min(k, len(at) - 1))[:k]
                 top = top[at[top] != ids[i]]
                 score, where = np.concatenate([best[i][0], scores[i][top]]), np.concatenate([best[i][1], cell[top]])
                 keep = np.argsort(-score, kind="stable")[:k]
@@ -183,21 +194,39 @@ def probes_for(index: DataFrame, queries: DataFrame, cells: Cells, k: int, recal
 def scanned(quantiser: Quantiser, k: int, rerank: int):
     """A pass over blocks, each of vectors followed by queries: (query_id, vec_id, score) of what beats a query's floor."""
 
-    def best(ids, code, vectors, q_ids, queries, floors):
-        out = []
+    def best(ids, code, vectors, left, norms, q_ids, queries, floors):
+        out, every = [], np.arange(len(ids))
         for start in range(0, len(q_ids), 64):
             part = slice(start, start + 64)
-            tables = quantiser.tables(queries[part])
+            q, own = queries[part], q_ids[part]
+            tables, scale, base = quantiser.tables(q)
             estimate = np.zeros((tables.shape[1], len(ids)), np.uint16 if len(code) * 255 < 1 << 16 else np.uint32)
             for m in range(len(code)):
                 estimate += np.take(tables[m], code[m], axis=1)
-            top = np.argpartition(estimate, len(ids) - rerank, axis=1)[:, len(ids) - rerank :] if rerank < len(ids) else np.tile(np.arange(len(ids)), (len(estimate), 1))
-            exact = np.einsum("qd,qrd->qr", queries[part], vectors[top])
-            exact[(q_ids[part, None] == ids[top]) | (exact < floors[part, None])] = -np.inf
-            order = np.lexsort((ids[top], -exact), axis=1)[:, :k]
-            got, score = np.take_along_axis(ids[top], order, 1), np.take_along_axis(exact, order, 1)
-            keep = score > -np.inf
-            out.append((np.repeat(q_ids[part], keep.sum(1)), got[keep], score[keep]))
+            long = np.sqrt((q * q).sum(1))
+            slack = 1e-12 * long * norms.max()
+            floor = floors[part].astype(np.float64)
+            if rerank < len(ids):  # the best estimates give a floor that all others have to reach
+                top = np.argpartition(estimate, len(ids) - rerank, axis=1)[:, len(ids) - rerank :]
+                exact = np.einsum("qd,qrd->qr", q, vectors[top])
+                exact[own[:, None] == ids[top]] = -np.inf
+                if rerank >= k:
+                    floor = np.maximum(floor, np.partition(exact, rerank - k, axis=1)[:, rerank - k])
+            reach = (base + scale * len(code) / 2)[:, None] + scale[:, None] * estimate + long[:, None] * left
+            able = np.flatnonzero((reach >= (floor - slack)[:, None]).any(0)) if rerank < len(ids) else every
+            near = q @ vectors[able].T
+            near[own[:, None] == ids[able]] = -np.inf
+            if k < len(able):
+                floor = np.maximum(floor, np.partition(near, len(able) - k, axis=1)[:, len(able) - k])
+            at, of = np.nonzero((near >= (floor - slack)[:, None]) & (near > -np.inf))
+            of = able[of]
+            score = np.concatenate([np.empty(0), *(np.einsum("rd,rd->r", q[at[i : i + 16384]], vectors[of[i : i + 16384]]) for i in range(0, len(at), 16384))])
+            beats = score >= floors[part][at]
+            at, of, score = at[beats], of[beats], score[beats]
+            order = np.lexsort((ids[of], -score, at))
+            at, of, score = at[order], of[order], score[order]
+            keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+            out.append((own[at[keep]], ids[of[keep]], score[keep]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names=["query_id", "vec_id", "score"])
 
     def run(batches):
@@ -218,7 +247,8 @@ def scanned(quantiser: Quantiser, k: int, rerank: int):
                     if block is None:
                         whole = pa.Table.from_batches(held).sort_by("vec_id").combine_chunks()
                         packed = np.frombuffer(b"".join(whole.column("code").to_pylist()), np.uint8).reshape(whole.num_rows, -1)
-                        block = whole.column("vec_id").to_numpy(), quantiser.unpacked(packed), matrix(whole.column("embedding"))
+                        code, vectors = quantiser.unpacked(packed), matrix(whole.column("embedding"))
+                        block = whole.column("vec_id").to_numpy(), code, vectors, quantiser.left(code, vectors), np.sqrt((vectors * vectors).sum(1))
                     yield best(*block, part.column(3).to_numpy(), matrix(part.column(4)), floor[start:end])
 
     return run
@@ -228,7 +258,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, cell_rows: int = 1024, rer
     """(query_id, rank, vec_id, score): for each row of ``vectors`` (vec_id, embedding) with ``is_query``, the nearest ``k``
     found among all other rows.
 
-    ``cell_rows``: vectors of a cell; ``rerank``: estimates of each block that are scored exactly; ``recall``: share of
+    ``cell_rows``: vectors of a cell; ``rerank``: estimates of each block that are scored first; ``recall``: share of
     the neighbours of ``asked`` queries that must lie in the visited cells; ``sample``: rows that cells are fitted to.
     """
     rows = usable(vectors)
