@@ -1,5 +1,6 @@
 """Bootstraps of medians, exact rank tests and permutation nulls against enumeration."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -96,3 +97,14 @@ def test_running_sums_by_ranges(spark):
     rows = spark.range(500).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("v"), F.lit(2).alias("c"))
     got = O.running(rows.repartition(6), ["k"], ["v"], {"upto": F.col("c")}).collect()
     assert len(got) == 500 and all(r["upto"] == 2 * (r["v"] // 2 + 1) for r in got)
+
+
+def test_equal_clusters_draw_by_inversion(spark):
+    n, replicates = 1000, 3000
+    rows = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("doc"))
+    got = P.resampled(rows.groupBy("doc").agg(F.sum("k").alias("k")), ["k"], replicates).toPandas().set_index("replicate")["k"]
+    steps = {m: P.poisson_steps(m) for m in (64, 32, 8)}  # 1000 = 15 * 64 + 32 + 8
+    draw = lambda r, size, i: sum(x <= int(hashlib.sha1(f"boot|{r}|{size}|{i}|1".encode()).hexdigest()[:12], 16) / 2**48 for x in steps[size])
+    for r in (1, 7, replicates):
+        assert got[r] == sum(draw(r, 64, i) for i in range(15)) + draw(r, 32, -1) + draw(r, 8, -1)
+    assert got[0] == n and got[1:].var() == pytest.approx(n, rel=0.12)
