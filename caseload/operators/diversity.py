@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseload.functions import scalars as S
+from caseload.functions.text import let
 from caseload.operators import order as O
 from caseload.session import stored
 
@@ -28,16 +29,16 @@ def term_rows(docs: DataFrame, buckets: int = 1 << 14, min_docs: int = 2) -> Dat
     A document of no term in ``min_docs`` documents has empty arrays; null text is empty.
     """
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2)
-    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.col("words")[i - 1], F.col("words")[i]))
-    both = F.concat("words", F.when(F.size("words") > 1, pairs).otherwise(F.array().cast("array<string>")))
-    said = docs.select("doc_id", words.alias("words")).select("doc_id", F.explode(both).alias("w"))
+    pairs = lambda ws: F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    said = docs.select("doc_id", F.explode(let(words, lambda ws: F.concat(ws, pairs(ws)))).alias("w"))
     counts = stored(said.groupBy("doc_id", F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int").alias("term")).agg(F.count("*").alias("n")))
     n = docs.count()
     idf = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_docs).select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1).alias("idf"))
     weighed = counts.join(F.broadcast(idf), "term").select("doc_id", F.struct("term", ((1 + F.log("n")) * F.col("idf")).alias("v")).alias("e"))  # ``buckets`` rows
     rows = weighed.groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
     length = F.sqrt(F.aggregate("es", F.lit(0.0), lambda s, e: s + e["v"] * e["v"]))
-    rows = rows.select("doc_id", F.transform("es", lambda e: e["term"]).alias("terms"), F.transform("es", lambda e: e["v"] / length).alias("weights"))
+    of_length_one = let(length, lambda n: F.transform("es", lambda e: e["v"] / n))  # one sum a document, not one an entry
+    rows = rows.select("doc_id", F.transform("es", lambda e: e["term"]).alias("terms"), of_length_one.alias("weights"))
     none = lambda t: F.array().cast(t)
     return docs.select("doc_id").join(rows, "doc_id", "left").select("doc_id", F.coalesce("terms", none("array<int>")).alias("terms"), F.coalesce("weights", none("array<double>")).alias("weights"))
 

@@ -1,5 +1,7 @@
 """Truncated SVD against numpy, and samples of one document a cluster."""
 
+import time
+
 import numpy as np
 import pytest
 from caseload.operators import diversity as V
@@ -49,3 +51,11 @@ def test_clusters_are_found(spark):
     docs = spark.createDataFrame([(i, words[i % 3]) for i in range(90)], "doc_id long, text string")
     got = V.diversity_sample(docs, 3, dims=3, buckets=256, batch=40, rounds=5).where(F.col("cluster").isNotNull()).collect()
     assert len({r["doc_id"] % 3 for r in got}) == len(got) and all(r["gap"] < 1e-9 for r in got)
+
+
+def test_length_is_taken_once_a_document(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 6000), i -> concat('w', (i * 7 + id * i) % 9000)))").alias("text"))
+    began = time.perf_counter()
+    rows = V.term_rows(docs, 1 << 14).collect()
+    assert time.perf_counter() - began < 40  # a sum for each entry takes minutes
+    assert len(rows) == 40 and all(sum(w * w for w in r["weights"]) == pytest.approx(1) for r in rows)
