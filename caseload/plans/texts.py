@@ -33,7 +33,7 @@ register(
 )
 register(
     "txt20_document_frequency",
-    lambda s, sf: C.document_frequency(C.one_of_each_body(docs(s, sf)), 8).groupBy("df").agg(F.count("*").alias("n_grams")),
+    lambda s, sf: C.key_frequency(C.one_of_each_body(docs(s, sf)), 8).groupBy("df").agg(F.count("*").alias("n_grams")),
     f"""WITH b AS (SELECT first(text ORDER BY doc_id) AS text FROM documents GROUP BY md5(array_to_string({_TOK}, ' '))), w AS (SELECT {_TOK} AS w FROM b), g AS (SELECT unnest(list_distinct({grams(8, 'w')})) AS gram FROM w),
     d AS (SELECT gram, count(*) AS df FROM g GROUP BY ALL) SELECT df, count(*) AS n_grams FROM d GROUP BY ALL""",
 )
