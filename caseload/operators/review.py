@@ -21,18 +21,20 @@ from caseload.operators.ensemble import recoded
 from caseload.session import stored
 
 
-def features(docs: DataFrame, buckets: int = 1 << 18) -> DataFrame:
-    """(doc_id, features): hashed one- and two-word counts, weighted by inverse document frequency, of length one."""
+def features(docs: DataFrame, buckets: int = 1 << 18, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, features), and the columns to ``keep``: hashed one- and two-word counts, weighted by inverse document
+    frequency, of length one."""
+    kept = ["doc_id", *keep]
     steps = [
         RegexTokenizer(inputCol="text", outputCol="one", pattern=r"[^\p{L}\p{N}]+", minTokenLength=2),
         NGram(n=2, inputCol="one", outputCol="two"),
-        SQLTransformer(statement="SELECT doc_id, concat(one, two) AS both FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT {', '.join(kept)}, concat(one, two) AS both FROM __THIS__"),
         HashingTF(inputCol="both", outputCol="counts", numFeatures=buckets),
         IDF(inputCol="counts", outputCol="weighted", minDocFreq=2),
         Normalizer(inputCol="weighted", outputCol="features"),
     ]
-    clean = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return Pipeline(stages=steps).fit(clean).transform(clean).select("doc_id", "features")
+    clean = docs.select(*kept, F.coalesce("text", F.lit("")).alias("text"))
+    return Pipeline(stages=steps).fit(clean).transform(clean).select(*kept, "features")
 
 
 def fit(training: DataFrame, label: str = "label"):
@@ -92,24 +94,30 @@ def knee_stop(curve: list[tuple[int, int]], n: int, ratio: float = 6.0, least: f
     return (y / x) / max((1 + y1 - y) / (x1 - x), 1e-12) >= ratio
 
 
-def cal(feats: DataFrame, gold: DataFrame, batch: int | None = None, rounds: int | None = None, control: int = 100, miss: float = 0.0, over: float = 0.0, seed: str = "cal") -> DataFrame:
+def cal(feats: DataFrame, gold: DataFrame | None = None, batch: int | None = None, rounds: int | None = None, control: int = 100, miss: float = 0.0, over: float = 0.0, seed: str = "cal") -> DataFrame:
     """Continuous active learning: (round, reviewed, found, est_recall) after each batch, until the gain curve bends or all is
     reviewed (or for ``rounds``). A batch is a twentieth of the pool, 60 at least, unless given.
 
+    ``feats`` has the column ``gold`` if that is None. A batch is stored with its features and each round's scores are stored
+    without, so that a round reads the pool's features twice and sends none of them between tasks.
+
     A control set, drawn by hash, estimates recall: its positives that the ranking has reached. The reviewer's coding is
     one draw a document.
     """
-    pool = feats.join(gold.select("doc_id", "gold"), "doc_id").withColumn("coded", recoded(F.col("gold"), miss, over, seed, F.col("doc_id")))
+    pool = feats if gold is None else feats.join(gold.select("doc_id", "gold"), "doc_id")
+    pool = pool.withColumn("coded", recoded(F.col("gold"), miss, over, seed, F.col("doc_id")))
     pool = stored(pool.withColumn("_u", S.uniform(seed, "order", F.col("doc_id"))))
+    tasks = feats.sparkSession.sparkContext.defaultParallelism
+    taken = lambda ids: stored(pool.select("doc_id", "coded", "features").join(ids.select("doc_id"), "doc_id", "left_semi"))
     held = stored(pool.orderBy("_u", "doc_id").limit(control).select("doc_id", "coded", "gold"))
     n = pool.count()
     batch = batch or max(60, n // 20)
-    seen = stored(pool.join(held, "doc_id", "left_anti").orderBy("_u", "doc_id").limit(batch).select("doc_id", "coded"))
+    seen = taken(stored(pool.select("doc_id", "_u").join(held, "doc_id", "left_anti").orderBy("_u", "doc_id").limit(batch)))
     curve, rows = [], []
     for number in itertools.count(1) if rounds is None else range(1, rounds + 1):
         got = seen.agg(F.count("*").alias("n"), F.sum("coded").alias("pos")).first()
-        model = fit(pool.join(seen.select("doc_id", F.col("coded").alias("label")), "doc_id"))
-        ranked = scored(model, pool).select("doc_id", "coded", "score", "_u")
+        model = fit(seen.select("features", F.col("coded").alias("label")).coalesce(tasks))
+        ranked = stored(scored(model, pool).select("doc_id", "coded", "score", "_u"))
         fresh = ranked.join(held, "doc_id", "left_anti").join(seen.select("doc_id"), "doc_id", "left_anti")
         top = stored(fresh.orderBy(F.desc("score"), "_u", "doc_id").limit(batch))
         lowest = top.agg(F.min("score")).first()[0]
@@ -118,7 +126,7 @@ def cal(feats: DataFrame, gold: DataFrame, batch: int | None = None, rounds: int
         rows.append((number, got["n"], int(got["pos"] or 0), reach))
         if lowest is None or knee_stop(curve, n):
             break
-        seen = stored(seen.unionByName(top.select("doc_id", "coded")))
+        seen = seen.unionByName(taken(top))
     return feats.sparkSession.createDataFrame(rows, "round int, reviewed long, found long, est_recall double")
 
 

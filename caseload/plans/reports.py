@@ -12,7 +12,7 @@ from caseload.operators import quality as Q
 from caseload.operators import review as V
 from caseload.plans.quality import COUNTS, HEAD, zero
 from caseload.plans.registry import register
-from caseload.session import scratch_dir
+from caseload.session import scratch_dir, stored
 from caseload.sources.derived import ctes, gold, predictions, table, u
 from caseload.streaming import run_log as L
 
@@ -76,8 +76,6 @@ def _labelled(spark, sf):
 
 def _tar1(spark, sf) -> DataFrame:
     docs = _labelled(spark, sf)
-    from caseload.session import stored
-
     rows = stored(V.features(docs).join(docs.select("doc_id", F.col("gold").alias("label")), "doc_id"))
     out = V.cross_scores(rows)
     cut = V.recall_cut(out, 0.8)
@@ -85,7 +83,7 @@ def _tar1(spark, sf) -> DataFrame:
 
 
 register("tar5_tar1", _tar1)
-register("tar6_cal", lambda s, sf: V.cal(V.features(_labelled(s, sf)), _labelled(s, sf)))
+register("tar6_cal", lambda s, sf: V.cal(V.features(_labelled(s, sf), keep=("gold",))))
 register("smp7_clusters", lambda s, sf: V.clusters_pick(V.features(table(s, sf, "documents").select("doc_id", "text"), 1 << 12), 8))
 register("smp8_diversity", lambda s, sf: N.diversity_sample(table(s, sf, "documents").select("doc_id", "text"), 50, dims=32, buckets=1 << 12))
 
