@@ -75,9 +75,8 @@ def _labelled(spark, sf):
 
 
 def _tar1(spark, sf) -> DataFrame:
-    docs = _labelled(spark, sf)
-    rows = stored(V.features(docs).join(docs.select("doc_id", F.col("gold").alias("label")), "doc_id"))
-    out = V.cross_scores(rows)
+    rows = stored(V.features(_labelled(spark, sf), keep=("gold",)).withColumnRenamed("gold", "label"))
+    out = stored(V.cross_scores(rows).select("doc_id", "label", "score"))  # read several times: scored once
     cut = V.recall_cut(out, 0.8)
     return out.select("doc_id", "label", "score", (F.col("score") >= F.lit(cut if cut is not None else 0.0)).cast("int").alias("flagged"))
 
