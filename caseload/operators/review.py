@@ -149,9 +149,13 @@ def clusters_pick(feats: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """A document for each of k clusters: the nearest to its centre (ties: smaller id)."""
     from pyspark.ml.clustering import KMeans
 
+    feats = stored(feats)
     model = KMeans(k=k, seed=seed, maxIter=5, featuresCol="features").fit(feats)
     centres = feats.sparkSession.sparkContext.broadcast([c.tolist() for c in model.clusterCenters()])
     spread = feats.sparkSession.createDataFrame([(i, c) for i, c in enumerate(centres.value)], "prediction int, centre array<double>")
-    placed = model.transform(feats).join(F.broadcast(spread), "prediction").withColumn("v", vector_to_array("features"))
-    gap = F.aggregate(F.zip_with("v", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    spread = spread.withColumn("size", F.aggregate("centre", F.lit(0.0), lambda s, x: s + x * x))
+    placed = model.transform(feats).join(F.broadcast(spread), "prediction").withColumn("v", F.unwrap_udt("features"))
+    at = F.coalesce("v.indices", F.sequence(F.lit(0), F.size("v.values") - 1))
+    more = F.zip_with("v.values", at, lambda a, i: a * (a - 2 * F.get("centre", i)))  # only terms that a document has differ from the centre's length
+    gap = F.aggregate(more, F.col("size"), lambda s, x: s + x)
     return placed.withColumn("gap", gap).groupBy("prediction").agg(F.min_by("doc_id", F.struct("gap", "doc_id")).alias("doc_id"), F.count("*").alias("size"))

@@ -4,6 +4,7 @@ import pytest
 from caseload.operators import review as V
 from caseload.plans import reports as R
 from caseload.session import stored
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +30,16 @@ def test_rounds_read_features_without_sending_them(feats):
     plain = feats.select("doc_id", "features")
     a, b = V.cal(feats, batch=12, control=8, rounds=2), V.cal(plain, feats, batch=12, control=8, rounds=2)
     assert a.collect() == b.collect() and [r["reviewed"] for r in a.collect()] == [12, 24]
+
+
+def test_picks_are_nearest_to_their_centres(feats):
+    from pyspark.ml.clustering import KMeans
+
+    got = V.clusters_pick(feats, 3)
+    model = KMeans(k=3, seed=1, maxIter=5, featuresCol="features").fit(feats)
+    best = {}
+    for r in model.transform(feats).select("doc_id", "prediction", vector_to_array("features").alias("v")).collect():
+        gap = sum((a - c) ** 2 for a, c in zip(r["v"], model.clusterCenters()[r["prediction"]], strict=True))
+        best.setdefault(r["prediction"], []).append((gap, r["doc_id"]))
+    assert {r["prediction"]: (r["doc_id"], r["size"]) for r in got.collect()} == {k: (min(v)[1], len(v)) for k, v in best.items()}
+    assert "vector_to_array" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
