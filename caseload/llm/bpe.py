@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import heapq
 from array import array
+from itertools import pairwise
 
 import numpy as np
 import regex
@@ -24,8 +25,10 @@ from caseload.llm.rows import map_texts
 
 #: Bytes of a piece that is merged directly, and characters of a text that is split directly.
 LEAF_BYTES, LEAF_CHARS = 32, 4096
-#: Pieces remembered in each task.
+#: Pieces remembered in each task since its last full cache, and as many from before.
 CACHE = 200_000
+#: Bytes whose merges are found by scanning all pairs, which is faster than a heap for few; the rank of no pair.
+SCANNED, NONE = 64, 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,11 +48,26 @@ class TreeEncoder:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.token = {rank: token for token, rank in ranks.items()}
         self.stays: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.pieces, self.old_pieces = {}, {}
+        self.chunks, self.old_chunks = {}, {}
 
     def merged(self, data: bytes) -> list[int]:
         """The plain merges: the lowest rank first, the leftmost of equals."""
+        if len(data) > SCANNED:
+            return self.merged_by_heap(data)
+        ranks, rank = self.ranks, self.ranks.get
+        cuts = list(range(len(data) + 1))
+        pairs = [rank(data[i : i + 2], NONE) for i in cuts[:-2]]
+        while pairs and (low := min(pairs)) != NONE:
+            i = pairs.index(low)
+            del pairs[i], cuts[i + 1]
+            if i < len(pairs):
+                pairs[i] = rank(data[cuts[i] : cuts[i + 2]], NONE)
+            if i:
+                pairs[i - 1] = rank(data[cuts[i - 1] : cuts[i + 1]], NONE)
+        return [ranks[data[a:b]] for a, b in pairwise(cuts)]
+
+    def merged_by_heap(self, data: bytes) -> list[int]:
         n, ranks = len(data), self.ranks
         ends, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(r, i) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
@@ -98,15 +116,16 @@ class TreeEncoder:
 
     def piece(self, text: str) -> bytes:
         """A piece's ids as packed 32-bit numbers; a piece that is a token is that token."""
-        known = self.pieces.get(text)
+        known = self.pieces.get(text) or self.old_pieces.get(text)
         if known is None:
             data = text.encode()
             rank = self.ranks.get(data)
             known = array("i", [rank] if rank is not None else self.tree(data)).tobytes()
-            if len(self.pieces) > CACHE:
-                self.pieces.clear()
-            if len(text) < 256:
-                self.pieces[text] = known
+        if len(self.pieces) > CACHE:
+            self.old_pieces = self.pieces.copy()
+            self.pieces.clear()
+        if len(text) < 256:
+            self.pieces[text] = known
         return known
 
     def packed(self, text: str) -> bytes:
@@ -133,8 +152,11 @@ class TreeEncoder:
         """The ids of a blank and what follows it up to the next blank. The pattern breaks at both ends, unless spaces meet there."""
         if not text or text[0].isspace() or text[-1].isspace():
             raise OddBlank
-        known = self.pieced(" " + text)
+        known = self.old_chunks.get(text)
+        if known is None:
+            known = self.piece(" " + text) if text.isascii() and text.isalpha() else self.pieced(" " + text)
         if len(self.chunks) > CACHE:
+            self.old_chunks = self.chunks.copy()
             self.chunks.clear()
         if len(text) < 256:
             self.chunks[text] = known

@@ -55,6 +55,24 @@ def test_bpe_tree_on_random_pieces(reference):
         assert encoder.encode(text).tolist() == reference.encode_ordinary(text), text
 
 
+def test_bpe_remembers_frequent_words_when_a_cache_is_full(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    encoder, whole, met = bpe.TreeEncoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN), bpe.TreeEncoder.tree, []
+    monkeypatch.setattr(bpe.TreeEncoder, "tree", lambda self, data: met.append(data) or whole(self, data))
+    rng = random.Random(2)
+    text = "a " + " ".join("zqxuvkwhot zqxuvkwhöt, " + " ".join("".join(rng.choices("qwxzkvj", k=9)) for _ in range(10)) for _ in range(40))
+    assert encoder.encode(text).tolist() == reference.encode_ordinary(text)
+    assert met.count(b" zqxuvkwhot") == met.count(" zqxuvkwhöt".encode()) == 1
+
+
+def test_bpe_scan_and_heap_merge_alike():
+    encoder = bpe.TreeEncoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    for n in [0, 1, 2, *range(3, bpe.SCANNED + 1)] * 8:
+        data = bytes(rng.choice(rng.choice([b"a", b"etaoin", bytes(range(256))])) for _ in range(n))
+        assert encoder.merged(data) == encoder.merged_by_heap(data), data
+
+
 def brute_secrets(text):
     kinds = [
         ("assign", re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
