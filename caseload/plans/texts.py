@@ -52,7 +52,7 @@ register(
 )
 register(
     "txt32_unknown_words",
-    lambda s, sf: C.unknown_words(docs(s, sf), C.lexicon(docs(s, sf))),
+    lambda s, sf: C.words_unknown_everywhere(docs(s, sf)),
     f"""WITH w AS (SELECT doc_id, source, unnest(list_distinct({_TOK})) AS word FROM documents), lex AS (SELECT DISTINCT word FROM (SELECT source, word FROM w GROUP BY ALL HAVING count(*) >= 3))
     SELECT doc_id, count(*) AS n_words, count(*) FILTER (word NOT IN (SELECT word FROM lex)) AS n_unknown FROM w GROUP BY ALL""",
 )

@@ -1,6 +1,7 @@
 """Runs of words travel as keys of fixed size, and each once."""
 
 from caseload.operators import corpus as C
+from caseload.plans import catalog, registry  # noqa: F401
 from pyspark.sql import functions as F
 
 
@@ -24,3 +25,12 @@ def test_frequencies_by_key(spark):
     assert sorted(r["df"] for r in got.collect()) == [1, 1, 1, 2]  # abc, cda, dab; bcd
     assert not any("hashpartitioning(gram" in line for line in exchanged(got))
     assert got.groupBy("df").agg(F.count("*").alias("n")).count() == 2
+
+
+def test_unknown_words_need_no_join(spark, tmp_path):
+    rows = [(1, "a b c", "s"), (2, "A b", "s"), (3, "a x", "s"), (4, "b", "t"), (4, "b y y", "t"), (None, "x z", None), (None, "z q", None), (5, None, "s"), (6, "--", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["txt32_unknown_words"](spark, str(tmp_path))
+    # only "a" stands in three documents of one source
+    assert {r["doc_id"]: (r["n_words"], r["n_unknown"]) for r in got.collect()} == {1: (3, 2), 2: (2, 1), 3: (2, 1), 4: (3, 3), None: (4, 4)}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
