@@ -54,3 +54,19 @@ def test_near_keys(spark):
 @pytest.mark.parametrize(("number", "want"), [("ABC-0012345", "ABC"), (" AB_CD_00012345", "AB_CD"), ("AB12345678", "AB"), ("X9-77-1", "X9"), ("AB_-1", "AB"), ("", None), (None, None)])
 def test_production_prefixes(spark, number, want):
     assert spark.createDataFrame([(number,)], "n string").select(M.production_prefix(F.col("n"))).first()[0] == want
+
+
+@pytest.mark.parametrize("name", ["txt41_headers"])
+def test_made_messages_equal_their_sql_for_odd_texts(spark, tmp_path, name):
+    import duckdb
+    from caseload.plans import catalog, registry  # noqa: F401
+
+    texts = [("É.", 2), ("12 34", 5), ("", 0), ("A.", 2), ("ab", 2), ("Von der\n\nSee", 12), ("No size here", None), ("É", None), (None, 4)]
+    rows = [(45 * i + j, t, "fr", "src1", n) for i, (t, n) in enumerate(texts) for j in range(45)]  # each text in each layout
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    c.execute(registry.oracle_sql()[name])
+    columns = [d[0] for d in c.description]
+    order = lambda data: sorted(data, key=str)
+    assert order(c.fetchall()) == order(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).select(*columns).collect())
