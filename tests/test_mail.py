@@ -56,7 +56,7 @@ def test_production_prefixes(spark, number, want):
     assert spark.createDataFrame([(number,)], "n string").select(M.production_prefix(F.col("n"))).first()[0] == want
 
 
-@pytest.mark.parametrize("name", ["txt41_headers"])
+@pytest.mark.parametrize("name", ["txt41_headers", "txt42_header_blocks"])
 def test_made_messages_equal_their_sql_for_odd_texts(spark, tmp_path, name):
     import duckdb
     from caseload.plans import catalog, registry  # noqa: F401
