@@ -19,10 +19,30 @@ from caseload.operators import order as O
 from caseload.session import stored
 
 SPARSE = "doc_id long, terms array<int>, weights array<double>"
+COUNTED = "doc_id long, terms array<int>, counts array<long>"
 #: Documents whose products are held at once.
 ROWS = 2048
 
 
+def term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Distinct terms of each row, in order, and how often each stands there."""
+    for batch in batches:
+        got = [np.unique(np.asarray(t, np.int32), return_counts=True) for t in batch["terms"]]
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "terms": [t for t, _ in got], "counts": [k for _, k in got]})
+
+
+def one_row_an_id(counts: DataFrame) -> DataFrame | None:
+    """Rows that share an id, or have none, as one, with the counts of all of them; None if there are none such. Only their
+    counts are sent."""
+    shared = stored(counts.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 or doc_id is null").select(F.col("doc_id").alias("id")))
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    if not shared.count():
+        return None
+    each = counts.join(shared, same, "left_semi").select("doc_id", F.explode(F.arrays_zip("terms", "counts")).alias("e")).select("doc_id", "e.terms", "e.counts")
+    at = each.groupBy("doc_id", "terms").agg(F.sum("counts").alias("n")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("terms", "n"))).alias("es"))
+    return stored(counts.join(shared, same, "left_anti").unionByName(at.select("doc_id", F.col("es.terms").alias("terms"), F.col("es.n").alias("counts"))))
+
+
 def term_rows(docs: DataFrame, buckets: int = 1 << 14, min_docs: int = 2) -> DataFrame:
     """(doc_id, terms, weights): hashed words and word pairs, 1 + ln(count) times inverse document frequency, of length one.
 
@@ -30,17 +50,34 @@ def term_rows(docs: DataFrame, buckets: int = 1 << 14, min_docs: int = 2) -> Dat
     """
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2)
     pairs = lambda ws: F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    said = docs.select("doc_id", F.explode(let(words, lambda ws: F.concat(ws, pairs(ws)))).alias("w"))
-    counts = stored(said.groupBy("doc_id", F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int").alias("term")).agg(F.count("*").alias("n")))
+    keys = let(words, lambda ws: F.transform(F.concat(ws, pairs(ws)), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    dealt = docs if docs.rdd.getNumPartitions() >= tasks else docs.repartition(tasks)  # a table of few files is small
+    counts = stored(dealt.select("doc_id", keys.alias("terms")).mapInPandas(term_counts, COUNTED))
+    merged = one_row_an_id(counts)
     n = docs.count()
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_docs).select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1).alias("idf"))
-    weighed = counts.join(F.broadcast(idf), "term").select("doc_id", F.struct("term", ((1 + F.log("n")) * F.col("idf")).alias("v")).alias("e"))  # ``buckets`` rows
-    rows = weighed.groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    length = F.sqrt(F.aggregate("es", F.lit(0.0), lambda s, e: s + e["v"] * e["v"]))
-    of_length_one = let(length, lambda n: F.transform("es", lambda e: e["v"] / n))  # one sum a document, not one an entry
-    rows = rows.select("doc_id", F.transform("es", lambda e: e["term"]).alias("terms"), of_length_one.alias("weights"))
+
+    def met(total: np.ndarray, batch: pd.DataFrame) -> None:
+        total[:, 0] += np.bincount(np.concatenate([np.empty(0, np.int64), *batch["terms"]]).astype(np.int64), minlength=buckets)
+
+    df = summed(counts if merged is None else merged, 1, met, buckets)[:, 0]
+    idf = np.where(df >= min_docs, np.log((1.0 + n) / (1.0 + df)) + 1, 0.0)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            terms, weights = [], []
+            for t, k in zip(batch["terms"], batch["counts"], strict=True):
+                held = idf[t] > 0
+                v = (1 + np.log(k[held])) * idf[t[held]]
+                terms.append(t[held])
+                weights.append(v / np.sqrt(v @ v) if len(v) else v)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "terms": terms, "weights": weights})
+
+    if merged is None:
+        return counts.mapInPandas(weigh, SPARSE)
     none = lambda t: F.array().cast(t)
-    return docs.select("doc_id").join(rows, "doc_id", "left").select("doc_id", F.coalesce("terms", none("array<int>")).alias("terms"), F.coalesce("weights", none("array<double>")).alias("weights"))
+    rows = docs.select("doc_id").join(merged.mapInPandas(weigh, SPARSE), "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("terms", none("array<int>")).alias("terms"), F.coalesce("weights", none("array<double>")).alias("weights"))
 
 
 def products(rows: pd.DataFrame, basis: np.ndarray) -> np.ndarray:
@@ -64,7 +101,7 @@ def summed(rows: DataFrame, width: int, add: Callable[[np.ndarray, pd.DataFrame]
             for s in range(0, len(batch), ROWS):
                 add(total, batch.iloc[s : s + ROWS])
         at = np.flatnonzero(total.any(1))
-        yield pd.DataFrame({"place": at.astype(np.int32), "part": list(total[at])})
+        yield pd.DataFrame({"place": at.astype(np.int32), "part": pd.Series(list(total[at]), dtype=object)})
 
     parts = rows.mapInPandas(run, "place int, part array<double>")
     sums = parts.groupBy("place").agg(*[F.sum(F.col("part")[j]).alias(f"s{j}") for j in range(width)])

@@ -59,3 +59,18 @@ def test_length_is_taken_once_a_document(spark):
     rows = V.term_rows(docs, 1 << 14).collect()
     assert time.perf_counter() - began < 40  # a sum for each entry takes minutes
     assert len(rows) == 40 and all(sum(w * w for w in r["weights"]) == pytest.approx(1) for r in rows)
+
+
+def test_terms_are_counted_a_row_at_a_time(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(V, "stored", lambda df: held.append(df) or df)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(50))) for i in range(8)], "doc_id long, text string")
+    V.term_rows(docs, 64).collect()
+    assert held[0].count() == 8  # not a row for each document and term
+
+
+def test_rows_that_share_an_id_count_together(spark):
+    docs = spark.createDataFrame([(1, "red red apple"), (1, "apple pie"), (2, "red apple pie"), (None, "red apple"), (None, None)], "doc_id long, text string")
+    got = sorted([(r["doc_id"], len(r["terms"]), sum(w * w for w in r["weights"])) for r in V.term_rows(docs, 1 << 12).collect()], key=str)
+    assert [g[:2] for g in got] == [(1, 5), (1, 5), (2, 5), (None, 0), (None, 0)]  # red, apple, pie, "red apple", "apple pie"
+    assert [g[2] for g in got] == pytest.approx([1, 1, 1, 0, 0])
