@@ -30,11 +30,11 @@ def features(docs: DataFrame, buckets: int = 1 << 18, keep: tuple[str, ...] = ()
         NGram(n=2, inputCol="one", outputCol="two"),
         SQLTransformer(statement=f"SELECT {', '.join(kept)}, concat(one, two) AS both FROM __THIS__"),
         HashingTF(inputCol="both", outputCol="counts", numFeatures=buckets),
-        IDF(inputCol="counts", outputCol="weighted", minDocFreq=2),
-        Normalizer(inputCol="weighted", outputCol="features"),
     ]
     clean = docs.select(*kept, F.coalesce("text", F.lit("")).alias("text"))
-    return Pipeline(stages=steps).fit(clean).transform(clean).select(*kept, "features")
+    counted = stored(Pipeline(stages=steps).fit(clean).transform(clean).select(*kept, "counts"))  # texts are cut once
+    weigh = [IDF(inputCol="counts", outputCol="weighted", minDocFreq=2), Normalizer(inputCol="weighted", outputCol="features")]
+    return Pipeline(stages=weigh).fit(counted).transform(counted).select(*kept, "features")
 
 
 def fit(training: DataFrame, label: str = "label"):

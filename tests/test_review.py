@@ -26,6 +26,11 @@ def test_features_keep_columns(docs, feats):
     assert rows(joined) == rows(feats)
 
 
+def test_features_cut_texts_once(docs):
+    plan = V.features(docs, 1 << 10, keep=("gold",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan and "counts" in plan
+
+
 def test_rounds_read_features_without_sending_them(feats):
     plain = feats.select("doc_id", "features")
     a, b = V.cal(feats, batch=12, control=8, rounds=2), V.cal(plain, feats, batch=12, control=8, rounds=2)
